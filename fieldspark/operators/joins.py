@@ -107,11 +107,11 @@ def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def inspect_sample(tables: dict[str, DataFrame], sample: int, key: str = "sample_idx") -> DataFrame:
-    """Everything stored about one sample as (table, row) lines; the filter reaches each scan."""
+    """Everything stored about one sample as (source, row) lines; the filter reaches each scan."""
     lines = None
     for name, df in tables.items():
         rows = df.where(F.col(key) == sample)
-        part = rows.select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns)).alias("row"))
+        part = rows.select(F.lit(name).alias("source"), F.to_json(F.struct(*df.columns)).alias("row"))
         lines = part if lines is None else lines.unionByName(part)
     return lines
 

@@ -7,6 +7,12 @@ import importlib
 MODULES = [
     "temporal_queries",
     "filter_queries",
+    "stats_queries",
+    "join_queries",
+    "source_queries",
+    "prepare_queries",
+    "pair_queries",
+    "stream_queries",
 ]
 
 

@@ -75,7 +75,7 @@ obs AS (
 ),"""
 
 
-def _lonlat(key: str) -> tuple:
+def lonlat(key: str) -> tuple:
     k = F.col(key)
     lon = (k * 7919 % 36000) / F.lit(100.0) - F.lit(180.0)
     lat = (k * 104729 % 17000) / F.lit(100.0) - F.lit(85.0)
@@ -88,7 +88,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("sample_idx"),
         F.col("c_nationkey").alias("stratum"),
         F.col("c_mktsegment").alias("segment"),
-        *_lonlat("c_custkey"),
+        *lonlat("c_custkey"),
     )
 
 
@@ -112,7 +112,7 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("zone_id"),
         F.col("s_nationkey").alias("nation"),
-        *_lonlat("s_suppkey"),
+        *lonlat("s_suppkey"),
     )
     half = F.lit(5.0) + F.col("nation")
     at = lambda dx, dy: F.struct(
