@@ -15,7 +15,7 @@ def lookup_continent(
     df: DataFrame, dim: DataFrame, key: str = "country", default: str = "Unknown"
 ) -> DataFrame:
     """Add ``continent`` from a (key, continent) dictionary; unlisted keys get the default."""
-    side = ranking.broadcast_if_small(dim.select(key, "continent"))
+    side = ranking.small_table(dim.select(key, "continent"))
     return df.join(side, key, "left").withColumn(
         "continent", F.coalesce("continent", F.lit(default))
     )
@@ -26,7 +26,7 @@ def normalise_long(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFr
 
     Statistics have one row per variable; that is checked before they are broadcast.
     """
-    side = ranking.broadcast_if_small(stats.select(*by, "mean", "std"))
+    side = ranking.small_table(stats.select(*by, "mean", "std"))
     joined = df.join(side, list(by), "left")
     scaled = V.zscore(
         F.col("value"), F.coalesce("mean", F.lit(0.0)), F.coalesce("std", F.lit(1.0))

@@ -26,7 +26,7 @@ def _tile_pairs(df: DataFrame, batch: str, row: str, tile_rows: int) -> DataFram
     large = sizes.where(F.col("_n") > tile_rows).select(
         batch, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_tiles")
     )
-    known = df.join(ranking.broadcast_if_small(large), batch, "left").withColumn(
+    known = df.join(ranking.small_table(large), batch, "left").withColumn(
         "_tiles", F.coalesce("_tiles", F.lit(1))
     )
     own = F.pmod(F.xxhash64(row), F.col("_tiles")).cast("int")

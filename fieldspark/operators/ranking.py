@@ -7,26 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group is heavy above both limits. The second makes the list of heavy groups provably
-# short: at most MAX_HEAVY_GROUPS groups can each hold more than total / MAX_HEAVY_GROUPS rows.
+# A group above this size is ranked in pieces.
 HEAVY_ROWS = 1_000_000
+# Only this many of the largest groups are treated that way. Any other group then holds at most
+# one part in MAX_HEAVY_GROUPS of all rows, which one task can sort.
 MAX_HEAVY_GROUPS = 50_000
 
 
-def heavy_groups(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """(keys, _n) of the groups too large for one task; never more than MAX_HEAVY_GROUPS rows."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_total")).scalar()
-    limit = F.greatest(F.lit(heavy_rows).cast("double"), total / F.lit(float(MAX_HEAVY_GROUPS)))
-    return sizes.where(F.col("_n") > limit)
+def small_table(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` as a local table marked for broadcast, if it has at most ``max_rows`` rows.
+
+    Runs a job that fetches no more than ``max_rows + 1`` rows. A larger table comes back as it
+    is: its joins shuffle, and AQE splits their skewed partitions.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast when a count shows at most ``max_rows`` rows.
+def heavy_groups(
+    df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS
+) -> DataFrame | None:
+    """(keys, _n) of the groups too large for one task as a local table, None if there are none.
 
-    Larger inputs come back unmarked; their joins shuffle and AQE splits skewed partitions.
+    Runs one counting job that combines before its exchange; at most MAX_HEAVY_GROUPS rows reach
+    the driver. Groups with a NULL key are never listed.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    sizes = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.where(F.col("_n") > heavy_rows).orderBy(F.desc("_n")).limit(MAX_HEAVY_GROUPS)
+    rows = largest.toArrow()
+    if rows.num_rows == 0:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=largest.schema))
 
 
 def rank_within(
@@ -38,29 +51,30 @@ def rank_within(
 ) -> DataFrame:
     """Add ``_rank`` (1-based, per group) and ``_n`` (group size), both BIGINT.
 
-    Ordinary groups are ranked by one window. Heavy groups are cut by ``bucket``, an expression
-    that never decreases along ``order``: each bucket is ranked on its own and shifted by the
-    rows in earlier buckets, so no task sees a whole heavy group. ``order`` must be total.
+    Without heavy groups this is one window. Otherwise heavy groups are cut by ``bucket``, an
+    expression that never decreases along ``order``: each bucket is ranked on its own and shifted
+    by the rows in earlier buckets, so no task sees a whole heavy group. ``order`` must be total.
     """
     keys = list(keys)
-    heavy = heavy_groups(df, keys, heavy_rows).withColumnRenamed("_n", "_hn")
-    marked = df.join(F.broadcast(heavy), keys, "left").withColumn(
+    heavy = heavy_groups(df, keys, heavy_rows)
+    if heavy is None:
+        group = Window.partitionBy(*keys)
+        return df.withColumn(
+            "_rank", F.row_number().over(group.orderBy(*order)).cast("bigint")
+        ).withColumn("_n", F.count(F.lit(1)).over(group))
+    marked = df.join(heavy.withColumnRenamed("_n", "_hn"), keys, "left").withColumn(
         "_b", F.when(F.col("_hn").isNotNull(), bucket)
     )
     group = Window.partitionBy(*keys, "_b")
     local = marked.withColumn("_local", F.row_number().over(group.orderBy(*order))).withColumn(
         "_size", F.count(F.lit(1)).over(group)
     )
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        marked.where(F.col("_b").isNotNull())
+        marked.where(F.col("_hn").isNotNull())
         .groupBy(*keys, "_b")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn(
-            "_before",
-            F.sum("_c").over(
-                Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
+        .withColumn("_before", F.sum("_c").over(earlier))
         .drop("_c")
     )
     return (
@@ -71,6 +85,33 @@ def rank_within(
     )
 
 
+def prefix_counts(df: DataFrame, digest: str, digits: int) -> list[tuple[str, int]]:
+    """Sorted (digest prefix, rows) pairs: at most 16 ** digits of them, by one counting job."""
+    prefix = F.substring(F.col(digest), 1, digits)
+    rows = df.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted((r["p"], r["n"]) for r in rows)
+
+
+def global_hash_rank(df: DataFrame, digest: str, ties: Sequence[str], digits: int = 3) -> DataFrame:
+    """Add ``_rank``, the 0-based position of every row in digest order.
+
+    Rows are ranked per digest prefix and shifted by the rows of earlier prefixes.
+    """
+    starts, running = [], 0
+    for prefix, n in prefix_counts(df, digest, digits):
+        starts.append((prefix, running))
+        running += n
+    table = df.sparkSession.createDataFrame(starts, "_p string, _start bigint")
+    order = Window.partitionBy("_p").orderBy(digest, *ties)
+    return (
+        df.withColumn("_p", F.substring(F.col(digest), 1, digits))
+        .withColumn("_local", F.row_number().over(order) - 1)
+        .join(F.broadcast(table), "_p")
+        .withColumn("_rank", F.col("_start") + F.col("_local"))
+        .drop("_p", "_local", "_start")
+    )
+
+
 def hash_rank(
     df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[str], heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:

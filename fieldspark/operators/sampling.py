@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -39,22 +39,17 @@ def _check_fractions(train: float, val: float, test: float) -> None:
         raise ValueError("split fractions have to sum to 1")
 
 
-def _split_name(position: Column, train_end: Column, val_end: Column) -> Column:
-    return F.when(position < train_end, "train").when(position < val_end, "val").otherwise("test")
-
-
-def _bounds(total: Column, train: float, val: float) -> tuple[Column, Column]:
-    train_end = F.floor(total * F.lit(train))
-    return train_end, train_end + F.floor(total * F.lit(val))
-
-
 def split_contiguous(
     df: DataFrame, train: float = 0.8, val: float = 0.1, test: float = 0.1, index: str = "sample_idx"
 ) -> DataFrame:
     """Label a dense index: the first int(N·train) rows, the next int(N·val) rows, the rest."""
     _check_fractions(train, val, test)
     total = df.agg(F.count(F.lit(1))).scalar()
-    return df.withColumn("split", _split_name(F.col(index), *_bounds(total, train, val)))
+    train_end = F.floor(total * F.lit(train))
+    val_end = train_end + F.floor(total * F.lit(val))
+    position = F.col(index)
+    name = F.when(position < train_end, "train").when(position < val_end, "val").otherwise("test")
+    return df.withColumn("split", name)
 
 
 def split_random(
@@ -67,43 +62,38 @@ def split_random(
 ) -> DataFrame:
     """`split_contiguous` over the md5 order, with the same exact sizes.
 
-    Rows are counted per four-digit digest prefix (at most 65536 counts). Only the one or two
-    prefixes a boundary falls into are ranked; all other rows get their label without moving.
+    Rows are counted per four-digit digest prefix (at most 65536 counts). The one or two prefixes
+    a boundary falls into are ranked; every other row gets its label where it is.
     """
     _check_fractions(train, val, test)
     hashed = df.withColumn("_h", V.seeded_hash(seed, F.col(index))).withColumn(
         "_p", F.substring("_h", 1, 4)
     )
-    counts = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    # sixteen windows over at most 4096 counts each, then a shift by the earlier first digits
-    digit = F.substring("_p", 1, 1)
-    tens = counts.groupBy(digit.alias("_d")).agg(F.sum("_c").alias("_dc"))
-    tens = tens.alias("x").join(tens.alias("y"), F.col("y._d") < F.col("x._d"), "left").groupBy(
-        "x._d"
-    ).agg(F.coalesce(F.sum("y._dc"), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("_d").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        counts.withColumn("_d", digit)
-        .withColumn("_in", F.coalesce(F.sum("_c").over(within), F.lit(0)))
-        .join(F.broadcast(tens), "_d")
-        .select("_p", "_c", (F.col("_in") + F.col("_shift")).alias("_lo"))
+    counts = ranking.prefix_counts(hashed, "_h", 4)
+    total = sum(n for _, n in counts)
+    ends = [math.floor(total * train), math.floor(total * train) + math.floor(total * val)]
+    # per boundary: the prefix it falls into and the rows before that prefix
+    cuts, running = [], 0
+    for prefix, n in counts:
+        cuts += [(prefix, running) for end in ends if running <= end < running + n]
+        running += n
+    cuts += [("g", total)] * (2 - len(cuts))  # behind every hex digit: an empty last part
+    (train_cut, _), (val_cut, _) = cuts
+    starts = F.create_map(*[F.lit(x) for cut in dict(cuts).items() for x in cut])
+    on_cut = F.col("_p").isin(train_cut, val_cut)
+    label = lambda below_train, below_val: (
+        F.when(below_train, "train").when(below_val, "val").otherwise("test")
     )
-    total = counts.agg(F.sum("_c")).scalar()
-    train_end, val_end = _bounds(total, train, val)
-    placed = hashed.join(F.broadcast(starts), "_p").withColumns(
-        {"_t": train_end, "_v": val_end, "_hi": F.col("_lo") + F.col("_c")}
+    whole = hashed.where(~on_cut).withColumn(
+        "split", label(F.col("_p") < train_cut, F.col("_p") < val_cut)
     )
-    cut = lambda b: (F.col("_lo") < F.col(b)) & (F.col(b) < F.col("_hi"))
-    on_boundary = cut("_t") | cut("_v")
-    whole = placed.where(~on_boundary).withColumn("_at", F.col("_lo"))
-    order = Window.partitionBy("_p").orderBy("_h", index)
-    ranked = placed.where(on_boundary).withColumn(
-        "_at", F.col("_lo") + F.row_number().over(order) - 1
+    local = F.row_number().over(Window.partitionBy("_p").orderBy("_h", index)) - 1
+    ranked = (
+        hashed.where(on_cut)
+        .withColumn("_at", local + F.try_element_at(starts, F.col("_p")))
+        .withColumn("split", label(F.col("_at") < ends[0], F.col("_at") < ends[1]))
     )
-    labelled = whole.unionByName(ranked).withColumn(
-        "split", _split_name(F.col("_at"), F.col("_t"), F.col("_v"))
-    )
-    return labelled.select(*df.columns, "split")
+    return whole.unionByName(ranked.drop("_at")).select(*df.columns, "split")
 
 
 def export_chunk(chunk: int, batch: int) -> int:
@@ -125,24 +115,22 @@ def block_shuffle(
     blocks = (
         chunks.groupBy("block_id")
         .agg((F.max("chunk_id") - F.col("block_id") * block + 1).alias("_chunks"))
-        .withColumns({"_h": V.seeded_hash(seed, F.col("block_id")), "_all": F.lit(0)})
+        .withColumn("_h", V.seeded_hash(seed, F.col("block_id")))
     )
-    ranked = ranking.hash_rank(blocks, ["_all"], "_h", ["block_id"]).select(
-        "block_id", "_chunks", (F.col("_rank") - 1).alias("block_rank")
+    ranked = ranking.global_hash_rank(blocks, "_h", ["block_id"]).select(
+        "block_id", "_chunks", F.col("_rank").alias("block_rank")
     )
+    order = ranking.small_table(ranked)
     # every block is full but the last; blocks shuffled behind that one move up by its gap
-    short = ranked.agg(F.max_by(F.struct("block_rank", "_chunks"), "block_id")).scalar()
-    behind = F.col("block_rank") > short["block_rank"]
-    gap = F.when(behind, F.lit(block) - short["_chunks"]).otherwise(F.lit(0))
-    order = ranked.select(
-        "block_id", "block_rank", (F.col("block_rank") * block - gap).alias("_start")
-    )
+    last = order.agg(F.max_by(F.struct("block_rank", "_chunks"), "block_id").alias("b")).first()["b"]
+    last_rank, last_chunks = (last["block_rank"], last["_chunks"]) if last else (0, block)
+    gap = F.when(F.col("block_rank") > last_rank, block - last_chunks).otherwise(0)
+    start = F.col("block_rank") * block - gap
+    inside = F.col("chunk_id") - F.col("block_id") * block
     return (
-        chunks.join(ranking.broadcast_if_small(order), "block_id")
-        .withColumn(
-            "chunk_rank", F.col("_start") + F.col("chunk_id") - F.col("block_id") * block
-        )
-        .drop("_start")
+        chunks.join(order, "block_id")
+        .withColumn("chunk_rank", start + inside)
+        .drop("_chunks")
     )
 
 

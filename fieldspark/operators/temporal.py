@@ -48,45 +48,31 @@ def median_by(
     values are ranked in 4096 value ranges and the one or two middle rows averaged.
     """
     keys = list(keys)
-    heavy = F.broadcast(ranking.heavy_groups(df, keys, heavy_rows).drop("_n"))
-    light = (
-        df.join(heavy, keys, "left_anti")
-        .groupBy(*keys)
-        .agg(*[F.median(v).alias(v) for v in variables])
-    )
-    hot = (
+    medians = [F.median(v).alias(v) for v in variables]
+    heavy = ranking.heavy_groups(df, keys, heavy_rows)
+    if heavy is None:
+        return df.groupBy(*keys).agg(*medians)
+    heavy = heavy.drop("_n")
+    light = df.join(heavy, keys, "left_anti").groupBy(*keys).agg(*medians)
+    group = [*keys, "_variable"]
+    values = (
         df.join(heavy, keys, "left_semi")
-        .withColumn("_id", F.monotonically_increasing_id())
-        .unpivot([*keys, "_id"], list(variables), "_variable", "_value")
+        .unpivot(keys, list(variables), "_variable", "_value")
         .where(F.col("_value").isNotNull())
     )
-    group = [*keys, "_variable"]
-    span = hot.groupBy(*group).agg(F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    slot = F.floor(F.coalesce(F.try_divide(F.col("_value") - F.col("_lo"), width), F.lit(0)) * 4096)
+    # one row per heavy group and variable
+    span = values.groupBy(*group).agg(F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
+    share = F.try_divide(F.col("_value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    slot = F.floor(F.coalesce(share, F.lit(0)) * 4096)
     ranked = ranking.rank_within(
-        hot.join(F.broadcast(span), group),
-        group,
-        [F.col("_value")],
-        slot,
-        heavy_rows,
-    )
-    middle = (F.col("_rank") == F.floor((F.col("_n") + 1) / 2)) | (
-        F.col("_rank") == F.floor((F.col("_n") + 2) / 2)
-    )
-    hot_medians = (
-        ranked.where(middle)
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.avg(F.when(F.col("_variable") == v, F.col("_value"))).alias(v)
-                for v in variables
-            ]
-        )
+        values.join(F.broadcast(span), group), group, [F.col("_value")], slot, heavy_rows
     )
-    # a heavy group whose values are all missing has no middle row but still one result row
-    hot_keys = df.join(heavy, keys, "left_semi").select(*keys).distinct()
-    return light.unionByName(hot_keys.join(hot_medians, keys, "left"))
+    n, rank = F.col("_n"), F.col("_rank")
+    middle = (rank == F.floor((n + 1) / 2)) | (rank == F.floor((n + 2) / 2))
+    pick = lambda v: F.avg(F.when(F.col("_variable") == v, F.col("_value"))).alias(v)
+    found = ranked.where(middle).groupBy(*keys).agg(*[pick(v) for v in variables])
+    # a heavy group without any value still has its row
+    return light.unionByName(heavy.join(found, keys, "left"))
 
 
 def fill_weeks(weekly: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:

@@ -230,9 +230,9 @@ def split_failures(spark, d):
 @query(
     "s11_failure_summary",
     "total:i failed:i partial:i",
-    """SELECT count(*) AS total, count(*) FILTER (WHERE NOT some) AS failed,
-              count(*) FILTER (WHERE some AND NOT every) AS partial
-       FROM (SELECT point, bool_or(ok) AS some, bool_and(ok) AS every FROM per GROUP BY 1)""",
+    """SELECT count(*) AS total, count(*) FILTER (WHERE NOT any_ok) AS failed,
+              count(*) FILTER (WHERE any_ok AND NOT all_ok) AS partial
+       FROM (SELECT point, bool_or(ok) AS any_ok, bool_and(ok) AS all_ok FROM per GROUP BY 1)""",
     _RESULTS,
 )
 def failure_summary(spark, d):

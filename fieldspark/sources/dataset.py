@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sampling
@@ -72,14 +72,16 @@ def union_batches(frames: Sequence[DataFrame]) -> DataFrame:
 def merge_batches(batches: DataFrame, index: str = "sample_idx") -> DataFrame:
     """Shift each batch's own 0-based index behind the rows of earlier batches.
 
-    The running offset goes over one count per batch.
+    One count per batch is read first; there are as many as paths were handed to the job.
     """
-    counts = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("batch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    # one row per batch path handed to the job
+    counts = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, running = [], 0
+    for row in sorted(counts, key=lambda r: r["batch"]):
+        offsets.append((row["batch"], running))
+        running += row["n"]
+    table = batches.sparkSession.createDataFrame(offsets, "batch int, _off bigint")
     return (
-        batches.join(F.broadcast(offsets), "batch")
+        batches.join(F.broadcast(table), "batch")
         .withColumn(index, F.col(index) + F.col("_off"))
         .drop("_off")
     )
