@@ -20,22 +20,30 @@ def week_end(ts: Column) -> Column:
 
 def week_key(sunday: Column) -> Column:
     """Calendar year of the Sunday plus its ISO week, e.g. ``2021-W53`` for 2021-01-03."""
-    return F.format_string("%d-W%02d", F.year(sunday), F.weekofyear(sunday))
+    week = F.lpad(F.weekofyear(sunday).cast("string"), 2, "0")
+    return F.concat(F.year(sunday).cast("string"), F.lit("-W"), week)
 
 
 def week_number(key: Column) -> Column:
     """Week of a ``YYYY-Www`` key, or the ISO week of a date string; NULL for anything else."""
     from_key = F.nullif(F.regexp_extract(key, r"-W(\d+)$", 1), F.lit("")).try_cast("int")
-    return F.coalesce(from_key, F.weekofyear(F.try_to_timestamp(key)))
+    # the padding mark is common, and a failed parse is expensive
+    from_date = F.weekofyear(F.try_to_timestamp(F.nullif(key, F.lit("NA"))))
+    return F.coalesce(from_key, from_date)
 
 
-def cyclic_week(key: Column, weeks: int = 52) -> tuple[Column, Column]:
-    """(sin, cos) of the week angle; unreadable keys give (0, 0)."""
-    angle = F.lit(2 * math.pi) * week_number(key) / F.lit(weeks)
+def cyclic(week: Column, weeks: int = 52) -> tuple[Column, Column]:
+    """(sin, cos) of the angle of a week number; NULL gives (0, 0)."""
+    angle = F.lit(2 * math.pi) * week / F.lit(weeks)
     zero = F.lit(0.0)
     return F.coalesce(F.sin(angle), zero), F.coalesce(F.cos(angle), zero)
 
 
+def cyclic_week(key: Column, weeks: int = 52) -> tuple[Column, Column]:
+    """`cyclic` of a week key or date string; unreadable text gives (0, 0)."""
+    return cyclic(week_number(key), weeks)
+
+
 def week_index(pos: Column) -> Column:
     """Week slot of a series position (a position, not an ISO week)."""
     return F.pmod(pos, F.lit(52)).cast("int")

@@ -6,13 +6,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import ranking
 
 
+def _nearest(function: str, column: str, part: Sequence[str], order: str) -> Column:
+    """Nearest non-NULL value strictly before (``lag``) or after (``lead``) a row."""
+    by = ", ".join(f"`{c}`" for c in part)
+    return F.expr(
+        f"{function}(`{column}`, 1) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY `{order}`)"
+    )
+
+
 def _neighbours(
     df: DataFrame, part: Sequence[str], keys: Sequence[str], pos: str, names: Sequence[str]
 ) -> DataFrame:
@@ -20,34 +27,33 @@ def _neighbours(
 
     ``part`` is ``keys``, or ``keys`` plus ``_seg`` when long series are cut into segments;
     then the values of the nearest other segments are carried in by a join on the segment.
+    All windows share one sort.
     """
-    ahead = Window.partitionBy(*part).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    # a reversed frame: frames open to the following side cost a rescan per row
-    back = Window.partitionBy(*part).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumns({f"{n}_prev": F.last(n, True).over(ahead) for n in names}).withColumns(
-        {f"{n}_next": F.last(n, True).over(back) for n in names}
+    sides = {"prev": ("lag", "last", "in"), "next": ("lead", "first", "out")}
+    out = df.withColumns(
+        {f"{n}_{s}": _nearest(fn, n, part, pos) for n in names for s, (fn, _, _) in sides.items()}
     )
     if list(part) == list(keys):
         return out
     ends = df.groupBy(*part).agg(
         *[F.min(n).alias(f"{n}_first") for n in names], *[F.max(n).alias(f"{n}_last") for n in names]
     )
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    after = (
-        Window.partitionBy(*keys).orderBy(F.desc("_seg")).rowsBetween(Window.unboundedPreceding, -1)
-    )
     carried = ends.select(
         *part,
-        *[F.last(f"{n}_last", True).over(before).alias(f"{n}_in") for n in names],
-        *[F.last(f"{n}_first", True).over(after).alias(f"{n}_out") for n in names],
+        *[
+            _nearest(fn, f"{n}_{end}", keys, "_seg").alias(f"{n}_{carry}")
+            for n in names
+            for fn, end, carry in sides.values()
+        ],
     )
     joined = out.join(carried, list(part), "left")
     return joined.withColumns(
         {
-            **{f"{n}_prev": F.coalesce(f"{n}_prev", f"{n}_in") for n in names},
-            **{f"{n}_next": F.coalesce(f"{n}_next", f"{n}_out") for n in names},
+            f"{n}_{s}": F.coalesce(f"{n}_{s}", f"{n}_{carry}")
+            for n in names
+            for s, (_, _, carry) in sides.items()
         }
-    ).drop(*[f"{n}_in" for n in names], *[f"{n}_out" for n in names])
+    ).drop(*[f"{n}_{carry}" for n in names for _, _, carry in sides.values()])
 
 
 def interpolate_linear(
@@ -143,14 +149,15 @@ def _not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Cubic spline through (x, y) whose third derivative has no jump at the second and the
     last but one point, evaluated at ``at`` with extrapolation."""
     n = len(x)
-    h = np.diff(x)
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
     system = np.zeros((n, n))
-    right = np.zeros(n)
-    for i in range(1, n - 1):
-        system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        right[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    inner = np.arange(1, n - 1)
+    system[inner, inner - 1], system[inner, inner + 1] = h[:-1], h[1:]
+    system[inner, inner] = 2 * (h[:-1] + h[1:])
     system[0, :3] = h[1], -(h[0] + h[1]), h[0]
     system[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    right = np.zeros(n)
+    right[1:-1] = 6 * np.diff(slope)
     curve = np.linalg.solve(system, right)
     i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     left, rest = at - x[i], x[i + 1] - at
@@ -162,52 +169,47 @@ def _not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     )
 
 
+def _fill_one(at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    known = ~np.isnan(y)
+    n = int(known.sum())
+    if n >= 4:
+        guess = _not_a_knot(at[known], y[known], at)
+    elif n >= 2:
+        x, v = at[known], y[known]
+        i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+        guess = v[i] + (at - x[i]) * (v[i + 1] - v[i]) / (x[i + 1] - x[i])
+    else:
+        guess = np.full(len(at), y[known][0] if n else np.nan)
+    return np.where(known, y, guess)
+
+
+def _cubic_fill(positions: pd.Series, values: pd.Series) -> pd.Series:
+    rows = zip(positions, values)
+    return pd.Series([_fill_one(np.asarray(p, float), np.asarray(v, float)) for p, v in rows])
+
+
 def interpolate_cubic(
     df: DataFrame, keys: Sequence[str], pos: str, variables: Sequence[str], length: int = 52
 ) -> DataFrame:
     """Cubic fill of fixed-length series: spline from four known points on, else linear.
 
-    A spline needs its whole series; positions outside ``0..length-1`` are an error, and so are
-    repeated ones, which keeps a group at ``length`` rows.
+    A spline needs its whole series, so the ``length`` steps of a key are packed into arrays that
+    a vectorised function fills. Longer series and repeated positions are an error.
     """
     keys = list(keys)
-    steps = (
-        df.groupBy(*keys, pos)
-        .agg(
-            F.count(F.lit(1)).alias("_c"),
-            *[F.first(c).alias(c) for c in df.columns if c not in (*keys, pos)],
-        )
-        .withColumn(
-            pos,
-            F.when((F.col("_c") == 1) & F.col(pos).between(0, length - 1), F.col(pos)).otherwise(
-                F.raise_error(F.lit(f"positions have to be unique and within 0..{length - 1}"))
-            ),
-        )
-        .drop("_c")
-        .select(*df.columns)
+    fields = [c for c in df.columns if c not in keys]
+    packed = ranking.bounded_lists(df, keys, [F.col(pos)], fields, length, "steps")
+    at = F.transform("steps", lambda s: s[pos].cast("double"))
+    repeated = F.raise_error(F.lit("repeated positions in a series"))
+    at = F.when(F.size(F.array_distinct(at)) < F.size(at), repeated).otherwise(at)
+    fill = F.pandas_udf(_cubic_fill, "array<double>")
+    series = lambda v: F.transform("steps", lambda s: s[v].cast("double"))
+    filled = packed.withColumn("_at", at).withColumns(
+        {f"_f_{v}": fill("_at", series(v)) for v in variables}
     )
-    schema = T.StructType(
-        [
-            T.StructField(f.name, T.DoubleType()) if f.name in variables else f
-            for f in steps.schema.fields
-        ]
+    arrays = ["steps", *[f"_f_{v}" for v in variables]]
+    rows = filled.select(*keys, F.explode(F.arrays_zip(*arrays)).alias("r"))
+    value = lambda c: (
+        F.nullif(F.col("r")[f"_f_{c}"], F.lit(float("nan"))) if c in variables else F.col("r")["steps"][c]
     )
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        at = group[pos].to_numpy(dtype=float)
-        for v in variables:
-            y = group[v].to_numpy(dtype=float)
-            order = np.argsort(at)
-            known = order[~np.isnan(y[order])]
-            if len(known) >= 4:
-                guess = _not_a_knot(at[known], y[known], at)
-            elif len(known) >= 2:
-                i = np.clip(np.searchsorted(at[known], at, side="right") - 1, 0, len(known) - 2)
-                x0, x1, y0, y1 = at[known][i], at[known][i + 1], y[known][i], y[known][i + 1]
-                guess = y0 + (at - x0) * (y1 - y0) / (x1 - x0)
-            else:
-                guess = np.full(len(at), y[known[0]] if len(known) else np.nan)
-            group[v] = np.where(np.isnan(y), guess, y)
-        return group
-
-    return steps.groupBy(*keys).applyInPandas(fill, schema)
+    return rows.select(*keys, *[value(c).alias(c) for c in fields]).select(*df.columns)

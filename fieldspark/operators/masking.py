@@ -24,7 +24,7 @@ def mask_random(
     sample: str,
     ratio: float = 0.75,
     seed: int = 42,
-    heavy_rows: int = ranking.HEAVY_ROWS,
+    heavy_rows: int | None = ranking.HEAVY_ROWS,
 ) -> DataFrame:
     """Mask exactly int(N·ratio) tokens of every sample."""
     hashed = tokens.withColumn("_h", V.seeded_hash(seed, F.col(sample), F.col("token_pos")))
@@ -65,7 +65,7 @@ def mask_timesteps(
     sample: str,
     ratio: float = 0.75,
     seed: int = 42,
-    heavy_rows: int = ranking.HEAVY_ROWS,
+    heavy_rows: int | None = ranking.HEAVY_ROWS,
 ) -> DataFrame:
     """Mask clamp(int(T·ratio), 1, T-1) steps of every modality; a single step stays."""
     hashed = tokens.withColumn("_h", V.seeded_hash(seed, F.col(sample), F.col("token_pos")))
@@ -93,7 +93,7 @@ def enforce_ratio(
     sample: str,
     ratio: float = 0.75,
     seed: int = 42,
-    heavy_rows: int = ranking.HEAVY_ROWS,
+    heavy_rows: int | None = ranking.HEAVY_ROWS,
 ) -> DataFrame:
     """Top up or trim at random to exactly int(N·ratio) masked tokens per sample.
 
@@ -140,12 +140,15 @@ def structured_mask(
     patterns: Sequence[str] = ("monthly",),
     weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25),
     seed: int = 42,
-    heavy_rows: int = ranking.HEAVY_ROWS,
+    heavy_rows: int | None = ranking.HEAVY_ROWS,
 ) -> DataFrame:
     """The strategy drawn for each batch, then the exact overall ratio.
 
     The random strategy needs no pass of its own: an empty mask topped up at random is one.
+    Sample sizes are checked once for all rankings, which then share one exchange.
     """
+    if heavy_rows is not None and ranking.heavy_groups(tokens, [sample], heavy_rows) is None:
+        heavy_rows = None
     chosen = tokens.withColumn("strategy", choose_strategy(F.col(batch), weights, seed))
     steps = mask_timesteps(chosen, sample, timestep_ratio, seed, heavy_rows)
     steps = steps.withColumnRenamed("masked", "_steps")

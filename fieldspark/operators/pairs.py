@@ -20,22 +20,29 @@ from . import ranking
 TILE_ROWS = 2048
 
 
-def _tile_pairs(df: DataFrame, batch: str, row: str, tile_rows: int) -> DataFrame:
-    """Every row once per tile pair of its batch it belongs to: ``_t`` own, ``_p <= _q`` pair."""
+def _tile_pairs(df: DataFrame, batch: str, row: str, tile_rows: int) -> tuple[DataFrame, bool]:
+    """Every row once per tile pair of its batch it belongs to: ``_t`` own, ``_p <= _q`` pair.
+
+    The flag tells that all batches are single tiles, so that partial sums are final.
+    """
     sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > tile_rows).select(
         batch, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_tiles")
     )
+    if large.isEmpty():
+        zero = F.lit(0)
+        return df.withColumns({"_t": zero, "_p": zero, "_q": zero}), True
     known = df.join(ranking.small_table(large), batch, "left").withColumn(
         "_tiles", F.coalesce("_tiles", F.lit(1))
     )
     own = F.pmod(F.xxhash64(row), F.col("_tiles")).cast("int")
-    return (
+    tiles = (
         known.withColumn("_t", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
         .withColumns({"_p": F.least("_t", "_other"), "_q": F.greatest("_t", "_other")})
         .drop("_tiles", "_other")
     )
+    return tiles, False
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -103,7 +110,7 @@ def pair_summary(
     ``upper_pairs`` and ``upper_distance`` cover only partners with a greater row id, so their
     totals are those of the upper triangle. A row alone in its batch has no partners.
     """
-    tiles = _tile_pairs(
+    tiles, single = _tile_pairs(
         df.select(batch, row, F.col(vector).alias("_z")), batch, row, tile_rows
     )
 
@@ -137,29 +144,25 @@ def pair_summary(
             "upper_distance": "double",
         },
     )
-    alone = F.col("partners") == 0
-    return (
-        parts.groupBy(batch, row)
-        .agg(
-            F.sum("partners").alias("partners"),
-            F.sum("sim_sum").alias("_sim"),
-            F.max("sim_max").alias("_top"),
-            F.sum("dist_sum").alias("distance_sum"),
-            F.min("dist_min").alias("_near"),
-            F.sum("upper_pairs").alias("upper_pairs"),
-            F.sum("upper_distance").alias("upper_distance"),
-        )
-        .select(
-            batch,
-            row,
-            "partners",
-            F.try_divide("_sim", "partners").alias("mean_cosine"),
-            F.when(~alone, F.col("_top")).alias("max_cosine"),
-            "distance_sum",
-            F.when(~alone, F.col("_near")).alias("min_distance"),
-            "upper_pairs",
-            "upper_distance",
+    merged = parts
+    if not single:
+        total = ["partners", "sim_sum", "dist_sum", "upper_pairs", "upper_distance"]
+        merged = parts.groupBy(batch, row).agg(
+            *[F.sum(c).alias(c) for c in total],
+            F.max("sim_max").alias("sim_max"),
+            F.min("dist_min").alias("dist_min"),
         )
+    paired = F.col("partners") > 0
+    return merged.select(
+        batch,
+        row,
+        "partners",
+        F.try_divide("sim_sum", "partners").alias("mean_cosine"),
+        F.when(paired, F.col("sim_max")).alias("max_cosine"),
+        F.col("dist_sum").alias("distance_sum"),
+        F.when(paired, F.col("dist_min")).alias("min_distance"),
+        "upper_pairs",
+        "upper_distance",
     )
 
 
@@ -177,34 +180,47 @@ def contrastive_loss(
     Partners with the same label above zero are positives. A row's loss is the mean over its
     positives of -log(p + 1e-8), p being the softmax share of the cosine over the temperature;
     a batch's loss is the mean over rows with a positive. A batch without any has no row.
-    Rows without a label take no part. The softmax sums need a first pass over the tiles.
+    Rows without a label take no part. Where a batch has several tiles, the softmax sums need a
+    pass of their own.
     """
     valid = df.where(F.col(label).isNotNull()).select(
         batch, row, F.col(vector).alias("_z"), F.col(label).cast("int").alias("_y")
     )
-    tiles = _tile_pairs(valid, batch, row, tile_rows)
+    tiles, single = _tile_pairs(valid, batch, row, tile_rows)
 
     def weight(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         return np.exp(_unit(_matrix(a["_z"])) @ _unit(_matrix(b["_z"])).T / temperature)
 
-    def totals(a: pd.DataFrame, b: pd.DataFrame, other: np.ndarray) -> dict[str, np.ndarray]:
-        return {"_part": np.where(other, weight(a, b), 0).sum(axis=1)}
-
-    sums = _per_row(tiles, batch, row, totals, {"_part": "double"})
-    share = sums.groupBy(batch, row).agg(F.greatest(F.sum("_part"), F.lit(1e-8)).alias("_den"))
-
-    def losses(a: pd.DataFrame, b: pd.DataFrame, other: np.ndarray) -> dict[str, np.ndarray]:
+    def score(
+        a: pd.DataFrame, b: pd.DataFrame, other: np.ndarray, w: np.ndarray, den: np.ndarray
+    ) -> dict[str, np.ndarray]:
         ya, yb = a["_y"].to_numpy()[:, None], b["_y"].to_numpy()[None, :]
         positive = other & (ya == yb) & (ya > 0)
-        p = weight(a, b) / a["_den"].to_numpy()[:, None]
+        p = w / np.maximum(den, 1e-8)[:, None]
         return {
             "_loss": np.where(positive, -np.log(p + 1e-8), 0).sum(axis=1),
             "_pos": positive.sum(axis=1),
         }
 
-    scored = _tile_pairs(valid.join(share, [batch, row]), batch, row, tile_rows)
-    parts = _per_row(scored, batch, row, losses, {"_loss": "double", "_pos": "bigint"})
-    rows = parts.groupBy(batch, row).agg(F.sum("_loss").alias("_loss"), F.sum("_pos").alias("_pos"))
+    def at_once(a: pd.DataFrame, b: pd.DataFrame, other: np.ndarray) -> dict[str, np.ndarray]:
+        w = weight(a, b)
+        return score(a, b, other, w, np.where(other, w, 0).sum(axis=1))
+
+    def totals(a: pd.DataFrame, b: pd.DataFrame, other: np.ndarray) -> dict[str, np.ndarray]:
+        return {"_part": np.where(other, weight(a, b), 0).sum(axis=1)}
+
+    def given(a: pd.DataFrame, b: pd.DataFrame, other: np.ndarray) -> dict[str, np.ndarray]:
+        return score(a, b, other, weight(a, b), a["_den"].to_numpy())
+
+    fields = {"_loss": "double", "_pos": "bigint"}
+    if single:
+        rows = _per_row(tiles, batch, row, at_once, fields)
+    else:
+        sums = _per_row(tiles, batch, row, totals, {"_part": "double"})
+        share = sums.groupBy(batch, row).agg(F.sum("_part").alias("_den"))
+        scored, _ = _tile_pairs(valid.join(share, [batch, row]), batch, row, tile_rows)
+        parts = _per_row(scored, batch, row, given, fields)
+        rows = parts.groupBy(batch, row).agg(*[F.sum(f).alias(f) for f in fields])
     return (
         rows.where(F.col("_pos") > 0)
         .groupBy(batch)
@@ -230,7 +246,7 @@ def eam_loss(
     distance for equal labels above zero, and the hinge of the distance for different labels.
     A term without pairs is 0. Unlabelled rows form no pair.
     """
-    tiles = _tile_pairs(
+    tiles, _ = _tile_pairs(
         df.select(
             batch,
             row,

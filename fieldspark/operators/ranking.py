@@ -47,16 +47,17 @@ def rank_within(
     keys: Sequence[str],
     order: Sequence[Column],
     bucket: Column,
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int | None = HEAVY_ROWS,
 ) -> DataFrame:
     """Add ``_rank`` (1-based, per group) and ``_n`` (group size), both BIGINT.
 
     Without heavy groups this is one window. Otherwise heavy groups are cut by ``bucket``, an
     expression that never decreases along ``order``: each bucket is ranked on its own and shifted
     by the rows in earlier buckets, so no task sees a whole heavy group. ``order`` must be total.
+    ``heavy_rows=None`` skips the check where the caller knows that groups are bounded.
     """
     keys = list(keys)
-    heavy = heavy_groups(df, keys, heavy_rows)
+    heavy = None if heavy_rows is None else heavy_groups(df, keys, heavy_rows)
     if heavy is None:
         group = Window.partitionBy(*keys)
         return df.withColumn(
@@ -113,7 +114,7 @@ def global_hash_rank(df: DataFrame, digest: str, ties: Sequence[str], digits: in
 
 
 def hash_rank(
-    df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[str], heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[str], heavy_rows: int | None = HEAVY_ROWS
 ) -> DataFrame:
     """`rank_within` in digest order; heavy groups are cut by the first three hex digits."""
     return rank_within(
@@ -126,7 +127,7 @@ def hash_rank(
 
 
 def series_rank(
-    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], heavy_rows: int | None = HEAVY_ROWS
 ) -> DataFrame:
     """`rank_within` in time order; heavy groups are cut by the hour."""
     return rank_within(
@@ -174,7 +175,7 @@ def bounded_lists(
 
 
 def position_in_group(
-    df: DataFrame, keys: Sequence[str], position: str, span: int = 65_536, heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, keys: Sequence[str], position: str, span: int = 65_536, heavy_rows: int | None = HEAVY_ROWS
 ) -> DataFrame:
     """`rank_within` along an integer position; heavy groups are cut into ``span``-wide pieces."""
     return rank_within(

@@ -49,19 +49,14 @@ def _edges(ring: Column) -> Column:
     )
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
+def in_polygon(x: Column, y: Column, edges: Column) -> Column:
     """Even-odd ray casting; left and bottom boundaries count as inside."""
-    crossing = F.aggregate(
-        _edges(ring),
-        F.lit(0),
-        lambda acc, e: acc
-        + F.when(
-            ((e["ay"] > y) != (e["by"] > y))
-            & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]),
-            F.lit(1),
-        ).otherwise(F.lit(0)),
+    crossed = F.filter(
+        edges,
+        lambda e: ((e["ay"] > y) != (e["by"] > y))
+        & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]),
     )
-    return F.pmod(crossing, F.lit(2)) == 1
+    return F.size(crossed) % 2 == 1
 
 
 def _span(ring: Column, axis: str) -> tuple[Column, Column]:
@@ -80,15 +75,39 @@ def zone_of_point(
     x0, x1 = _span(F.col("ring"), "x")
     y0, y1 = _span(F.col("ring"), "y")
     listed = (
-        zones.withColumn("tx", F.explode(F.sequence(geo.snap(x0, tile), geo.snap(x1, tile))))
-        .withColumn("ty", F.explode(F.sequence(geo.snap(y0, tile), geo.snap(y1, tile))))
-        .select("tx", "ty", "zone_id", "ring")
+        zones.select(
+            "zone_id",
+            _edges(F.col("ring")).alias("edges"),
+            x0.alias("x0"),
+            x1.alias("x1"),
+            y0.alias("y0"),
+            y1.alias("y1"),
+        )
+        .withColumn(
+            "tx", F.explode(F.sequence(geo.snap(F.col("x0"), tile), geo.snap(F.col("x1"), tile)))
+        )
+        .withColumn(
+            "ty", F.explode(F.sequence(geo.snap(F.col("y0"), tile), geo.snap(F.col("y1"), tile)))
+        )
     )
-    placed = points.withColumns(
-        {"tx": geo.snap(F.col("lon"), tile), "ty": geo.snap(F.col("lat"), tile)}
+    placed = points.select(
+        key,
+        "lon",
+        "lat",
+        geo.snap(F.col("lon"), tile).alias("px"),
+        geo.snap(F.col("lat"), tile).alias("py"),
+    )
+    # same tile, then inside the bounding box; both run before any ray is cast
+    near = (
+        (F.col("px") == F.col("tx"))
+        & (F.col("py") == F.col("ty"))
+        & F.col("lon").between(F.col("x0"), F.col("x1"))
+        & F.col("lat").between(F.col("y0"), F.col("y1"))
+    )
+    candidates = placed.join(listed, near, "left")
+    inside = F.col("zone_id").isNotNull() & in_polygon(
+        F.col("lon"), F.col("lat"), F.col("edges")
     )
-    candidates = placed.select(key, "lon", "lat", "tx", "ty").join(listed, ["tx", "ty"], "left")
-    inside = F.col("zone_id").isNotNull() & in_ring(F.col("lon"), F.col("lat"), F.col("ring"))
     return candidates.groupBy(key).agg(
         F.coalesce(F.min(F.when(inside, F.col("zone_id"))), F.lit(missing).cast("bigint")).alias(
             "zone_id"
@@ -122,7 +141,7 @@ def cover_grid(regions: DataFrame, size: float = 5000.0) -> DataFrame:
     rest = [c for c in regions.columns if c != "ring"]
     x0, x1 = _span(F.col("ring"), "x")
     y0, y1 = _span(F.col("ring"), "y")
-    columns = regions.withColumns({"_y0": geo.snap(y0, size), "_y1": geo.snap(y1, size)}).withColumn(
+    columns = regions.withColumn("edges", _edges(F.col("ring"))).withColumns({"_y0": geo.snap(y0, size), "_y1": geo.snap(y1, size)}).withColumn(
         "cell_x", F.explode(F.sequence(geo.snap(x0, size), geo.snap(x1, size)))
     )
     cells = columns.repartition(*rest, "cell_x").withColumn(
@@ -130,11 +149,9 @@ def cover_grid(regions: DataFrame, size: float = 5000.0) -> DataFrame:
     )
     left, bottom = F.col("cell_x") * F.lit(size), F.col("cell_y") * F.lit(size)
     right, top = left + F.lit(size), bottom + F.lit(size)
-    touches = F.exists(
-        _edges(F.col("ring")), lambda e: _edge_meets_box(e, left, bottom, right, top)
-    )
+    touches = F.exists("edges", lambda e: _edge_meets_box(e, left, bottom, right, top))
     # without an edge in the cell, the cell is wholly inside or wholly outside
-    return cells.where(touches | in_ring(left, bottom, F.col("ring"))).select(
+    return cells.where(touches | in_polygon(left, bottom, F.col("edges"))).select(
         *rest, "cell_x", "cell_y"
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, values as V
-from . import temporal
+from . import ranking, temporal
 
 
 def masked_stats(
@@ -196,39 +196,35 @@ def null_audit(
     missing value raises.
     """
     names = list(variables)
-    valid = series.where(F.col("valid"))
-    missing = [F.count_if(F.col(v).isNull()) for v in names]
-    # counts per sample and week first: everything later reads this much smaller table
-    cells = valid.groupBy(sample, "pos").agg(
-        F.count(F.lit(1)).alias("_rows"), *[m.alias(v) for m, v in zip(missing, names)]
-    )
-    total_cells = F.sum("_rows") * len(names)
-    all_missing = F.sum(sum((F.col(v) for v in names[1:]), F.col(names[0])))
-    line = lambda scope, key, nulls, cells_: [
-        F.lit(scope).alias("scope"),
-        key.cast("string").alias("key"),
-        nulls.cast("bigint").alias("nulls"),
-        cells_.cast("bigint").alias("cells"),
-    ]
-    total = cells.agg(all_missing.alias("n"), total_cells.alias("c"))
+    nulls = [F.when(F.col(v).isNull(), 1).otherwise(0).alias(v) for v in names]
+    cells = series.where(F.col("valid")).select(sample, "pos", *nulls)
+    sums = [F.sum(v).alias(v) for v in names]
+    every = F.sum(sum((F.col(v) for v in names[1:]), F.col(names[0]))).alias("n")
+    size = (F.count(F.lit(1)) * len(names)).alias("c")
+
+    def line(scope: str, key: Column, n: Column, c: Column) -> list[Column]:
+        return [
+            F.lit(scope).alias("scope"),
+            key.cast("string").alias("key"),
+            F.coalesce(n, F.lit(0)).cast("bigint").alias("nulls"),
+            c.cast("bigint").alias("cells"),
+        ]
+
+    whole = cells.agg(*sums, every, size)
     if fail:
         message = F.concat(F.col("n").cast("string"), F.lit(" missing values in valid steps"))
         guard = F.when(F.col("n") > 0, F.raise_error(message)).otherwise(F.col("n"))
-        total = total.withColumn("n", guard.cast("bigint"))
-    by_variable = (
-        cells.agg(F.sum("_rows").alias("_rows"), *[F.sum(v).alias(v) for v in names])
-        .unpivot(["_rows"], names, "k", "n")
-        .select(*line("variable", F.col("k"), F.col("n"), F.col("_rows")))
-    )
-    by_week = (
-        cells.groupBy("pos").agg(all_missing.alias("n"), total_cells.alias("c")).where("n > 0")
-    )
-    by_sample = cells.groupBy(sample).agg(all_missing.alias("n"), total_cells.alias("c"))
+        whole = whole.withColumn("n", guard.cast("bigint"))
+    overall = [F.struct(*line("total", F.lit("all"), F.col("n"), F.col("c")))] + [
+        F.struct(*line("variable", F.lit(v), F.col(v), F.col("c") / len(names))) for v in names
+    ]
+    by_week = cells.groupBy("pos").agg(every, size).where("n > 0")
+    by_sample = cells.groupBy(sample).agg(every, size)
     counted = by_sample.agg(F.count_if(F.col("n") > 0).alias("n"), F.count(F.lit(1)).alias("c"))
     firsts = by_sample.where("n > 0").orderBy(sample).limit(first_samples)
     return (
-        total.select(*line("total", F.lit("all"), F.col("n"), F.col("c")))
-        .unionByName(by_variable)
+        whole.select(F.explode(F.array(*overall)).alias("l"))
+        .select("l.*")
         .unionByName(by_week.select(*line("week", F.col("pos"), F.col("n"), F.col("c"))))
         .unionByName(counted.select(*line("samples", F.lit("with_nulls"), F.col("n"), F.col("c"))))
         .unionByName(firsts.select(*line("sample", F.col(sample), F.col("n"), F.col("c"))))
@@ -240,10 +236,8 @@ def members_by(df: DataFrame, group: str, member: str) -> DataFrame:
 
     Long rows instead of one array per group: a group may be of any size.
     """
-    from .ranking import rank_within
-
     distinct = df.select(group, member).distinct()
-    ranked = rank_within(distinct, [group], [F.col(member)], F.substring(F.col(member), 1, 2))
+    ranked = ranking.rank_within(distinct, [group], [F.col(member)], F.substring(F.col(member), 1, 2))
     return ranked.select(
         group, F.col("_rank").alias("position"), member, F.col("_n").alias("members")
     )

@@ -75,14 +75,24 @@ def median_by(
     return light.unionByName(heavy.join(found, keys, "left"))
 
 
-def fill_weeks(weekly: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
-    """Every week between the first and last of a key.
+def fill_weeks(
+    weekly: DataFrame, keys: Sequence[str], variables: Sequence[str], length: int | None = None
+) -> DataFrame:
+    """Every week between the first and last of a key, or its first ``length`` weeks.
 
     Each row also produces the empty weeks up to its successor, so there is no calendar join.
     """
-    following = F.lead("week_end").over(Window.partitionBy(*keys).orderBy("week_end"))
-    last = F.coalesce(F.date_sub(following, 7), F.col("week_end"))
-    spread = weekly.withColumn("_last", last).select(
+    order = Window.partitionBy(*keys).orderBy("week_end")
+    last = F.coalesce(F.date_sub(F.lead("week_end").over(order), 7), F.col("week_end"))
+    rows = weekly.withColumn("_last", last)
+    if length is not None:
+        # weeks the caller would clip are not produced in the first place
+        first = F.first("week_end").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("_limit", F.date_add(first, 7 * (length - 1)))
+        rows = rows.where(F.col("week_end") <= F.col("_limit")).withColumn(
+            "_last", F.least("_last", "_limit")
+        )
+    spread = rows.select(
         *keys,
         F.col("week_end").alias("_start"),
         *variables,
@@ -142,7 +152,7 @@ def clip_pad(
 
 
 def with_week_encoding(series: DataFrame) -> DataFrame:
-    sin, cos = TM.cyclic_week(F.col("week_key"))
+    sin, cos = TM.cyclic(F.weekofyear("week_end"))
     return series.withColumns({"week_sin": sin, "week_cos": cos})
 
 
@@ -162,7 +172,7 @@ def clean_series(
     if nodata is not None:
         df = df.withColumns({v: V.null_if_nodata(F.col(v), nodata) for v in variables})
     weekly = weekly_resample(df, keys, ts, variables, agg)
-    filled = fill_weeks(weekly, keys, variables)
+    filled = fill_weeks(weekly, keys, variables, WEEKS)
     return with_week_encoding(clip_pad(filled, keys, variables, samples=samples))
 
 
@@ -192,7 +202,9 @@ def calendar_grid(
     return grid.select(
         *keys,
         (F.col("_week") - 1).alias("pos"),
-        F.format_string("%d-W%02d", "year", "_week").alias("week_key"),
+        F.concat(
+            F.col("year").cast("string"), F.lit("-W"), F.lpad(F.col("_week").cast("string"), 2, "0")
+        ).alias("week_key"),
         F.col("_v").isNotNull().alias("valid"),
         *[F.col("_v").getField(v).alias(v) for v in variables],
     )

@@ -36,26 +36,38 @@ def token_table(
     ties: Sequence[str],
     modality_order: Sequence[str],
     temporal: Sequence[str],
-    heavy_rows: int = ranking.HEAVY_ROWS,
+    heavy_rows: int | None = ranking.HEAVY_ROWS,
 ) -> DataFrame:
     """One row per token: contiguous modalities in the given order, time order inside."""
-    ranked = ranking.series_rank(df, [sample, "modality"], ts, ties, heavy_rows).drop("_n")
-    bounds = token_boundaries(df, sample, modality_order).select(
-        sample, "modality", "modality_idx", "start_pos"
-    )
-    is_temporal = F.col("modality").isin(list(temporal))
-    step = F.col("_rank") - 1
-    return (
-        ranked.join(bounds, [sample, "modality"])
-        .withColumns(
+    names = F.array(*[F.lit(m) for m in modality_order])
+    indexed = df.withColumn("modality_idx", (F.array_position(names, F.col("modality")) - 1).cast("int"))
+    keys = [sample, "modality_idx"]
+    if heavy_rows is None or ranking.heavy_groups(indexed, [sample], heavy_rows) is None:
+        # both windows use the same exchange and the same sort
+        order = [F.col(c) for c in (ts, *ties)]
+        whole = Window.partitionBy(sample).orderBy("modality_idx", *order)
+        placed = indexed.withColumns(
             {
-                "token_pos": F.col("start_pos") + step,
-                "is_temporal": is_temporal,
-                "week_idx": F.when(is_temporal, TM.week_index(step)).otherwise(F.lit(0)),
+                "token_pos": (F.row_number().over(whole) - 1).cast("bigint"),
+                "_step": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1,
             }
         )
-        .drop("_rank", "start_pos")
-    )
+    else:
+        ranked = ranking.series_rank(indexed, keys, ts, ties, heavy_rows).drop("_n")
+        starts = token_boundaries(df, sample, modality_order).select(*keys, "start_pos")
+        placed = (
+            ranked.join(starts, keys)
+            .withColumn("_step", F.col("_rank") - 1)
+            .withColumn("token_pos", F.col("start_pos") + F.col("_step"))
+            .drop("_rank", "start_pos")
+        )
+    is_temporal = F.col("modality").isin(list(temporal))
+    return placed.withColumns(
+        {
+            "is_temporal": is_temporal,
+            "week_idx": F.when(is_temporal, TM.week_index(F.col("_step"))).otherwise(F.lit(0)),
+        }
+    ).drop("_step")
 
 
 def series_tokens(series: DataFrame, sample: str, variables: Sequence[str], length: int = 52) -> DataFrame:
