@@ -49,14 +49,14 @@ def _edges(ring: Column) -> Column:
     )
 
 
-def in_polygon(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd ray casting; left and bottom boundaries count as inside."""
-    crossed = F.filter(
-        edges,
-        lambda e: ((e["ay"] > y) != (e["by"] > y))
-        & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]),
-    )
-    return F.size(crossed) % 2 == 1
+def _crosses(x: Column, y: Column, e: Column) -> Column:
+    """1 when the edge crosses the ray from (x, y) to the right, else 0.
+
+    An odd number of crossings means inside; left and bottom boundaries count as inside.
+    """
+    spans = (e["ay"] > y) != (e["by"] > y)
+    at = (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+    return F.when(spans & (x < at), 1).otherwise(0)
 
 
 def _span(ring: Column, axis: str) -> tuple[Column, Column]:
@@ -71,6 +71,7 @@ def zone_of_point(
 
     Zones ``(zone_id, ring)`` are listed under every tile of their bounding box and meet the
     points in an equi join on the tile; ray casting decides. Crowded tiles are split by AQE.
+    Points need a unique key.
     """
     x0, x1 = _span(F.col("ring"), "x")
     y0, y1 = _span(F.col("ring"), "y")
@@ -105,13 +106,16 @@ def zone_of_point(
         & F.col("lat").between(F.col("y0"), F.col("y1"))
     )
     candidates = placed.join(listed, near, "left")
-    inside = F.col("zone_id").isNotNull() & in_polygon(
-        F.col("lon"), F.col("lat"), F.col("edges")
+    # one row per edge keeps the test in generated code; the sums combine before the exchange
+    crossings = F.sum(_crosses(F.col("lon"), F.col("lat"), F.col("e"))).alias("_n")
+    per_zone = (
+        candidates.select(key, "lon", "lat", "zone_id", F.explode_outer("edges").alias("e"))
+        .groupBy(key, "zone_id")
+        .agg(crossings)
     )
-    return candidates.groupBy(key).agg(
-        F.coalesce(F.min(F.when(inside, F.col("zone_id"))), F.lit(missing).cast("bigint")).alias(
-            "zone_id"
-        )
+    found = F.min(F.when(F.col("_n") % 2 == 1, F.col("zone_id")))
+    return per_zone.groupBy(key).agg(
+        F.coalesce(found, F.lit(missing).cast("bigint")).alias("zone_id")
     )
 
 
@@ -135,23 +139,32 @@ def _edge_meets_box(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -
 def cover_grid(regions: DataFrame, size: float = 5000.0) -> DataFrame:
     """All cells that share a point with a region, with the region's attributes.
 
-    ``ring`` is in Web-Mercator metres. Columns of cells are spread over the cluster before the
-    cells of a column are listed, so one vast region is not one task.
+    ``ring`` is in Web-Mercator metres; the other columns have to tell regions apart. Columns of
+    cells are spread over the cluster before the cells of a column are listed, so one vast region
+    is not one task.
     """
     rest = [c for c in regions.columns if c != "ring"]
     x0, x1 = _span(F.col("ring"), "x")
     y0, y1 = _span(F.col("ring"), "y")
-    columns = regions.withColumn("edges", _edges(F.col("ring"))).withColumns({"_y0": geo.snap(y0, size), "_y1": geo.snap(y1, size)}).withColumn(
-        "cell_x", F.explode(F.sequence(geo.snap(x0, size), geo.snap(x1, size)))
+    columns = regions.select(
+        *rest,
+        _edges(F.col("ring")).alias("edges"),
+        geo.snap(y0, size).alias("_y0"),
+        geo.snap(y1, size).alias("_y1"),
+        F.explode(F.sequence(geo.snap(x0, size), geo.snap(x1, size))).alias("cell_x"),
     )
     cells = columns.repartition(*rest, "cell_x").withColumn(
         "cell_y", F.explode(F.sequence("_y0", "_y1"))
     )
     left, bottom = F.col("cell_x") * F.lit(size), F.col("cell_y") * F.lit(size)
     right, top = left + F.lit(size), bottom + F.lit(size)
-    touches = F.exists("edges", lambda e: _edge_meets_box(e, left, bottom, right, top))
-    # without an edge in the cell, the cell is wholly inside or wholly outside
-    return cells.where(touches | in_polygon(left, bottom, F.col("edges"))).select(
+    e = F.col("e")
+    tested = cells.withColumn("e", F.explode("edges")).groupBy(*rest, "cell_x", "cell_y").agg(
+        F.bool_or(_edge_meets_box(e, left, bottom, right, top)).alias("_touched"),
+        F.sum(_crosses(left, bottom, e)).alias("_n"),
+    )
+    # without an edge in it, a cell is wholly inside or wholly outside
+    return tested.where(F.col("_touched") | (F.col("_n") % 2 == 1)).select(
         *rest, "cell_x", "cell_y"
     )
 

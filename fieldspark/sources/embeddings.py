@@ -19,17 +19,45 @@ def embedding_columns(columns: list[str]) -> list[str]:
 def read_embeddings(spark: SparkSession, path: str, index: str = "sample_idx") -> DataFrame:
     """CSV files with a header to (index, embedding ARRAY<FLOAT>).
 
-    The schema comes from the header; nothing is inferred from the data.
+    Without an index column, row ``i`` of the files in name order belongs to sample ``i``. The
+    schema comes from the header; nothing is inferred from the data.
     """
     header = spark.read.csv(path, header=True).columns
     vector = embedding_columns(header)
-    if index not in header:
-        raise ValueError(f"no {index} column")
-    schema = ", ".join(f"`{c}` {'bigint' if c == index else 'float' if c in vector else 'string'}" for c in header)
+    kinds = {c: "float" for c in vector} | {index: "bigint"}
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header)
     rows = spark.read.schema(schema).csv(path, header=True)
+    if index not in header:
+        rows = _with_row_number(rows, index)
     return rows.select(index, F.array(*vector).alias("embedding"))
 
 
+def _with_row_number(rows: DataFrame, index: str) -> DataFrame:
+    """Number the rows of a file scan in file order.
+
+    Rows keep their order inside a file split, so a row's number is its place in the split plus
+    the rows of earlier splits. The driver, which plans the splits, reads one count per split.
+    """
+    split = ["_path", "_start"]
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_order"),
+    )
+    counts = placed.groupBy(*split).agg(F.min("_order").alias("first"), F.count(F.lit(1)).alias("n"))
+    shifts, running = [], 0
+    for row in sorted(counts.collect(), key=lambda r: (r["_path"], r["_start"])):
+        shifts.append((row["_path"], row["_start"], running - row["first"]))
+        running += row["n"]
+    table = rows.sparkSession.createDataFrame(shifts, "_path string, _start bigint, _shift bigint")
+    return (
+        placed.join(F.broadcast(table), split)
+        .withColumn(index, F.col("_order") + F.col("_shift"))
+        .drop("_order", "_shift", *split)
+    )
+
+
 def write_embeddings(df: DataFrame, path: str, dim: int, index: str = "sample_idx") -> None:
     columns = [F.col("embedding")[i].alias(f"emb_{i}") for i in range(dim)]
     df.select(index, *columns).write.mode("overwrite").csv(path, header=True)
