@@ -152,18 +152,21 @@ def with_layout(
 
 
 def relayout(
-    df: DataFrame, chunk: int = CHUNK, shard: int = SHARD, index: str = "sample_idx"
+    df: DataFrame,
+    chunk: int = CHUNK,
+    shard: int = SHARD,
+    index: str = "sample_idx",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Samples in index order, range-partitioned by index, with chunk and shard numbers.
 
-    Partition bounds come from sampled indices, so a sample with very many rows shares no range
-    with others.
+    Partition bounds come from sampled indices, so they follow the data. Without a number of
+    ``partitions`` AQE picks one by size.
     """
-    return (
-        with_layout(df, chunk, shard, index)
-        .repartitionByRange("shard_id", index)
-        .sortWithinPartitions("shard_id", index)
-    )
+    laid = with_layout(df, chunk, shard, index)
+    keys = ["shard_id", index]
+    ranged = laid.repartitionByRange(partitions, *keys) if partitions else laid.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
 
 
 def collate(

@@ -42,11 +42,17 @@ def read_dataset(spark: SparkSession, path: str, names: Sequence[str]) -> dict[s
     return {n: spark.read.parquet(f"{path}/{n}") for n in (*names, "dataset_info")}
 
 
-def write_relayout(df: DataFrame, path: str, chunk: int = 128, shard: int = 1024, index: str = "sample_idx") -> None:
+def write_relayout(
+    df: DataFrame,
+    path: str,
+    chunk: int = sampling.CHUNK,
+    shard: int = sampling.SHARD,
+    index: str = "sample_idx",
+    partitions: int | None = None,
+) -> None:
     """Index-ordered Parquet with lz4; readers of an index range skip files and row groups."""
-    sampling.relayout(df, chunk, shard, index).write.mode("overwrite").option(
-        "compression", "lz4_raw"
-    ).parquet(path)
+    ordered = sampling.relayout(df, chunk, shard, index, partitions)
+    ordered.write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
 
 
 def read_batches(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
