@@ -186,9 +186,9 @@ def cell_crop_area(
 
 
 def mosaic(tiles: DataFrame, pixel: Sequence[str], value: str, priority: str) -> DataFrame:
-    """One value per pixel: the unmasked tile with the highest priority."""
-    best = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(priority)))
-    return tiles.groupBy(*pixel).agg(best.alias(value))
+    """One value per pixel: the unmasked tile with the highest priority, ties by greatest value."""
+    best = F.max(F.when(F.col(value).isNotNull(), F.struct(priority, value)))
+    return tiles.groupBy(*pixel).agg(best.getField(value).alias(value))
 
 
 def slope(dem: DataFrame, cell_m: float, x: str = "gx", y: str = "gy", z: str = "z") -> DataFrame:

@@ -298,10 +298,12 @@ def clean_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as tokens of their order, masked at random."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines, price = table(spark, sf_dir, "lineitem"), F.col("l_extendedprice")
     keyed = lines.select(
         F.col("l_orderkey").alias("sample_idx"),
-        F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey").alias("token_pos"),
+        F.concat_ws(
+            ":", "l_linenumber", "l_partkey", "l_suppkey", F.round(price * 100).cast("bigint")
+        ).alias("token_pos"),
         F.col("l_returnflag").alias("modality"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("quantity"),
@@ -311,7 +313,8 @@ def cells_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELLS_MASKED = """
 cells AS (
-  SELECT l_orderkey AS sample_idx, l_linenumber || ':' || l_partkey || ':' || l_suppkey AS token_pos,
+  SELECT l_orderkey AS sample_idx, l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' ||
+           CAST(round(l_extendedprice * 100) AS BIGINT) AS token_pos,
          l_returnflag AS modality, l_extendedprice AS price, l_quantity AS quantity
   FROM lineitem
 ),

@@ -129,10 +129,9 @@ def cell_crop_area(spark, d):
 @query(
     "a12_mosaic",
     "l_partkey:i l_suppkey:i value:f",
-    """SELECT l_partkey, l_suppkey,
-              arg_max(value, l_orderkey * 10 + l_linenumber) FILTER (WHERE value IS NOT NULL) AS value
-       FROM (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, nullif(l_discount, 0) AS value
-             FROM lineitem) GROUP BY 1, 2""",
+    """SELECT l_partkey, l_suppkey, nullif(l_discount, 0) AS value FROM lineitem
+       QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey
+                 ORDER BY l_discount = 0, l_orderkey * 10 + l_linenumber DESC, l_discount DESC) = 1""",
 )
 def mosaic(spark, d):
     tiles = B.table(spark, d, "lineitem").select(
