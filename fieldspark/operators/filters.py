@@ -86,7 +86,7 @@ def drop_sentinel(df: DataFrame, columns: Sequence[str], sentinel: int = -1) ->
     return df
 
 
-def drop_targets(df: DataFrame, targets: Sequence[str] = ("satclip_embedding",)) -> DataFrame:
+def drop_targets(df: DataFrame, targets: Sequence[str] = ("reference_embedding",)) -> DataFrame:
     """Without the columns that only the scoring step reads."""
     return df.drop(*targets)
 

@@ -87,20 +87,21 @@ def attach_embeddings(
 
 
 def missing_samples(meta: DataFrame, observations: DataFrame, key: str) -> DataFrame:
-    """Samples absent from a modality."""
-    return meta.join(observations.select(key), key, "left_anti")
+    """Samples absent from a modality; its keys are reduced to distinct ones before they move."""
+    return meta.join(observations.select(key).distinct(), key, "left_anti")
 
 
 def present_samples(meta: DataFrame, observations: DataFrame, key: str) -> DataFrame:
-    return meta.join(observations.select(key), key, "left_semi")
+    return meta.join(observations.select(key).distinct(), key, "left_semi")
 
 
 def common_keys(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+    return a.distinct().intersect(b.distinct())
 
 
 def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct keys on one side only, with the side."""
+    a, b = a.distinct(), b.distinct()
     return a.subtract(b).withColumn("side", F.lit("a")).unionByName(
         b.subtract(a).withColumn("side", F.lit("b"))
     )

@@ -156,15 +156,17 @@ def relayout(
     chunk: int = CHUNK,
     shard: int = SHARD,
     index: str = "sample_idx",
+    order: Sequence[str] = (),
     partitions: int | None = None,
 ) -> DataFrame:
-    """Samples in index order, range-partitioned by index, with chunk and shard numbers.
+    """Samples in index order, range-partitioned, with chunk and shard numbers.
 
-    Partition bounds come from sampled indices, so they follow the data. Without a number of
-    ``partitions`` AQE picks one by size.
+    Range bounds come from sampled rows, so they follow the data. ``order`` continues the sort
+    inside a sample; with it a sample with very many rows spans several partitions. Without a
+    number of ``partitions`` AQE picks one by size.
     """
     laid = with_layout(df, chunk, shard, index)
-    keys = ["shard_id", index]
+    keys = ["shard_id", index, *order]
     ranged = laid.repartitionByRange(partitions, *keys) if partitions else laid.repartitionByRange(*keys)
     return ranged.sortWithinPartitions(*keys)
 

@@ -331,8 +331,8 @@ def season_length(spark, d):
 
 @query(
     "f05_mercator",
-    "sample_idx:i x:f y:f lon2:f lat2:f",
-    """SELECT sample_idx, x, y, degrees(x / 6378137) AS lon2,
+    "sample_idx:i x_km:f y_km:f lon2:f lat2:f",
+    """SELECT sample_idx, x / 1000 AS x_km, y / 1000 AS y_km, degrees(x / 6378137) AS lon2,
               degrees(2 * atan(exp(y / 6378137)) - pi() / 2) AS lat2
        FROM (SELECT sample_idx, radians(lon) * 6378137 AS x,
                     ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137 AS y FROM pts)""",
@@ -342,7 +342,8 @@ def mercator(spark, d):
     x, y = geo.to_mercator(F.col("lon"), F.col("lat"))
     there = B.points(spark, d).withColumns({"x": x, "y": y})
     lon, lat = geo.from_mercator(F.col("x"), F.col("y"))
-    return there.withColumns({"lon2": lon, "lat2": lat})
+    km = {"x_km": F.col("x") / 1000, "y_km": F.col("y") / 1000}
+    return there.withColumns({"lon2": lon, "lat2": lat, **km})
 
 
 @query(

@@ -284,12 +284,12 @@ def union_batches(spark, d):
     return dataset.union_batches([still_open, closed])
 
 
-@extract.partition_extractor("outside")
-def _outside(batch):
-    """Stands for third-party code: fails on points in the west."""
-    if (batch["lon"] < -90).any():
+@extract.point_extractor("outside")
+def _outside(point):
+    """Stands for outside code that handles one point; it fails in the west."""
+    if point.lon < -90:
         raise ValueError("no data")
-    return batch.assign(ts=None, variable="lat_abs", value=batch["lat"].abs())
+    return [(None, "lat_abs", abs(point.lat))]
 
 
 @query(
@@ -304,7 +304,7 @@ def _outside(batch):
     B.POINTS,
 )
 def run_extractors(spark, d):
-    """A DataFrame extractor and a pandas one whose failures become rows."""
+    """An extractor over all points and one per point whose failures become rows."""
     balance = B.table(spark, d, "customer").select(
         F.col("c_custkey").alias("sample_idx"), F.col("c_acctbal").alias("value")
     )

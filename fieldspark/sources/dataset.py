@@ -24,9 +24,9 @@ def write_dataset(
 ) -> None:
     """Write every table (``metadata`` is required) and a one-row ``dataset_info``."""
     for name, df in tables.items():
-        sampling.relayout(df, chunk, shard, index).drop("chunk_id", "shard_id").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/{name}")
+        order = [c for c in ("pos", "ts") if c in df.columns]
+        laid = sampling.relayout(df, chunk, shard, index, order).drop("chunk_id", "shard_id")
+        laid.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = tables["metadata"].sparkSession
     info = spark.read.parquet(f"{path}/metadata").agg(
         F.lit(created).alias("created"),
@@ -48,10 +48,11 @@ def write_relayout(
     chunk: int = sampling.CHUNK,
     shard: int = sampling.SHARD,
     index: str = "sample_idx",
+    order: Sequence[str] = (),
     partitions: int | None = None,
 ) -> None:
     """Index-ordered Parquet with lz4; readers of an index range skip files and row groups."""
-    ordered = sampling.relayout(df, chunk, shard, index, partitions)
+    ordered = sampling.relayout(df, chunk, shard, index, order, partitions)
     ordered.write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Extractor = Callable[[DataFrame], DataFrame]
+PointFunction = Callable[[Any], Iterable[tuple]]
 COLUMNS = ("sample_idx", "ts", "variable", "value", "error")
 _ROW_SCHEMA = "sample_idx bigint, ts timestamp_ntz, variable string, value double, error string"
 _REGISTRY: dict[str, Extractor] = {}
@@ -28,36 +30,26 @@ def extractor(name: str) -> Callable[[Extractor], Extractor]:
     return register
 
 
-def partition_extractor(name: str) -> Callable[[Callable[[pd.DataFrame], pd.DataFrame]], Extractor]:
-    """Register a pandas function for outside code; it sees bounded batches of points.
+def point_extractor(name: str) -> Callable[[PointFunction], Extractor]:
+    """Register outside code that handles one point at a time.
 
-    When a batch fails, its points are tried one by one, and each failing point becomes an
-    ``error`` row.
+    It gets the point as a named tuple and returns (ts, variable, value) triples. Spark spreads
+    the points; a point whose call fails becomes one ``error`` row and the others go on.
     """
 
-    def register(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Extractor:
-        def one(points: pd.DataFrame) -> pd.DataFrame:
-            return fn(points).assign(error=None)[list(COLUMNS)]
+    def register(fn: PointFunction) -> Extractor:
+        def rows_of(point: Any) -> list[tuple]:
+            try:
+                return [(point.sample_idx, *row, None) for row in fn(point)]
+            except Exception as error:
+                return [(point.sample_idx, None, None, None, f"{type(error).__name__}: {error}")]
 
         def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for points in parts:
-                try:
-                    yield one(points)
-                except Exception:
-                    for i in range(len(points)):
-                        point = points.iloc[i : i + 1]
-                        try:
-                            yield one(point)
-                        except Exception as error:
-                            yield pd.DataFrame(
-                                {
-                                    "sample_idx": point["sample_idx"].to_numpy(),
-                                    "ts": pd.NaT,
-                                    "variable": None,
-                                    "value": float("nan"),
-                                    "error": f"{type(error).__name__}: {error}",
-                                }
-                            )
+                rows = [row for p in points.itertuples(index=False) for row in rows_of(p)]
+                frame = pd.DataFrame(rows, columns=list(COLUMNS))
+                frame["ts"] = pd.to_datetime(frame["ts"])
+                yield frame.astype({"value": "float64"})
 
         def run(points: DataFrame) -> DataFrame:
             return points.mapInPandas(batches, _ROW_SCHEMA)

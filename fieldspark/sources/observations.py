@@ -11,14 +11,15 @@ from ..operators import filters
 
 
 def write_modality(
-    df: DataFrame, path: str, name: str, ts: str = "ts", key: str = "sample_idx", files: int = 8
+    df: DataFrame, path: str, name: str, ts: str = "ts", key: str = "sample_idx"
 ) -> None:
-    """Write one modality by month; each month goes to up to ``files`` tasks, whatever the keys."""
-    spread = F.pmod(F.xxhash64(key, ts), F.lit(files))
-    month = F.date_format(ts, "yyyy-MM")
+    """Write one modality by month, ordered by sample and time.
+
+    Rows are rebalanced by month: AQE merges small months into one task and splits large ones.
+    """
+    dated = df.withColumn("month", F.date_format(ts, "yyyy-MM"))
     (
-        df.withColumn("month", month)
-        .repartition("month", spread)
+        dated.hint("rebalance", F.col("month"))
         .sortWithinPartitions("month", key, ts)
         .write.mode("overwrite")
         .partitionBy("month")

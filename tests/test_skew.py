@@ -208,3 +208,29 @@ def test_stratified_sample_limits_before_the_exchange(skewed):
     assert text.count("WindowGroupLimit") == 2
     counts = df.groupBy("k").count().collect()
     assert all(r["count"] <= 5 for r in counts)
+
+
+def test_relayout_splits_a_hot_sample(spark):
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("sample_idx"), F.col("id").alias("ts")
+    )
+    laid = sampling.relayout(df, order=["ts"], partitions=6)
+    parts = laid.where("sample_idx = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 3001
+
+
+def test_modality_files_split_a_hot_month(spark, tmp_path):
+    from fieldspark.sources import observations
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(60000).select(
+            F.col("id").alias("sample_idx"),
+            F.timestamp_seconds(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") * 500)).cast("timestamp_ntz").alias("ts"),
+            F.rand(1).alias("v"),
+        )
+        observations.write_modality(df, str(tmp_path), "m")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "m" / "month=1970-01").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 60000

@@ -5,7 +5,6 @@ import json
 import os
 import re
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,17 +136,24 @@ def test_modality_catalogue(spark):
 
 
 def test_extractors(spark):
-    @extract.partition_extractor("test_fragile")
-    def fragile(points: pd.DataFrame) -> pd.DataFrame:
-        if (points["sample_idx"] == 3).any():
+    @extract.point_extractor("test_fragile")
+    def fragile(point):
+        if point.sample_idx == 3:
             raise RuntimeError("broken point")
-        return points.assign(ts=pd.NaT, variable="v", value=1.0)
+        yield dt.datetime(2021, 1, 1), "a", 1
+        if point.sample_idx == 4:
+            yield None, "b", 2.5
 
     points = spark.range(6, numPartitions=2).select(F.col("id").alias("sample_idx"))
     got = extract.run_extractors(points, ["test_fragile"])
     bad = got.where("error IS NOT NULL").collect()
     assert [(r["sample_idx"], r["error"]) for r in bad] == [(3, "RuntimeError: broken point")]
-    assert extract.observations(got).count() == 5
+    good = extract.observations(got).collect()
+    assert len(good) == 6
+    assert [(r["variable"], r["value"], r["ts"]) for r in good if r["sample_idx"] == 4] == [
+        ("a", 1.0, dt.datetime(2021, 1, 1)),
+        ("b", 2.5, None),
+    ]
     assert "test_fragile" in extract.registered()
     with pytest.raises(KeyError):
         extract.run_extractors(points, ["nobody"])
