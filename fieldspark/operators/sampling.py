@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -62,38 +62,47 @@ def split_random(
 ) -> DataFrame:
     """`split_contiguous` over the md5 order, with the same exact sizes.
 
-    Rows are counted per four-digit digest prefix (at most 65536 counts). The one or two prefixes
-    a boundary falls into are ranked; every other row gets its label where it is.
+    One job counts rows per four-digit digest prefix (at most 65536 counts), a second one ranks
+    the one or two prefixes a boundary falls into and fetches the boundary rows. The result
+    compares every row with these two keys and moves nothing.
     """
     _check_fractions(train, val, test)
-    hashed = df.withColumn("_h", V.seeded_hash(seed, F.col(index))).withColumn(
-        "_p", F.substring("_h", 1, 4)
-    )
+    hashed = df.withColumn("_h", V.seeded_hash(seed, F.col(index)))
     counts = ranking.prefix_counts(hashed, "_h", 4)
     total = sum(n for _, n in counts)
-    ends = [math.floor(total * train), math.floor(total * train) + math.floor(total * val)]
-    # per boundary: the prefix it falls into and the rows before that prefix
-    cuts, running = [], 0
+    train_end = math.floor(total * train)
+    first_train, first_val = _rows_at(hashed, index, counts, [train_end, train_end + math.floor(total * val)])
+
+    def before(cut: tuple[str, int] | None) -> Column:
+        if cut is None:
+            return F.lit(True)
+        digest, i = F.lit(cut[0]), F.lit(cut[1])
+        return (F.col("_h") < digest) | ((F.col("_h") == digest) & (F.col(index) < i))
+
+    name = F.when(before(first_train), "train").when(before(first_val), "val").otherwise("test")
+    return hashed.withColumn("split", name).drop("_h")
+
+
+def _rows_at(
+    hashed: DataFrame, index: str, counts: list[tuple[str, int]], places: list[int]
+) -> list[tuple[str, int] | None]:
+    """(digest, index) of the rows at the given places of the digest order, None behind the end."""
+    wanted, running = [], 0
     for prefix, n in counts:
-        cuts += [(prefix, running) for end in ends if running <= end < running + n]
+        wanted += [(prefix, at - running + 1, at) for at in places if running <= at < running + n]
         running += n
-    cuts += [("g", total)] * (2 - len(cuts))  # behind every hex digit: an empty last part
-    (train_cut, _), (val_cut, _) = cuts
-    starts = F.create_map(*[F.lit(x) for cut in dict(cuts).items() for x in cut])
-    on_cut = F.col("_p").isin(train_cut, val_cut)
-    label = lambda below_train, below_val: (
-        F.when(below_train, "train").when(below_val, "val").otherwise("test")
-    )
-    whole = hashed.where(~on_cut).withColumn(
-        "split", label(F.col("_p") < train_cut, F.col("_p") < val_cut)
-    )
-    local = F.row_number().over(Window.partitionBy("_p").orderBy("_h", index)) - 1
-    ranked = (
-        hashed.where(on_cut)
-        .withColumn("_at", local + F.try_element_at(starts, F.col("_p")))
-        .withColumn("split", label(F.col("_at") < ends[0], F.col("_at") < ends[1]))
-    )
-    return whole.unionByName(ranked.drop("_at")).select(*df.columns, "split")
+    if not wanted:
+        return [None for _ in places]
+    prefix = F.substring("_h", 1, 4)
+    near = hashed.where(prefix.isin([p for p, _, _ in wanted])).select("_h", index)
+    order = Window.partitionBy("_p").orderBy("_h", index)
+    ranked = near.withColumn("_p", prefix).withColumn("_r", F.row_number().over(order))
+    hit = F.lit(False)
+    for p, r, _ in wanted:
+        hit = hit | ((F.col("_p") == p) & (F.col("_r") == r))
+    rows = {(x["_p"], x["_r"]): (x["_h"], x[index]) for x in ranked.where(hit).collect()}
+    found = {at: rows[p, r] for p, r, at in wanted}
+    return [found.get(at) for at in places]
 
 
 def export_chunk(chunk: int, batch: int) -> int:
