@@ -28,7 +28,9 @@ def snapshot_diff(
     """
     def side(df: DataFrame, s: str) -> DataFrame:
         d = F.col(dtype) if dtype else F.lit("double")
-        return df.select(F.col(key), F.col(value).alias(f"v_{s}"), d.alias(f"t_{s}"), F.lit(True).alias(f"in_{s}"))
+        return df.select(
+            key, F.col(value).alias(f"v_{s}"), d.alias(f"t_{s}"), F.lit(True).alias(f"in_{s}")
+        )
 
     both = side(a, "a").join(side(b, "b"), key, "full_outer")
     gap = F.array_max(F.zip_with("v_a", "v_b", lambda x, y: F.abs(x - y)))

@@ -82,8 +82,8 @@ def attach_embeddings(
     """Join by index; a sample without an embedding fails the job instead of vanishing."""
     missing = F.raise_error(F.concat(F.lit("no embedding for sample "), F.col(key).cast("string")))
     side = embeddings.select(key, F.col("embedding").alias("_e"))
-    joined = samples.join(side, key, "left")
-    return joined.withColumn("embedding", F.when(F.col("_e").isNull(), missing).otherwise(F.col("_e"))).drop("_e")
+    checked = F.when(F.col("_e").isNull(), missing).otherwise(F.col("_e"))
+    return samples.join(side, key, "left").withColumn("embedding", checked).drop("_e")
 
 
 def missing_samples(meta: DataFrame, observations: DataFrame, key: str) -> DataFrame:

@@ -119,7 +119,8 @@ def mask_indices(masked: DataFrame, sample: str, max_tokens: int = 8192) -> Data
 
 def restore_order(lists: DataFrame, sample: str, kept_values: Column, placeholder: Column) -> DataFrame:
     """Kept values and placeholders back at their token positions, as (sample, token_pos, value)."""
-    kept = lists.select(sample, F.explode(F.arrays_zip(F.col("kept").alias("p"), kept_values.alias("v"))).alias("t"))
+    pairs = F.arrays_zip(F.col("kept").alias("p"), kept_values.alias("v"))
+    kept = lists.select(sample, F.explode(pairs).alias("t"))
     removed = lists.select(sample, F.explode("removed").alias("token_pos"))
     return kept.select(
         sample, F.col("t.p").alias("token_pos"), F.col("t.v").alias("value"), F.lit(False).alias("masked")

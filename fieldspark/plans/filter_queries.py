@@ -461,6 +461,22 @@ def position_encoding(spark, d):
     )
 
 
+@query(
+    "f11_position_table",
+    "pos:i dim:i position_code:f week_code:f",
+    """SELECT pos, dim, CASE WHEN dim % 2 = 0 THEN sin(pos / pow(10000, 2 * (dim // 2) / 16::DOUBLE))
+                   ELSE cos(pos / pow(10000, 2 * (dim // 2) / 16::DOUBLE)) END AS position_code,
+              CASE WHEN dim % 2 = 0 THEN sin(2 * pi() * (pos % 52) / 52)
+                   ELSE cos(2 * pi() * (pos % 52) / 52) END AS week_code
+       FROM (SELECT DISTINCT token_pos AS pos FROM tok), (SELECT unnest(range(16)) AS dim)""",
+    B.ORDER_TOKENS,
+)
+def position_table(spark, d):
+    """The lookup table for all positions that occur."""
+    positions = B.order_tokens(spark, d).select(F.col("token_pos").alias("pos")).distinct()
+    return TM.position_table(positions, 16)
+
+
 @query(
     "f12_strip_prefixes",
     "c_custkey:i key:s",
