@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, values as V
-from ..operators import filters, joins, masking, sampling, tokens
+from ..operators import masking, records, sampling, stats, tokens
 from . import bindings as B
 from .registry import query
 
@@ -361,22 +361,48 @@ _MODEL = ", ".join(
     B.CLEAN_SERIES + B.POINTS,
 )
 def model_inputs(spark, d):
-    """Chosen, normalised and filled variables joined with the static modalities."""
-    names = ["tax", "price"]
+    """Records of all suppliers with a series, coordinates, a class and a height, listed by step."""
     clean = B.clean_series(spark, d)
-    scaled = joins.normalise_wide(clean, joins.wide_stats(clean, names, "valid"), names)
-    chosen = filters.select_variables(scaled, names, ["sample_idx", "pos", "valid"])
-    series = chosen.withColumns({v: V.finite_or_zero(F.col(v)) for v in names}).withColumn(
-        "week_idx", F.col("pos") % 52
-    )
+    suppliers = B.table(spark, d, "supplier").withColumnRenamed("s_suppkey", "sample_idx")
     coords = B.points(spark, d).select(
         "sample_idx",
         *[c.alias(n) for n, c in geo.cyclic_coords(F.col("lon"), F.col("lat")).items()],
     )
-    supplier = B.table(spark, d, "supplier").select(
-        F.col("s_suppkey").alias("sample_idx"),
-        V.clamp(F.col("s_nationkey"), 0, 3).alias("crop_class"),
-        F.col("s_acctbal").alias("elevation"),
+    height = suppliers.select("sample_idx", F.col("s_acctbal").alias("elevation"))
+    crop = suppliers.select("sample_idx", V.clamp(F.col("s_nationkey"), 0, 3).alias("crop_class"))
+    table = stats.dataset_stats(
+        [
+            stats.long_form(clean, "temporal_modalities", "ser", B.VARS, F.col("valid")),
+            stats.long_form(height, "static_modalities", "elevation", ["elevation"]),
+        ]
+    )
+    record = records.model_inputs(
+        suppliers.select("sample_idx"),
+        {"ser": records.Source(clean, ["tax", "price"])},
+        {
+            "encoded_coordinates": records.Source(coords, ["lon_sin", "lat_cos"]),
+            "elevation": records.Source(height, ["elevation"]),
+        },
+        {"cropmask": crop},
+        table,
+        filled=["ser"],
+    )
+    steps = record.select(
+        "sample_idx",
+        "encoded_coordinates",
+        "elevation",
+        "cropmask",
+        F.posexplode("ser.steps").alias("pos", "s"),
+    )
+    return steps.select(
+        "sample_idx",
+        "pos",
+        "s.week_idx",
+        "s.valid",
+        F.col("s.data")[0].alias("tax"),
+        F.col("s.data")[1].alias("price"),
+        F.col("encoded_coordinates.data")[0].alias("lon_sin"),
+        F.col("encoded_coordinates.data")[1].alias("lat_cos"),
+        "cropmask.crop_class",
+        F.col("elevation.data")[0].alias("elevation"),
     )
-    height = joins.normalise_wide(supplier, joins.wide_stats(supplier, ["elevation"]), ["elevation"])
-    return series.join(coords, "sample_idx", "left").join(height, "sample_idx", "left")

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split skewed join partitions even where that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Row limits per group are applied before the exchange up to this limit.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "16384",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
