@@ -195,7 +195,7 @@ def test_small_table_leaves_large_ones_alone(spark):
 
 
 def test_bounded_lists_do_not_grow(spark):
-    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("p"))
+    df = spark.range(100000).select((F.col("id") % 2).alias("k"), F.col("id").alias("p"))
     long = ranking.bounded_lists(df, ["k"], [F.col("p")], ["p"], 8192)
     assert "WindowGroupLimit" in long._jdf.queryExecution().executedPlan().toString()
     plan = ranking.bounded_lists(df, ["k"], [F.col("p")], ["p"], 5)
