@@ -76,17 +76,28 @@ def union_batches(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def merge_batches(batches: DataFrame, index: str = "sample_idx") -> DataFrame:
-    """Shift each batch's own 0-based index behind the rows of earlier batches.
+def batch_offsets(samples: DataFrame) -> DataFrame:
+    """(batch, _off): samples in earlier batches, as a small local table.
 
-    One count per batch is read first; there are as many as paths were handed to the job.
+    ``samples`` has one row per sample. One count per batch is read, and there are as many as
+    paths were handed to the job.
     """
-    counts = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = samples.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()
     offsets, running = [], 0
     for row in sorted(counts, key=lambda r: r["batch"]):
         offsets.append((row["batch"], running))
         running += row["n"]
-    table = batches.sparkSession.createDataFrame(offsets, "batch int, _off bigint")
+    return samples.sparkSession.createDataFrame(offsets, "batch int, _off bigint")
+
+
+def merge_batches(
+    batches: DataFrame, index: str = "sample_idx", offsets: DataFrame | None = None
+) -> DataFrame:
+    """Shift each batch's own 0-based index behind the samples of earlier batches.
+
+    Without ``offsets`` the table itself has to have one row per sample.
+    """
+    table = batch_offsets(batches) if offsets is None else offsets
     return (
         batches.join(F.broadcast(table), "batch")
         .withColumn(index, F.col(index) + F.col("_off"))
@@ -94,6 +105,19 @@ def merge_batches(batches: DataFrame, index: str = "sample_idx") -> DataFrame:
     )
 
 
+def merge_datasets(
+    spark: SparkSession, paths: Sequence[str], names: Sequence[str], index: str = "sample_idx"
+) -> dict[str, DataFrame]:
+    """Merge whole batch datasets; all tables share the offsets of ``metadata``."""
+    metadata = read_batches(spark, [f"{p}/metadata" for p in paths])
+    offsets = batch_offsets(metadata)
+    merged = {"metadata": merge_batches(metadata, index, offsets)}
+    for name in names:
+        table = read_batches(spark, [f"{p}/{name}" for p in paths])
+        merged[name] = merge_batches(table, index, offsets)
+    return merged
+
+
 def first_nonempty_names(batches: DataFrame) -> DataFrame:
     """Variable names per modality from the first batch whose list is not empty."""
     filled = F.size("names") > 0

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -125,6 +126,44 @@ def test_cubic_reproduces_a_cubic(spark):
         assert v == pytest.approx(curve(p), abs=1e-6)
 
 
+def dense_spline(x, y, at):
+    """Not-a-knot spline from one linear system for the coefficients of all pieces."""
+    n = len(x) - 1
+    rows, right = [], []
+
+    def equation(parts, value):
+        row = np.zeros(4 * n)
+        for piece, terms in parts:
+            row[4 * piece : 4 * piece + 4] += terms
+        rows.append(row)
+        right.append(value)
+
+    for i in range(n):
+        h = x[i + 1] - x[i]
+        equation([(i, [1, 0, 0, 0])], y[i])
+        equation([(i, [1, h, h**2, h**3])], y[i + 1])
+        if i < n - 1:
+            equation([(i, [0, 1, 2 * h, 3 * h**2]), (i + 1, [0, -1, 0, 0])], 0)
+            equation([(i, [0, 0, 2, 6 * h]), (i + 1, [0, 0, -2, 0])], 0)
+    equation([(0, [0, 0, 0, 1]), (1, [0, 0, 0, -1])], 0)
+    equation([(n - 2, [0, 0, 0, 1]), (n - 1, [0, 0, 0, -1])], 0)
+    c = np.linalg.solve(np.array(rows), np.array(right)).reshape(n, 4)
+    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 1)
+    d = at - x[i]
+    return c[i, 0] + c[i, 1] * d + c[i, 2] * d**2 + c[i, 3] * d**3
+
+
+def test_cubic_against_a_dense_solve(spark):
+    rng = np.random.default_rng(11)
+    for size in (4, 5, 12, 30):
+        x = np.sort(rng.choice(52, size, replace=False)).astype(float)
+        y = rng.normal(size=size)
+        df = grid(spark, [(int(p), float(v)) for p, v in zip(x, y)])
+        got = dict(values(interpolate.interpolate_cubic(df, ["k"], "pos", ["v"]), "pos", "v"))
+        expected = dense_spline(x, y, np.arange(52.0))
+        assert [got[p] for p in range(52)] == pytest.approx(expected, rel=1e-6, abs=1e-6)
+
+
 def test_cubic_falls_back_to_linear(spark):
     for points in ([(3, 1.0), (4, 2.0), (10, 0.5)], [(3, 1.0), (9, 2.0)], [(5, 9.0)], []):
         df = grid(spark, points)

@@ -81,6 +81,20 @@ def test_absent_batches_warn(spark, tmp_path):
     assert sorted(r["sample_idx"] for r in merged.where("batch = 2").collect()) == [3, 4, 5, 6]
 
 
+def test_datasets_merge_with_shared_offsets(spark, tmp_path):
+    for n, size in ((0, 3), (2, 2)):
+        meta = spark.range(size).select(F.col("id").alias("sample_idx"), F.lit(n).alias("src"))
+        weekly = meta.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(51))))
+        dataset.write_dataset({"metadata": meta, "weekly": weekly}, str(tmp_path / f"b{n}"), "2024-01-01")
+    with pytest.warns(UserWarning):
+        merged = dataset.merge_datasets(spark, [str(tmp_path / f"b{n}") for n in range(3)], ["weekly"])
+    assert sorted(r["sample_idx"] for r in merged["metadata"].collect()) == [0, 1, 2, 3, 4]
+    counts = merged["weekly"].groupBy("sample_idx", "src").count().collect()
+    assert sorted((r["sample_idx"], r["src"], r["count"]) for r in counts) == [
+        (0, 0, 52), (1, 0, 52), (2, 0, 52), (3, 2, 52), (4, 2, 52)
+    ]
+
+
 def test_relayout_orders_files(spark, tmp_path):
     df = spark.range(5000).withColumnRenamed("id", "sample_idx").orderBy(F.rand(3))
     dataset.write_relayout(df, str(tmp_path / "out"), partitions=4)
