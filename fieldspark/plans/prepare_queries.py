@@ -311,7 +311,8 @@ def mask_indices(spark, d):
 @query(
     "d18_restore_order",
     "sample_idx:i token_pos:i value:i masked:b",
-    "SELECT sample_idx, token_pos, CASE WHEN masked THEN -1 ELSE token_pos * 10 END AS value, masked FROM rnd",
+    """SELECT sample_idx, token_pos, CASE WHEN masked THEN -1 ELSE token_pos * 10 END AS value, masked
+       FROM rnd""",
     B.ORDER_TOKENS + _RANDOM,
 )
 def restore_order(spark, d):

@@ -65,7 +65,9 @@ DEPTHS = ["0-5cm", "5-15cm", "15-30cm"]
 def depth_stats(spark, d):
     part = B.table(spark, d, "part").select(
         F.array(F.col("p_size").cast("double"), "p_retailprice", F.lit(None)).alias("clay"),
-        F.array(F.col("p_retailprice") * 2, F.col("p_size") / 2, F.col("p_partkey").cast("double")).alias("soc"),
+        F.array(
+            F.col("p_retailprice") * 2, F.col("p_size") / 2, F.col("p_partkey").cast("double")
+        ).alias("soc"),
     )
     return stats.depth_stats(part, ["clay", "soc"], DEPTHS)
 

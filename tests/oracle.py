@@ -96,7 +96,8 @@ def main() -> int:
             rows, problem = 0, f"{type(error).__name__}: {str(error)[:1500]}"
         bad += bool(problem)
         kind = "sql" if name in oracles else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {name} [{kind}] {rows} rows {time.time() - start:.1f}s {problem}", flush=True)
+        mark, seconds = "FAIL" if problem else "ok  ", time.time() - start
+        print(f"{mark} {name} [{kind}] {rows} rows {seconds:.1f}s {problem}", flush=True)
     print("failures:", bad)
     return bad
 
