@@ -4,9 +4,12 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from fieldspark.plans import all_queries, registry
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+# The queries of the library itself; the llm subpackage has tests of its own.
+all_queries.load()
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 
 
 @pytest.fixture(scope="module")
