@@ -3,8 +3,9 @@
 Equal sets become one class first. Small ("light") sets are matched by fixed-size subsets: two sets
 of n and m shingles link when they share c(n, m) of them, so each emits its c-subsets, and sets
 that meet under a subset are linked. Large ("heavy") sets are matched by inverted lists. A list only
-holds a set under the rarest shingles that it cannot lose and still link, so frequent shingles have
-short lists. The boundary between the two is the size at which the counted cost is least.
+holds a set under the rarest shingles that it cannot lose and still link; shingles of common words and
+of passages that many documents hold come last, and so have short lists. Two sets must meet in several
+lists to be compared. The boundary between the two is the size at which the counted cost is least.
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shingles import mix, set_key, shingle_sets
+from .shingles import mix, ranked_shingle_sets, set_key, shingle_sets
 from .storage import stored
 
-# Slots of the table that says which shingles are frequent: 2**20 bytes whatever the input.
+# Slots of the tables that say which shingles and words are frequent: 2**20 bytes whatever the input.
 SLOT_BITS = 20
+# A word is counted where it makes up at least this part of a task's words.
+WORD_PART = 1 << 18
+# Lists that two linked sets are sure to share, if they share that many shingles at all.
+MEETINGS = 4
 # No boundary above this size is tried, so the size histogram read by the driver is bounded.
 MAX_LIGHT = 32
 # What a posting costs (shuffle, sort, candidate check) next to a subset, which needs no check.
@@ -37,8 +42,12 @@ def needed_overlap(n: int, m: int, percent: int) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """How many first shingles of a common order two linked sets cannot both avoid sharing."""
-    return n - (-(-percent * n // 100)) + 1
+    """How many first shingles of a common order hold the first MEETINGS that linked sets share.
+
+    Of n shingles, at most n - needed are not shared, so the k-th shared one is among the first
+    n - needed + k.
+    """
+    return min(n, n - (-(-percent * n // 100)) + MEETINGS)
 
 
 def partner_sizes(n: int, percent: int) -> range:
@@ -73,57 +82,67 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document (kind 0: id, set key, size), and rows of locally frequent slots (kind 1)."""
+    """Per document its id, set key and size (kind 0); per task its frequent shingle slots (kind 1)
+    and word slots (kind 2) with their counts."""
 
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        words = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+
+        def count_words(hashes: np.ndarray) -> np.ndarray:
+            nonlocal words
+            words += np.bincount(_slots(hashes), minlength=1 << SLOT_BITS)
+            return np.zeros(len(hashes), dtype=np.int8)
+
         for batch in batches:
             keys, sizes = [], []
-            for hashes in shingle_sets(batch["text"].tolist(), width):
+            for hashes, _ in ranked_shingle_sets(batch["text"].tolist(), width, count_words):
                 np.add.at(counts, _slots(hashes), 1)
                 keys.append(set_key(hashes))
                 sizes.append(len(hashes))
             yield pd.DataFrame(
                 {"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "key": keys, "n": sizes}
             )
-        floor = 4 + 3 * int(counts.mean())
-        hot = np.flatnonzero(counts > floor)
-        yield pd.DataFrame(
-            {"kind": 1, "doc_id": pd.Series(hot, dtype="Int64"), "key": counts[hot], "n": floor}
-        )
+        floors = (4 + 3 * int(counts.mean()), max(2, int(words.sum()) // WORD_PART))
+        for kind, table, floor in zip((1, 2), (counts, words), floors):
+            hot = np.flatnonzero(table > floor)
+            yield pd.DataFrame(
+                {"kind": kind, "doc_id": pd.Series(hot, dtype="Int64"), "key": table[hot], "n": 0}
+            )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(
         run, "kind int, doc_id bigint, key bigint, n int"
     )
 
 
-def _frequency_levels(described: DataFrame) -> np.ndarray:
-    """One byte per slot: the logarithm of how often its shingles occur, 0 for the ordinary.
+def _frequency_levels(described: DataFrame, kind: int) -> np.ndarray:
+    """One byte per slot: the logarithm of how often it was counted, 0 for the rare.
 
-    The levels only choose the order of shingles; any order gives the same links.
+    At most one row per slot reaches the driver. The levels only choose the order of shingles; any
+    order gives the same links.
     """
     rows = (
-        described.where("kind = 1")
+        described.where(F.col("kind") == kind)
         .groupBy(F.col("doc_id").alias("slot"))
-        .agg(F.log2(F.sum("key").cast("double")).cast("int").alias("level"))
-        .collect()
+        .agg((4 * F.log2(F.sum("key").cast("double"))).cast("int").alias("level"))
+        .toPandas()
     )
     levels = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
-    for slot, level in rows:
-        levels[slot] = level
+    levels[rows["slot"].to_numpy(dtype=np.int64)] = rows["level"].to_numpy(dtype=np.uint8)
     return levels
 
 
-def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: np.ndarray) -> DataFrame:
+def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tuple) -> DataFrame:
     """(token, key, n, pair): a set under its prefix shingles (pair 0) or its subsets (pair > 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        levels = shared.value
+        levels, word_levels = shared.value
         seen = set()
+        rarity = lambda words: word_levels[_slots(words)]
         for batch in batches:
             tokens, keys, sizes, pairs = [], [], [], []
-            for hashes in shingle_sets(batch["text"].tolist(), width):
+            for hashes, common in ranked_shingle_sets(batch["text"].tolist(), width, rarity):
                 n, key = len(hashes), set_key(hashes)
                 # a copy in the same task adds nothing; the set key stands for all copies
                 if not n or key in seen:
@@ -140,10 +159,9 @@ def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: np.
                             tokens.append(np.array([total], np.uint64))
                             keys.append(key), sizes.append(n), pairs.append(small)
                 if partner_sizes(n, percent)[-1] > boundary:
-                    level = levels[_slots(hashes)]
-                    if level.any():
-                        hashes = hashes[np.argsort(level, kind="stable")]
-                    first = hashes[: prefix_length(n, percent)]
+                    # passages last, then by how common the words are, then by hash
+                    level = levels[_slots(hashes)].astype(np.int64) * 4096 + common
+                    first = hashes[np.argsort(level, kind="stable")][: prefix_length(n, percent)]
                     tokens.append(first)
                     keys.extend([key] * len(first))
                     sizes.extend([n] * len(first))
@@ -226,7 +244,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     }
     boundary = choose_boundary(histogram, percent)
     named = docs.where(F.col("doc_id").isNotNull())
-    lists = _lists(named, width, percent, boundary, _frequency_levels(described))
+    levels = (_frequency_levels(described, 1), _frequency_levels(described, 2))
+    lists = _lists(named, width, percent, boundary, levels)
 
     # Every member of a list against its smallest set: enough for subsets, a start for prefixes.
     by_size = Window.partitionBy("token", "pair").orderBy("n", "key")
@@ -261,8 +280,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         one.join(two, "token")
         .where("component_a <> component_b")
         .where(f"(n_a < n_b or (n_a = n_b and key_a < key_b)) and n_b * {percent} <= n_a * 100")
-        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-        .distinct()
+        .groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "n_a", "n_b")
+        .count()
+        .where(
+            f"count >= least({MEETINGS}, ceil({percent} * (n_a + n_b) / {100 + percent}D))"
+        )
+        .select("a", "b")
         .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
     more = _verified(rest, classes, docs, width, percent)

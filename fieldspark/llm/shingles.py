@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -74,22 +74,39 @@ def shingle_sets(texts: list, width: int) -> Iterator[np.ndarray]:
     A text of fewer words has its whole word sequence as its one shingle; a text without words,
     or None, has the empty set.
     """
+    for hashes, _ in ranked_shingle_sets(texts, width, None):
+        yield hashes
+
+
+def ranked_shingle_sets(
+    texts: list, width: int, word_level: Callable[[np.ndarray], np.ndarray] | None
+) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The sets of ``shingle_sets`` with the sum of the levels of each shingle's words."""
     for _, part in _chunks(texts):
         words, bounds = word_hashes(part)
         rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
         for k in range(width):
             rolled = mix(rolled * np.uint64(0xFF51AFD7ED558CCD) + words[k : k + len(rolled)])
+        level = None
+        if word_level is not None:
+            total = np.concatenate(([0], np.cumsum(word_level(words), dtype=np.int64)))
+            level = total[width:] - total[:-width] if len(words) >= width else total[:0]
         for i in range(len(part)):
             lo, hi = bounds[i], bounds[i + 1]
             if hi - lo >= width:
-                yield np.unique(rolled[lo : hi - width + 1])
+                own = rolled[lo : hi - width + 1]
+                if level is None:
+                    yield np.unique(own), None
+                else:
+                    hashes, first = np.unique(own, return_index=True)
+                    yield hashes, level[lo + first]
             elif hi > lo:
                 short = np.zeros(1, dtype=np.uint64) + np.uint64(hi - lo)
                 for k in range(lo, hi):
                     short = mix(short * np.uint64(0xC2B2AE3D27D4EB4F) + words[k : k + 1])
-                yield short
+                yield short, np.zeros(1, dtype=np.int64)
             else:
-                yield np.zeros(0, dtype=np.uint64)
+                yield np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
 
 def set_key(hashes: np.ndarray) -> int:
