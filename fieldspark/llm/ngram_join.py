@@ -5,7 +5,8 @@ of n and m shingles link when they share c(n, m) of them, so each emits its c-su
 that meet under a subset are linked. Large ("heavy") sets are matched by inverted lists. A list only
 holds a set under the rarest shingles that it cannot lose and still link; shingles of common words and
 of passages that many documents hold come last, and so have short lists. Two sets must meet in several
-lists to be compared. The boundary between the two is the size at which the counted cost is least.
+lists to be compared, and their parity sketches must not differ in more bits than linked sets can.
+The boundary between the two is the size at which the counted cost is least.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from .components import connected_components
 from .shingles import mix, ranked_shingle_sets, set_key, shingle_sets
 from .storage import stored
 
-# Slots of the tables that say which shingles and words are frequent: 2**20 bytes whatever the input.
-SLOT_BITS = 20
+# Slots of the tables that say which shingles and words are frequent: as many bytes whatever the input.
+SLOT_BITS = 22
+# Bits of a set's parity sketch, in 64-bit words. Sets of a symmetric difference d differ in at most d bits.
+PARITY_WORDS = 8
+PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 # A word is counted where it makes up at least this part of a task's words.
 WORD_PART = 1 << 18
 # Lists that two linked sets are sure to share, if they share that many shingles at all.
@@ -81,6 +85,21 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """For every bit, whether an odd number of the set's hashes fall on it."""
+    bits = 64 * PARITY_WORDS
+    places = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(places, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _may_link(percent: int) -> str:
+    """True for every pair that links: the sketches differ in no more bits than the sets may."""
+    differing = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in PARITY)
+    needed = f"cast(ceil({percent} * (n_a + n_b) / {100 + percent}D) as int)"
+    return f"({differing}) <= n_a + n_b - 2 * {needed}"
+
+
 def _describe(docs: DataFrame, width: int) -> DataFrame:
     """Per document its id, set key and size (kind 0); per task its frequent shingle slots (kind 1)
     and word slots (kind 2) with their counts."""
@@ -95,23 +114,24 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
             return np.zeros(len(hashes), dtype=np.int8)
 
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, sketches = [], [], []
             for hashes, _ in ranked_shingle_sets(batch["text"].tolist(), width, count_words):
                 np.add.at(counts, _slots(hashes), 1)
                 keys.append(set_key(hashes))
                 sizes.append(len(hashes))
-            yield pd.DataFrame(
-                {"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "key": keys, "n": sizes}
-            )
-        floors = (4 + 3 * int(counts.mean()), max(2, int(words.sum()) // WORD_PART))
+                sketches.append(parity_sketch(hashes))
+            out = {"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "key": keys, "n": sizes}
+            sketch = np.array(sketches, dtype=np.int64).reshape(len(keys), PARITY_WORDS)
+            yield pd.DataFrame(out | {p: sketch[:, i] for i, p in enumerate(PARITY)})
+        mean = counts.mean()
+        floors = (max(2, int(mean + 3 * math.sqrt(mean))), max(2, int(words.sum()) // WORD_PART))
         for kind, table, floor in zip((1, 2), (counts, words), floors):
             hot = np.flatnonzero(table > floor)
-            yield pd.DataFrame(
-                {"kind": kind, "doc_id": pd.Series(hot, dtype="Int64"), "key": table[hot], "n": 0}
-            )
+            out = {"kind": kind, "doc_id": pd.Series(hot, dtype="Int64"), "key": table[hot], "n": 0}
+            yield pd.DataFrame(out | dict.fromkeys(PARITY, 0))
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(
-        run, "kind int, doc_id bigint, key bigint, n int"
+        run, "kind int, doc_id bigint, key bigint, n int, " + ", ".join(f"{p} bigint" for p in PARITY)
     )
 
 
@@ -234,9 +254,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     described = stored(_describe(docs, width), "sets")
     sets = described.where("kind = 0").select("doc_id", "key", F.col("n").alias("n_shingles"))
     classes = (
-        sets.where("n_shingles > 0 and doc_id is not null")
+        described.where("kind = 0 and n > 0 and doc_id is not null")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PARITY])
     )
     classes = stored(classes, "classes")
     histogram = {
@@ -262,6 +282,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     close = F.col("n") * percent <= F.col("first.n") * 100
     heavy = met.where("pair = 0 and key <> first.key")
     stars = heavy.where(close).select(F.col("key").alias("a"), F.col("first.key").alias("b")).distinct()
+    sketch = classes.select("key", "n", *PARITY)
+    for side in "ab":
+        stars = stars.join(sketch.toDF(side, f"n_{side}", *[f"{p}_{side}" for p in PARITY]), side)
+    stars = stars.where(_may_link(percent)).select("a", "b")
     links = light.distinct().union(_verified(stars, classes, docs, width, percent))
     links = stored(links, "links")
     found = stored(connected_components(links), "components")
@@ -273,13 +297,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     mixed = posted.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     )
-    open_lists = stored(posted.join(mixed.where("low <> high").select("token"), "token"), "open")
-    one = open_lists.select("token", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "component")])
-    two = open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "component")])
+    posted = posted.join(mixed.where("low <> high").select("token"), "token")
+    open_lists = stored(posted.join(sketch.drop("n"), "key"), "open")
+    names = ["key", "n", "component", *PARITY]
+    one = open_lists.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
+    two = open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
     rest = (
         one.join(two, "token")
         .where("component_a <> component_b")
         .where(f"(n_a < n_b or (n_a = n_b and key_a < key_b)) and n_b * {percent} <= n_a * 100")
+        .where(_may_link(percent))
         .groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "n_a", "n_b")
         .count()
         .where(
