@@ -101,9 +101,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    by_id = F.col("doc_id").desc_nulls_last()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(parts, by_id).sortWithinPartitions(by_id, "text")
 
     def run(batches):
         part, first, held, waiting = TaskContext.get().partitionId(), None, None, []
