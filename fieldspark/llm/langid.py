@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Training documents per language, the first by a hash of id and text; all of a text is used.
+from .storage import broadcast_if_small
+
+# Training documents per language, the first by a hash of their id; all of a text is used.
 TRAIN_DOCUMENTS = 400
 FOLDS = 5
 UNKNOWN = "und"
@@ -40,9 +42,11 @@ def count_contexts(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> D
     named = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    sample = named.select("doc_id", "text", "lang").withColumn("r", F.row_number().over(order))
-    sample = sample.where(F.col("r") <= train_documents).select("lang", "text")
+    # choose ids first, so that only the chosen texts travel; the limit is applied before the exchange
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = named.select("doc_id", "lang").withColumn("r", F.row_number().over(order))
+    ids = ids.where(F.col("r") <= train_documents).select("doc_id", "lang").distinct()
+    sample = named.join(broadcast_if_small(ids, 1_000_000), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def run(batches):
         for batch in batches:
