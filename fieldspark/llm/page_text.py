@@ -230,9 +230,12 @@ def extract_main_text(pages: DataFrame, keep: list[str], train_pages: int = TRAI
     looked at.
     """
     spark = pages.sparkSession
-    sample = pages.where(F.col("html").isNotNull()).select("page_id", "html")
-    sample = sample.orderBy(F.xxhash64("page_id", "html"), "page_id", "html").limit(train_pages)
-    model = spark.sparkContext.broadcast(train([r["html"] for r in sample.collect()]))
+    # choose ids first, so that only the chosen pages travel
+    ids = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull()).select("page_id")
+    ids = ids.orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).distinct()
+    sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi")
+    sample = sample.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(train_pages)
+    model = spark.sparkContext.broadcast(train([r["html"] for r in sample.collect() if r["html"]]))
     rows = pages.select(*keep, F.col("html").cast("string").alias("_html"))
     names = {c: f"_k{i}" for i, c in enumerate(keep)}
     rows = rows.select(*[F.col(c).alias(n) for c, n in names.items()], "_html")
