@@ -14,8 +14,11 @@ from . import ranking
 def lookup_continent(
     df: DataFrame, dim: DataFrame, key: str = "country", default: str = "Unknown"
 ) -> DataFrame:
-    """Add ``continent`` from a (key, continent) dictionary; unlisted keys get the default."""
-    side = ranking.small_table(dim.select(key, "continent"))
+    """Add ``continent`` from a (key, continent) dictionary; unlisted keys get the default.
+
+    A key listed more than once has its first continent by name, and no row is multiplied.
+    """
+    side = ranking.small_table(dim.groupBy(key).agg(F.min("continent").alias("continent")))
     return df.join(side, key, "left").withColumn(
         "continent", F.coalesce("continent", F.lit(default))
     )
@@ -79,11 +82,14 @@ def assemble(meta: DataFrame, sides: dict[str, DataFrame], key: str = "sample_id
 def attach_embeddings(
     samples: DataFrame, embeddings: DataFrame, key: str = "sample_idx"
 ) -> DataFrame:
-    """Join by index; a sample without an embedding fails the job instead of vanishing."""
+    """Join by index; a sample without an embedding fails the job instead of vanishing.
+
+    The check is a filter, so every plan keeps it, also one that does not read the vector.
+    """
     missing = F.raise_error(F.concat(F.lit("no embedding for sample "), F.col(key).cast("string")))
-    side = embeddings.select(key, F.col("embedding").alias("_e"))
-    checked = F.when(F.col("_e").isNull(), missing).otherwise(F.col("_e"))
-    return samples.join(side, key, "left").withColumn("embedding", checked).drop("_e")
+    side = embeddings.select(key, "embedding")
+    covered = F.when(F.col("embedding").isNull(), missing.cast("boolean")).otherwise(True)
+    return samples.join(side, key, "left").where(covered)
 
 
 def missing_samples(meta: DataFrame, observations: DataFrame, key: str) -> DataFrame:

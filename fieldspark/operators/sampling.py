@@ -115,10 +115,11 @@ def block_shuffle(
 ) -> DataFrame:
     """Shuffle blocks of ``block`` chunks of a dense index; chunks keep their order in a block.
 
-    Adds ``chunk_id``, ``block_id``, ``block_rank`` and ``chunk_rank``. Only the table of blocks
+    Chunks are counted from the first index of ``df``, which may be a part of a larger table. Adds ``chunk_id``, ``block_id``, ``block_rank`` and ``chunk_rank``. Only the table of blocks
     is ranked, one row per ``chunk * block`` samples. ``block=1`` shuffles the chunks.
     """
-    chunks = df.withColumn("chunk_id", F.floor(F.col(index) / F.lit(chunk))).withColumn(
+    first = df.agg(F.min(index)).scalar()
+    chunks = df.withColumn("chunk_id", F.floor((F.col(index) - first) / F.lit(chunk))).withColumn(
         "block_id", F.floor(F.col("chunk_id") / F.lit(block))
     )
     blocks = (

@@ -27,10 +27,12 @@ def sample_pixels(
     """The pixel under every point, at most one per image.
 
     ``raster`` has ``(px, py)`` pixel numbers of the same size plus the ``image`` columns (date).
-    Repeated pixels of an image are merged first, so a point meets each image once. Points crowd
-    on few pixels; AQE splits those join partitions.
+    Of repeated pixels of an image the largest is kept whole, by its values in the order given, so
+    a point meets each image once and never a mixture. Points crowd on few pixels; AQE splits those
+    join partitions.
     """
-    unique = raster.groupBy("px", "py", *image).agg(*[F.max(v).alias(v) for v in values])
+    pixel = raster.groupBy("px", "py", *image).agg(F.max(F.struct(*values)).alias("_pixel"))
+    unique = pixel.select("px", "py", *image, *[F.col("_pixel")[v].alias(v) for v in values])
     x, y = geo.to_mercator(F.col("lon"), F.col("lat"))
     placed = points.withColumns({"px": geo.snap(x, size), "py": geo.snap(y, size)})
     return placed.join(unique, ["px", "py"], how)

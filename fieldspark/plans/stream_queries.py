@@ -17,7 +17,8 @@ from .registry import query
        FROM events WHERE event_type <> 'error'""",
 )
 def stream_ingest(spark, d):
-    """Events delivered twice, by day; duplicates vanish and errors become dead letters."""
+    """Events delivered twice, a group of users with all their time at a time, in several
+    micro-batches; duplicates vanish and errors become dead letters."""
     base = scratch_dir(spark, "ingest")
     raw = B.events(spark, d).select(
         "sample_idx",
@@ -27,13 +28,13 @@ def stream_ingest(spark, d):
         "value",
         "event_id",
         F.when(F.col("variable") == "error", F.lit("sensor error")).alias("error"),
-        F.to_date("ts").alias("day"),
+        (F.col("sample_idx") % 3).alias("users"),
     )
     for copy in (1, 2):
-        raw.write.partitionBy("day").mode("overwrite").parquet(f"{base}/in/copy={copy}")
-    schema = raw.drop("day").schema
+        raw.repartition("users").write.partitionBy("users").mode("overwrite").parquet(f"{base}/in/copy={copy}")
+    schema = raw.drop("users").schema
     ingest.stream_ingest(
-        spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema, watermark="60 days"
+        spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema, files_per_batch=2
     ).awaitTermination()
     return ingest.read_ingested(spark, f"{base}/out")
 

@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def deduplicate(stream: DataFrame, watermark: str = "14 days") -> DataFrame:
-    """First arrival per (sample, modality, ts, variable) within the watermark."""
-    timed = stream.withColumn("_event", F.col("ts").cast("timestamp")).withWatermark(
-        "_event", watermark
-    )
-    return timed.dropDuplicatesWithinWatermark(["sample_idx", "modality", "ts", "variable"]).drop(
-        "_event"
-    )
+KEY = ["sample_idx", "modality", "ts", "variable"]
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Null-safe equality of the columns, which have a leading underscore on the right."""
+    return reduce(and_, [left[c].eqNullSafe(right[f"_{c}"]) for c in columns])
+
+
+def _unseen(rows: DataFrame, path: str, batch: int, columns: list[str]) -> DataFrame:
+    """The rows whose ``columns`` are in no other micro-batch stored at ``path``.
+
+    Of the stored rows only these columns are read. A repeated micro-batch does not see itself.
+    """
+    try:
+        stored = rows.sparkSession.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows
+    stored = stored.where(F.col("batch_id") != batch).select(*[F.col(c).alias(f"_{c}") for c in columns])
+    return rows.join(stored, _same(rows, stored, columns), "left_anti")
 
 
 def write_micro_batch(rows: DataFrame, batch: int, out_dir: str) -> None:
-    """One directory per micro-batch: a repeated batch replaces its own output only."""
-    good = rows.where(F.col("error").isNull()).drop("error")
-    bad = rows.where(F.col("error").isNotNull())
-    good.write.mode("overwrite").parquet(f"{out_dir}/clean/batch_id={batch}")
-    bad.write.mode("overwrite").parquet(f"{out_dir}/dead_letters/batch_id={batch}")
+    """One directory per micro-batch: a repeated batch replaces its own output only.
+
+    Failures are set apart first, so that they never stand in the way of a good row with their key.
+    A good row is kept unless its key was stored before; of several in one batch the least by its
+    other columns is kept. Equal failures are stored once.
+    """
+    rows = rows.persist()
+    try:
+        good = rows.where(F.col("error").isNull()).drop("error")
+        others = [c for c in good.columns if c not in KEY]
+        first = good.groupBy(*KEY).agg(F.min(F.struct(*others)).alias("_row"))
+        first = first.select(*[c if c in KEY else F.col("_row")[c].alias(c) for c in good.columns])
+        bad = rows.where(F.col("error").isNotNull()).distinct()
+        for found, label, columns in ((first, "clean", KEY), (bad, "dead_letters", bad.columns)):
+            path = f"{out_dir}/{label}"
+            _unseen(found, path, batch, columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+    finally:
+        rows.unpersist()
 
 
 def stream_ingest(
@@ -32,16 +62,19 @@ def stream_ingest(
     out_dir: str,
     checkpoint: str,
     schema: T.StructType,
-    watermark: str = "14 days",
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Ingest every file not seen before, then stop; the next run goes on from the checkpoint."""
+    """Ingest every file not seen before, then stop; the next run goes on from the checkpoint.
+
+    Deliveries may come in any order of observation time: nothing is ever late, because repeated rows
+    are found by their key in the stored table and not in a window of streaming state.
+    """
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = deduplicate(reader.parquet(in_dir), watermark)
     return (
-        rows.writeStream.foreachBatch(lambda df, n: write_micro_batch(df, n, out_dir))
+        reader.parquet(in_dir)
+        .writeStream.foreachBatch(lambda df, n: write_micro_batch(df, n, out_dir))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

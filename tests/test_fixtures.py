@@ -452,3 +452,47 @@ def test_token_order_is_restored(spark):
     rows = sorted(values(got, "token_pos", "value", "masked"))
     assert [r[0] for r in rows] == list(range(11))
     assert all(v == (-1 if m else p) for p, v, m in rows)
+
+
+def test_block_shuffle_of_a_split_starts_at_its_first_index(spark):
+    from fieldspark.operators import sampling
+
+    for low, high in ((100, 200), (105, 145), (0, 95)):
+        df = spark.range(low, high).withColumnRenamed("id", "sample_idx")
+        rows = sampling.assign_readers(sampling.block_shuffle(df, 10, 4), 5).collect()
+        sizes, readers = {}, {}
+        for r in rows:
+            sizes[r["chunk_rank"]] = sizes.get(r["chunk_rank"], 0) + 1
+            readers[r["reader"]] = readers.get(r["reader"], 0) + 1
+        assert sorted(sizes) == list(range(-(-(high - low) // 10)))
+        assert sorted(sizes.values())[1:] == [10] * (len(sizes) - 1)
+        if high - low == 100:
+            assert readers == {i: 20 for i in range(5)}
+
+
+def test_sampled_pixels_are_whole(spark):
+    from fieldspark.operators import spatial
+
+    point = spatial.assign_cell(spark.sql("select 1 as id, 10.0D as lon, 50.0D as lat"), 1000.0).first()
+    rows = [(point["cell_x"], point["cell_y"], 1, 9), (point["cell_x"], point["cell_y"], 5, 2)]
+    raster = spark.createDataFrame(rows, "px bigint, py bigint, a int, b int")
+    points = spark.sql("select 1 as id, 10.0D as lon, 50.0D as lat")
+    got = spatial.sample_pixels(points, raster, 1000.0, ["a", "b"]).first()
+    assert (got["a"], got["b"]) == (5, 2)
+
+
+def test_repeated_dictionary_keys_and_missing_embeddings(spark):
+    from fieldspark.operators import joins
+
+    dim = spark.createDataFrame([("x", "B"), ("x", "A")], "country string, continent string")
+    got = joins.lookup_continent(spark.createDataFrame([("x",)], "country string"), dim).collect()
+    assert [r["continent"] for r in got] == ["A"]
+    samples = spark.range(2).withColumnRenamed("id", "sample_idx")
+    vectors = spark.createDataFrame([(0, [1.0])], "sample_idx bigint, embedding array<double>")
+    for plan in (lambda d: d.count(), lambda d: d.select("sample_idx").collect()):
+        try:
+            plan(joins.attach_embeddings(samples, vectors))
+        except Exception as error:
+            assert "no embedding for sample 1" in str(error)
+        else:
+            raise AssertionError("a missing embedding went unnoticed")

@@ -35,6 +35,28 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     assert [(r["sample_idx"], r["error"]) for r in dead] == [(3, "bad")]
 
 
+def test_whole_year_deliveries_lose_nothing(spark, tmp_path):
+    months = [dt.datetime(2021, m, 1) for m in range(1, 13)]
+    point = lambda i, at: (i, "m", at, "v", float(i), None)
+    failed = (5, "m", months[0], "v", None, "timeout")
+    timeless = [(6, "m", None, None, None, e) for e in ("first", "second")]
+    deliveries = [
+        [point(i, at) for i in range(5) for at in months] + [failed, *timeless],
+        [point(i, at) for i in range(5, 10) for at in months],
+        [point(i, at) for i in range(10) for at in months[:6]] + [failed, timeless[0]],
+    ]
+    for rows in deliveries:
+        batch(spark, f"{tmp_path}/in", rows)
+    ingest.stream_ingest(
+        spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp",
+        spark.createDataFrame([], SCHEMA).schema, files_per_batch=1,
+    ).awaitTermination()
+    clean = ingest.read_ingested(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["sample_idx"], r["ts"]) for r in clean) == [(i, at) for i in range(10) for at in months]
+    dead = ingest.read_dead_letters(spark, str(tmp_path / "out")).collect()
+    assert sorted(r["error"] for r in dead) == ["first", "second", "timeout"]
+
+
 def test_repeated_micro_batch_replaces_its_output(spark, tmp_path):
     rows = spark.createDataFrame([(1, "m", dt.datetime(2021, 1, 1), "v", 1.0, None)], SCHEMA)
     for _ in range(2):
