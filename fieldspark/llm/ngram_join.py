@@ -4,8 +4,8 @@ Equal sets become one class first. Small ("light") sets are matched by fixed-siz
 of n and m shingles link when they share c(n, m) of them, so each emits its c-subsets, and sets
 that meet under a subset are linked. Large ("heavy") sets are matched by inverted lists. A list only
 holds a set under the rarest shingles that it cannot lose and still link; shingles of common words and
-of passages that many documents hold come last, and so have short lists. Two sets must meet in several
-lists to be compared, and their parity sketches must not differ in more bits than linked sets can.
+of passages that many documents hold come last, and so have short lists. Two sets are compared if they
+meet early enough in both orders and their parity sketches differ in no more bits than linked sets can.
 The boundary between the two is the size at which the counted cost is least.
 """
 
@@ -30,8 +30,6 @@ PARITY_WORDS = 8
 PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 # A word is counted where it makes up at least this part of a task's words.
 WORD_PART = 1 << 18
-# Lists that two linked sets are sure to share, if they share that many shingles at all.
-MEETINGS = 4
 # No boundary above this size is tried, so the size histogram read by the driver is bounded.
 MAX_LIGHT = 32
 # What a posting costs (shuffle, sort, candidate check) next to a subset, which needs no check.
@@ -46,12 +44,8 @@ def needed_overlap(n: int, m: int, percent: int) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """How many first shingles of a common order hold the first MEETINGS that linked sets share.
-
-    Of n shingles, at most n - needed are not shared, so the k-th shared one is among the first
-    n - needed + k.
-    """
-    return min(n, n - (-(-percent * n // 100)) + MEETINGS)
+    """How many first shingles of a common order two linked sets cannot both avoid sharing."""
+    return n - (-(-percent * n // 100)) + 1
 
 
 def partner_sizes(n: int, percent: int) -> range:
@@ -96,8 +90,11 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
 def _may_link(percent: int) -> str:
     """True for every pair that links: the sketches differ in no more bits than the sets may."""
     differing = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in PARITY)
-    needed = f"cast(ceil({percent} * (n_a + n_b) / {100 + percent}D) as int)"
-    return f"({differing}) <= n_a + n_b - 2 * {needed}"
+    return f"({differing}) <= n_a + n_b - 2 * {_needed_sql(percent)}"
+
+
+def _needed_sql(percent: int) -> str:
+    return f"cast(ceil({percent} * (n_a + n_b) / {100 + percent}D) as int)"
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
@@ -153,7 +150,8 @@ def _frequency_levels(described: DataFrame, kind: int) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tuple) -> DataFrame:
-    """(token, key, n, pair): a set under its prefix shingles (pair 0) or its subsets (pair > 0)."""
+    """(token, key, n, pair, pos): a set under its prefix shingles (pair 0) with their places in its
+    order, or under its subsets (pair > 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
@@ -161,7 +159,7 @@ def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tup
         seen = set()
         rarity = lambda words: word_levels[_slots(words)]
         for batch in batches:
-            tokens, keys, sizes, pairs = [], [], [], []
+            tokens, keys, sizes, pairs, places = [], [], [], [], []
             for hashes, common in ranked_shingle_sets(batch["text"].tolist(), width, rarity):
                 n, key = len(hashes), set_key(hashes)
                 # a copy in the same task adds nothing; the set key stands for all copies
@@ -177,7 +175,7 @@ def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tup
                             tag = small * 4096 + max(n, m)
                             total = np.add.reduce(mix(np.array(part, np.uint64) + np.uint64(tag)))
                             tokens.append(np.array([total], np.uint64))
-                            keys.append(key), sizes.append(n), pairs.append(small)
+                            keys.append(key), sizes.append(n), pairs.append(small), places.append(0)
                 if partner_sizes(n, percent)[-1] > boundary:
                     # passages last, then by how common the words are, then by hash
                     level = levels[_slots(hashes)].astype(np.int64) * 4096 + common
@@ -186,18 +184,19 @@ def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tup
                     keys.extend([key] * len(first))
                     sizes.extend([n] * len(first))
                     pairs.extend([0] * len(first))
+                    places.extend(range(len(first)))
                 if len(keys) > 500_000:
-                    yield frame(tokens, keys, sizes, pairs)
-                    tokens, keys, sizes, pairs = [], [], [], []
+                    yield frame(tokens, keys, sizes, pairs, places)
+                    tokens, keys, sizes, pairs, places = [], [], [], [], []
             if keys:
-                yield frame(tokens, keys, sizes, pairs)
+                yield frame(tokens, keys, sizes, pairs, places)
 
-    def frame(tokens, keys, sizes, pairs):
+    def frame(tokens, keys, sizes, pairs, places):
         token = np.concatenate(tokens).view(np.int64)
-        return pd.DataFrame({"token": token, "key": keys, "n": sizes, "pair": pairs})
+        return pd.DataFrame({"token": token, "key": keys, "n": sizes, "pair": pairs, "pos": places})
 
     return docs.select(F.col("text").cast("string")).mapInPandas(
-        run, "token bigint, key bigint, n int, pair int"
+        run, "token bigint, key bigint, n int, pair int, pos int"
     )
 
 
@@ -275,7 +274,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         .withColumn("last_key", F.last("key").over(whole))
         .where("first.key <> last_key")
     )
-    met = stored(met.select("token", "pair", "key", "n", "first"), "lists")
+    met = stored(met.select("token", "pair", "key", "n", "pos", "first"), "lists")
     light = met.where("pair > 0 and first.n = pair and key <> first.key").select(
         F.col("key").alias("a"), F.col("first.key").alias("b")
     )
@@ -291,7 +290,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     found = stored(connected_components(links), "components")
 
     # What the stars left open: members of one list that are still in different components.
-    posted = met.where("pair = 0").select("token", "key", "n").distinct()
+    posted = met.where("pair = 0").select("token", "key", "n", "pos").distinct()
     label = found.select(F.col("node").alias("key"), "component")
     posted = posted.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = posted.groupBy("token").agg(
@@ -299,20 +298,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     )
     posted = posted.join(mixed.where("low <> high").select("token"), "token")
     open_lists = stored(posted.join(sketch.drop("n"), "key"), "open")
-    names = ["key", "n", "component", *PARITY]
+    names = ["key", "n", "pos", "component", *PARITY]
     one = open_lists.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
     two = open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
     rest = (
         one.join(two, "token")
         .where("component_a <> component_b")
         .where(f"(n_a < n_b or (n_a = n_b and key_a < key_b)) and n_b * {percent} <= n_a * 100")
+        # before the first shingle that linked sets share, each holds only shingles it does not share
+        .where(f"pos_a <= n_a - {_needed_sql(percent)} and pos_b <= n_b - {_needed_sql(percent)}")
         .where(_may_link(percent))
-        .groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "n_a", "n_b")
-        .count()
-        .where(
-            f"count >= least({MEETINGS}, ceil({percent} * (n_a + n_b) / {100 + percent}D))"
-        )
-        .select("a", "b")
+        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        .distinct()
         .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
     more = _verified(rest, classes, docs, width, percent)
