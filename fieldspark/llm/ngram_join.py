@@ -26,7 +26,7 @@ from .storage import stored
 # Slots of the tables that say which shingles and words are frequent: as many bytes whatever the input.
 SLOT_BITS = 22
 # Bits of a set's parity sketch, in 64-bit words. Sets of a symmetric difference d differ in at most d bits.
-PARITY_WORDS = 8
+PARITY_WORDS = 16
 PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 # A word is counted where it makes up at least this part of a task's words.
 WORD_PART = 1 << 18
