@@ -48,6 +48,17 @@ def test_chat_query(spark, edge_dir):
     check_chat(queries.QUERIES["op2_chat_format"](spark, edge_dir).collect(), rows)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, name):
+    import oracle
+
+    folder = "/root/testdata/sf0.01"
+    rows, problem = oracle.compare(
+        spark, oracle.connect(folder), name, queries.QUERIES[name], queries.ORACLES[name], folder
+    )
+    assert rows > 0 and not problem
+
+
 def test_chat_hard_turns(spark):
     rng = random.Random(2)
     roles = ["user", "assistant", "assistant", "system", None, "odd\nrole<|", "back\\nslash", "\\\n"]
