@@ -34,6 +34,8 @@ WORD_PART = 1 << 18
 MAX_LIGHT = 32
 # What a posting costs (shuffle, sort, candidate check) next to a subset, which needs no check.
 POSTING_COST = 4.0
+# A set's lists just before a list that go with it there, to tell whether two sets have met before.
+EARLIER = 16
 # Ids up to this many are broadcast (8 bytes each) to pick texts; beyond, a shuffle join does it.
 BROADCAST_IDS = 1_000_000
 
@@ -297,8 +299,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         F.min("component").alias("low"), F.max("component").alias("high")
     )
     posted = posted.join(mixed.where("low <> high").select("token"), "token")
+    before = Window.partitionBy("key").orderBy("pos").rowsBetween(-EARLIER, -1)
+    posted = posted.withColumn("earlier", F.collect_list("token").over(before))
     open_lists = stored(posted.join(sketch.drop("n"), "key"), "open")
-    names = ["key", "n", "pos", "component", *PARITY]
+    names = ["key", "n", "pos", "component", "earlier", *PARITY]
     one = open_lists.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
     two = open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
     rest = (
@@ -308,6 +312,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         # before the first shingle that linked sets share, each holds only shingles it does not share
         .where(f"pos_a <= n_a - {_needed_sql(percent)} and pos_b <= n_b - {_needed_sql(percent)}")
         .where(_may_link(percent))
+        # two sets always pass in the first list they share; a later one need not make them again
+        .where("not arrays_overlap(earlier_a, earlier_b)")
         .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
         .distinct()
         .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
