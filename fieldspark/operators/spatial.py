@@ -61,26 +61,38 @@ def _crosses(x: Column, y: Column, e: Column) -> Column:
     return F.when(spans & (x < at), 1).otherwise(0)
 
 
-def _span(ring: Column, axis: str) -> tuple[Column, Column]:
-    values = F.transform(ring, lambda p: p[axis])
+def _span(vertices: Column, axis: str) -> tuple[Column, Column]:
+    values = F.transform(vertices, lambda p: p[axis])
     return F.array_min(values), F.array_max(values)
 
 
+def _outline(shapes: DataFrame) -> tuple[Column, Column]:
+    """Edges and vertices of a shape: of all rings of its ``parts``, else of its one ``ring``.
+
+    Crossings are counted over all rings together, so holes and further parts need no care.
+    """
+    if "parts" not in shapes.columns:
+        return _edges(F.col("ring")), F.col("ring")
+    rings = F.flatten("parts")
+    return F.flatten(F.transform(rings, _edges)), F.flatten(rings)
+
+
 def zone_of_point(
     points: DataFrame, zones: DataFrame, key: str, tile: float = 5.0, missing: int = -1
 ) -> DataFrame:
     """Lowest ``zone_id`` whose polygon holds the point, ``missing`` where there is none.
 
-    Zones ``(zone_id, ring)`` are listed under every tile of their bounding box and meet the
-    points in an equi join on the tile; ray casting decides. Crowded tiles are split by AQE.
-    Points need a unique key.
+    Zones ``(zone_id, ring)`` or ``(zone_id, parts)``, with holes and several parts, are listed
+    under every tile of their bounding box and meet the points in an equi join on the tile; ray
+    casting decides. Crowded tiles are split by AQE. Points need a unique key.
     """
-    x0, x1 = _span(F.col("ring"), "x")
-    y0, y1 = _span(F.col("ring"), "y")
+    edges, vertices = _outline(zones)
+    x0, x1 = _span(vertices, "x")
+    y0, y1 = _span(vertices, "y")
     listed = (
         zones.select(
             "zone_id",
-            _edges(F.col("ring")).alias("edges"),
+            edges.alias("edges"),
             x0.alias("x0"),
             x1.alias("x1"),
             y0.alias("y0"),
@@ -141,16 +153,17 @@ def _edge_meets_box(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -
 def cover_grid(regions: DataFrame, size: float = 5000.0) -> DataFrame:
     """All cells that share a point with a region, with the region's attributes.
 
-    ``ring`` is in Web-Mercator metres; the other columns have to tell regions apart. Columns of
-    cells are spread over the cluster before the cells of a column are listed, so one vast region
-    is not one task.
+    ``ring`` or ``parts`` is in Web-Mercator metres; the other columns have to tell regions apart.
+    Columns of cells are spread over the cluster before the cells of a column are listed, so one
+    vast region is not one task.
     """
-    rest = [c for c in regions.columns if c != "ring"]
-    x0, x1 = _span(F.col("ring"), "x")
-    y0, y1 = _span(F.col("ring"), "y")
+    rest = [c for c in regions.columns if c not in ("ring", "parts")]
+    edges, vertices = _outline(regions)
+    x0, x1 = _span(vertices, "x")
+    y0, y1 = _span(vertices, "y")
     columns = regions.select(
         *rest,
-        _edges(F.col("ring")).alias("edges"),
+        edges.alias("edges"),
         geo.snap(y0, size).alias("_y0"),
         geo.snap(y1, size).alias("_y1"),
         F.explode(F.sequence(geo.snap(x0, size), geo.snap(x1, size))).alias("cell_x"),

@@ -44,9 +44,8 @@ POLYGON_FEATURE = T.StructType(
             T.StructType(
                 [
                     T.StructField("type", T.StringType()),
-                    T.StructField(
-                        "coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
-                    ),
+                    # as text: its depth depends on the type
+                    T.StructField("coordinates", T.StringType()),
                 ]
             ),
         ),

@@ -33,12 +33,22 @@ def read_features(spark: SparkSession, path: str, collection: bool = False) -> D
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Polygon features, one per line, as (id, ring, properties); outer rings only."""
+    """Polygon and MultiPolygon features, one per line, as (id, ring, parts, properties).
+
+    ``parts`` has every polygon with all its rings, the outer one first; ``ring`` is the first
+    part's outer ring. Features of other types have neither.
+    """
     rows = spark.read.schema(POLYGON_FEATURE).json(path)
-    outer = F.col("geometry.coordinates")[0]
-    ring = F.transform(outer, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    polygon = "array<array<array<double>>>"
+    parts = F.when(kind == "Polygon", F.array(F.from_json(text, polygon))).when(
+        kind == "MultiPolygon", F.from_json(text, f"array<{polygon}>")
+    )
     # a ring closes by repeating its first vertex; the geometry functions close it themselves
-    return rows.select("id", F.slice(ring, 1, F.size(ring) - 1).alias("ring"), "properties")
+    vertex = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    open_ring = lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), vertex)
+    rows = rows.withColumn("parts", F.transform(parts, lambda rings: F.transform(rings, open_ring)))
+    return rows.select("id", F.get(F.get("parts", F.lit(0)), F.lit(0)).alias("ring"), "parts", "properties")
 
 
 def _write(df: DataFrame, path: str, kind: str, coordinates: Column, properties: Sequence[str]) -> None:
@@ -57,7 +67,14 @@ def write_features(df: DataFrame, path: str, properties: Sequence[str]) -> None:
 
 
 def write_polygons(df: DataFrame, path: str, properties: Sequence[str]) -> None:
-    """Polygons (id, ring, properties..) with the ring closed."""
-    closed = F.concat("ring", F.slice("ring", 1, 1))
-    outer = F.transform(closed, lambda p: F.array(p["x"], p["y"]))
-    _write(df, path, "Polygon", F.array(outer), properties)
+    """Polygons (id, ring, properties..), or (id, parts, properties..) as MultiPolygons, with their
+    rings closed."""
+
+    def closed(ring: Column) -> Column:
+        return F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: F.array(p["x"], p["y"]))
+
+    if "parts" in df.columns:
+        shapes = F.transform("parts", lambda rings: F.transform(rings, closed))
+        _write(df, path, "MultiPolygon", shapes, properties)
+    else:
+        _write(df, path, "Polygon", F.array(closed(F.col("ring"))), properties)

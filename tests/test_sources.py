@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspark import schema
-from fieldspark.operators import sampling
+from fieldspark.operators import sampling, spatial
 from fieldspark.session import scratch_dir
 from fieldspark.sources import dataset, embeddings, extract, failures, features, observations, stats_json
 
@@ -31,6 +31,42 @@ def test_feature_collections(spark, tmp_path):
     ]
 
 
+def test_holes_and_parts(spark, tmp_path):
+    box = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    shapes = [
+        ("1", "Polygon", [box(0, 10), box(4, 6)]),
+        ("2", "MultiPolygon", [[box(20, 22)], [box(30, 40), box(34, 36)]]),
+        ("3", "Point", [50, 50]),
+    ]
+    lines = [
+        json.dumps({"type": "Feature", "id": i, "geometry": {"type": t, "coordinates": c}, "properties": {}})
+        for i, t, c in shapes
+    ]
+    path = tmp_path / "zones.json"
+    path.write_text("\n".join(lines))
+    rows = features.read_polygons(spark, str(path))
+    sizes = {r["id"]: r["parts"] and [[len(x) for x in p] for p in r["parts"]] for r in rows.collect()}
+    assert sizes == {"1": [[4, 4]], "2": [[4], [4, 4]], "3": None}
+    assert {r["id"]: r["ring"] and len(r["ring"]) for r in rows.collect()} == {"1": 4, "2": 4, "3": None}
+    zones = rows.where("parts IS NOT NULL").select(F.col("id").cast("bigint").alias("zone_id"), "parts")
+    points = spark.createDataFrame(
+        [(1, 2.0, 2.0), (2, 5.0, 5.0), (3, 21.0, 21.0), (4, 31.0, 31.0), (5, 35.0, 35.0), (6, 25.0, 25.0)],
+        "k int, lon double, lat double",
+    )
+    found = lambda z: {r["k"]: r["zone_id"] for r in spatial.zone_of_point(points, z, "k").collect()}
+    assert found(zones) == {1: 1, 2: -1, 3: 2, 4: 2, 5: -1, 6: -1}
+    cells = {(r["zone_id"], r["cell_x"], r["cell_y"]) for r in spatial.cover_grid(zones, 1.0).collect()}
+    # a cell that lies in a hole without touching its edge is not covered
+    inside = {(z, x, y) for z, x, y in cells if (x, y) in ((2, 2), (4, 4), (21, 21), (25, 25), (34, 34))}
+    assert {(z, x) for z, x, _ in inside} == {(1, 2), (1, 4), (2, 21), (2, 34)}
+    wide = {(r["cell_x"], r["cell_y"]) for r in spatial.cover_grid(zones, 0.5).collect()}
+    assert (9, 9) not in wide and (69, 69) not in wide and (7, 7) in wide
+    again = str(tmp_path / "again")
+    features.write_polygons(rows.where("parts IS NOT NULL").select("id", "parts"), again, ["id"])
+    back = features.read_polygons(spark, again).select(F.col("id").cast("bigint").alias("zone_id"), "parts")
+    assert sorted(back.collect()) == sorted(zones.collect())
+
+
 def test_modality_scan_prunes_months_and_columns(spark, tmp_path):
     days = [(i, dt.datetime(2021, 1, 1) + dt.timedelta(days=i), 1.0 * i, 2.0) for i in range(400)]
     df = spark.createDataFrame(days, "sample_idx bigint, ts timestamp_ntz, a double, b double")
