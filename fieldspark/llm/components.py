@@ -23,9 +23,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # a repeated edge does not change the minima; the round's last step removes it
         large = (
             both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        ).where("a <> b").distinct()
+        ).where("a <> b")
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(smallest, "a")
         small = small.select(F.greatest("b", "m").alias("a"), F.col("m").alias("b")).union(

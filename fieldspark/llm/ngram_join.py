@@ -268,21 +268,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     levels = (_frequency_levels(described, 1), _frequency_levels(described, 2))
     lists = _lists(named, width, percent, boundary, levels)
 
-    # Every member of a list against its smallest set: enough for subsets, a start for prefixes.
+    # Every member of a list against one set of it: the smallest is enough for subsets. For prefixes it
+    # is the one of least hash, as a set of usual size links with more of its near copies than the
+    # smallest does, and many lists agree on it.
     by_size = Window.partitionBy("token", "pair").orderBy("n", "key")
     whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hub = F.min(F.struct(F.xxhash64("key").alias("hash"), "key", "n")).over(whole)
     met = (
         lists.withColumn("first", F.first(F.struct("key", "n")).over(by_size))
         .withColumn("last_key", F.last("key").over(whole))
+        .withColumn("hub", hub)
         .where("first.key <> last_key")
     )
-    met = stored(met.select("token", "pair", "key", "n", "pos", "first"), "lists")
+    met = stored(met.select("token", "pair", "key", "n", "pos", "first", "hub"), "lists")
     light = met.where("pair > 0 and first.n = pair and key <> first.key").select(
         F.col("key").alias("a"), F.col("first.key").alias("b")
     )
-    close = F.col("n") * percent <= F.col("first.n") * 100
-    heavy = met.where("pair = 0 and key <> first.key")
-    stars = heavy.where(close).select(F.col("key").alias("a"), F.col("first.key").alias("b")).distinct()
+    # the larger set is a, the smaller b
+    heavy = met.where("pair = 0 and key <> hub.key").select(
+        F.greatest(F.struct("n", "key"), F.struct("hub.n", "hub.key")).alias("a"),
+        F.least(F.struct("n", "key"), F.struct("hub.n", "hub.key")).alias("b"),
+    )
+    close = F.col("a.n") * percent <= F.col("b.n") * 100
+    stars = heavy.where(close).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     sketch = classes.select("key", "n", *PARITY)
     for side in "ab":
         stars = stars.join(sketch.toDF(side, f"n_{side}", *[f"{p}_{side}" for p in PARITY]), side)
@@ -320,8 +328,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     )
     more = _verified(rest, classes, docs, width, percent)
     if not more.isEmpty():
-        links = links.select("a", "b").union(more.select("a", "b"))
-        found = stored(connected_components(links), "components")
+        # the components so far stand for their links
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = stored(connected_components(links.union(more.select("a", "b"))), "components")
 
     label = found.select(F.col("node").alias("key"), "component")
     classes = classes.join(label, "key", "left").withColumn(
