@@ -46,7 +46,7 @@ def _neighbours(
             for fn, end, carry in sides.values()
         ],
     )
-    joined = out.join(carried, list(part), "left")
+    joined = ranking.join_groups(out, carried, list(part), "left")
     return joined.withColumns(
         {
             f"{n}_{s}": F.coalesce(f"{n}_{s}", f"{n}_{carry}")
@@ -123,15 +123,17 @@ def interpolate_nodata(
     ties: Sequence[str],
     variables: Sequence[str],
     nodata: float = 0.0,
-    segment: int = 65_536,
-    heavy_rows: int = ranking.HEAVY_ROWS,
+    segment: int | None = 65_536,
+    heavy_rows: int | None = ranking.HEAVY_ROWS,
 ) -> DataFrame:
     """Replace no-data values by interpolation over the compacted valid positions of a key.
 
     Steps without any value are not positions. A variable with fewer than two known points is
-    left as it is.
+    left as it is. Series are cut into segments only where some series is too long for one task.
     """
     present = df.where(F.coalesce(*[F.col(v) for v in variables]).isNotNull())
+    if ranking.heavy_groups(present, keys, heavy_rows) is None:
+        heavy_rows = segment = None
     ranked = ranking.series_rank(present, keys, ts, ties, heavy_rows).drop("_n")
     placed = ranked.withColumnRenamed("_rank", "pos").withColumns(
         {f"_raw_{v}": F.col(v) for v in variables}

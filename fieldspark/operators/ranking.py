@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 # A group above this size is ranked in pieces.
 HEAVY_ROWS = 1_000_000
-# Only this many of the largest groups are treated that way. Any other group then holds at most
-# one part in MAX_HEAVY_GROUPS of all rows, which one task can sort.
-MAX_HEAVY_GROUPS = 50_000
 
 
 def small_table(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -26,20 +23,26 @@ def small_table(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``left`` joined to the groups of ``right``; NULL keys form a group like any other."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    joined = left.join(named, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
+
+
 def heavy_groups(
     df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame | None:
-    """(keys, _n) of the groups too large for one task as a local table, None if there are none.
+    """(keys, _n) of the groups too large for one task, None if there are none.
 
-    Runs one counting job that combines before its exchange; at most MAX_HEAVY_GROUPS rows reach
-    the driver. Groups with a NULL key are never listed.
+    Runs one counting job that combines before its exchange. A short list becomes a broadcast
+    local table, a longer one stays distributed; no heavy group is left out.
     """
-    sizes = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.where(F.col("_n") > heavy_rows).orderBy(F.desc("_n")).limit(MAX_HEAVY_GROUPS)
-    rows = largest.toArrow()
-    if rows.num_rows == 0:
-        return None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=largest.schema))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.where(F.col("_n") > heavy_rows)
+    found = small_table(largest)
+    return None if found is not largest and found.isEmpty() else found
 
 
 def rank_within(
@@ -63,7 +66,7 @@ def rank_within(
         return df.withColumn(
             "_rank", F.row_number().over(group.orderBy(*order)).cast("bigint")
         ).withColumn("_n", F.count(F.lit(1)).over(group))
-    marked = df.join(heavy.withColumnRenamed("_n", "_hn"), keys, "left").withColumn(
+    marked = join_groups(df, heavy.withColumnRenamed("_n", "_hn"), keys, "left").withColumn(
         "_b", F.when(F.col("_hn").isNotNull(), bucket)
     )
     group = Window.partitionBy(*keys, "_b")
@@ -79,7 +82,7 @@ def rank_within(
         .drop("_c")
     )
     return (
-        local.join(offsets, [*keys, "_b"], "left")
+        join_groups(local, offsets, [*keys, "_b"], "left")
         .withColumn("_rank", F.col("_local").cast("bigint") + F.coalesce("_before", F.lit(0)))
         .withColumn("_n", F.coalesce("_hn", "_size"))
         .drop("_b", "_hn", "_local", "_size", "_before")

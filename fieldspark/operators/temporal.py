@@ -39,13 +39,17 @@ def weekly_resample(
     return rows.groupBy(*keys).agg(*[fn(v).alias(v) for v in variables])
 
 
+# Value ranges a heavy group's distinct values are cut into.
+MEDIAN_RANGES = 256
+
+
 def median_by(
     df: DataFrame, keys: Sequence[str], variables: Sequence[str], heavy_rows: int = ranking.HEAVY_ROWS
 ) -> DataFrame:
     """Exact interpolated medians.
 
     A median cannot be pre-aggregated, so groups too large for one task take another way: their
-    values are ranked in 4096 value ranges and the one or two middle rows averaged.
+    distinct values are counted, and a running count over value ranges finds the middle rows.
     """
     keys = list(keys)
     medians = [F.median(v).alias(v) for v in variables]
@@ -53,26 +57,41 @@ def median_by(
     if heavy is None:
         return df.groupBy(*keys).agg(*medians)
     heavy = heavy.drop("_n")
-    light = df.join(heavy, keys, "left_anti").groupBy(*keys).agg(*medians)
+    light = ranking.join_groups(df, heavy, keys, "left_anti").groupBy(*keys).agg(*medians)
     group = [*keys, "_variable"]
-    values = (
-        df.join(heavy, keys, "left_semi")
+    counted = (
+        ranking.join_groups(df, heavy, keys, "left_semi")
         .unpivot(keys, list(variables), "_variable", "_value")
         .where(F.col("_value").isNotNull())
+        .groupBy(*group, "_value")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    # ranges of about equally many distinct values, whatever their distribution
+    shares = [i / MEDIAN_RANGES for i in range(1, MEDIAN_RANGES)]
+    bounds = counted.groupBy(*group).agg(
+        F.percentile_approx("_value", shares).alias("_bounds"), F.sum("_c").alias("_n")
+    )
+    slot = F.size(F.filter("_bounds", lambda b: b < F.col("_value")))
+    placed = ranking.join_groups(counted, bounds, group, "inner").withColumn("_slot", slot).drop("_bounds")
+    earlier = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy(*group, "_slot")
+        .agg(F.sum("_c").alias("_s"))
+        .select(*group, "_slot", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
     )
-    # one row per heavy group and variable
-    span = values.groupBy(*group).agg(F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
-    share = F.try_divide(F.col("_value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    slot = F.floor(F.coalesce(share, F.lit(0)) * 4096)
-    ranked = ranking.rank_within(
-        values.join(F.broadcast(span), group), group, [F.col("_value")], slot, heavy_rows
+    so_far = Window.partitionBy(*group, "_slot").orderBy("_value")
+    ranked = ranking.join_groups(
+        placed.withColumn("_sum", F.sum("_c").over(so_far)), offsets, [*group, "_slot"], "inner"
     )
-    n, rank = F.col("_n"), F.col("_rank")
-    middle = (rank == F.floor((n + 1) / 2)) | (rank == F.floor((n + 2) / 2))
-    pick = lambda v: F.avg(F.when(F.col("_variable") == v, F.col("_value"))).alias(v)
-    found = ranked.where(middle).groupBy(*keys).agg(*[pick(v) for v in variables])
+    upto, n = F.col("_before") + F.col("_sum"), F.col("_n")
+    holds = lambda m: ((upto - F.col("_c") < m) & (m <= upto)).cast("int")
+    times = holds(F.floor((n + 1) / 2)) + holds(F.floor((n + 2) / 2))
+    middle = ranked.withColumn("_times", times).where("_times > 0")
+    half = F.col("_value") * F.col("_times") / 2
+    pick = lambda v: F.sum(F.when(F.col("_variable") == v, half)).alias(v)
+    found = middle.groupBy(*keys).agg(*[pick(v) for v in variables])
     # a heavy group without any value still has its row
-    return light.unionByName(heavy.join(found, keys, "left"))
+    return light.unionByName(ranking.join_groups(heavy, found, keys, "left"))
 
 
 def fill_weeks(

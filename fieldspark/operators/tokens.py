@@ -125,3 +125,16 @@ def restore_order(lists: DataFrame, sample: str, kept_values: Column, placeholde
     return kept.select(
         sample, F.col("t.p").alias("token_pos"), F.col("t.v").alias("value"), F.lit(False).alias("masked")
     ).unionByName(removed.withColumns({"value": placeholder, "masked": F.lit(True)}))
+
+
+def restore_slots(slots: DataFrame, values: DataFrame, sample: str, placeholder: Column) -> DataFrame:
+    """`restore_order` on the long rows of `mask_slots`, for sequences of any length.
+
+    ``values`` has (sample, slot, value) of the kept tokens; (sample, token_pos, value, masked).
+    """
+    kept = values.select(sample, "slot", "value", F.lit(False).alias("masked"))
+    joined = slots.select(sample, "token_pos", "masked", "slot").join(
+        kept, [sample, "masked", "slot"], "left"
+    )
+    value = F.when(F.col("masked"), placeholder).otherwise(F.col("value"))
+    return joined.select(sample, "token_pos", value.alias("value"), "masked")

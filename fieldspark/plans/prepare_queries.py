@@ -317,9 +317,9 @@ def mask_indices(spark, d):
 )
 def restore_order(spark, d):
     """Kept values back at their positions, a placeholder at the masked ones."""
-    lists = tokens.mask_indices(mask_random(spark, d), "sample_idx")
-    values = F.transform("kept", lambda p: p * 10)
-    return tokens.restore_order(lists, "sample_idx", values, F.lit(-1).cast("bigint"))
+    slots = tokens.mask_slots(mask_random(spark, d), "sample_idx")
+    values = slots.where(~F.col("masked")).withColumn("value", F.col("token_pos") * 10)
+    return tokens.restore_slots(slots, values, "sample_idx", F.lit(-1).cast("bigint"))
 
 
 @query(
