@@ -34,6 +34,8 @@ WORD_PART = 1 << 18
 MAX_LIGHT = 32
 # What a posting costs (shuffle, sort, candidate check) next to a subset, which needs no check.
 POSTING_COST = 4.0
+# Postings a task gathers before it hands them on.
+FRAME_ROWS = 100_000
 # A set's lists just before a list that go with it there, to tell whether two sets have met before.
 EARLIER = 16
 # Ids up to this many are broadcast (8 bytes each) to pick texts; beyond, a shuffle join does it.
@@ -105,11 +107,10 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
-        words = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        words = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
 
         def count_words(hashes: np.ndarray) -> np.ndarray:
-            nonlocal words
-            words += np.bincount(_slots(hashes), minlength=1 << SLOT_BITS)
+            np.add.at(words, _slots(hashes), 1)
             return np.zeros(len(hashes), dtype=np.int8)
 
         for batch in batches:
@@ -126,7 +127,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
         floors = (max(2, int(mean + 3 * math.sqrt(mean))), max(2, int(words.sum()) // WORD_PART))
         for kind, table, floor in zip((1, 2), (counts, words), floors):
             hot = np.flatnonzero(table > floor)
-            out = {"kind": kind, "doc_id": pd.Series(hot, dtype="Int64"), "key": table[hot], "n": 0}
+            out = {"kind": kind, "doc_id": pd.Series(hot, dtype="Int64"), "key": table[hot].astype(np.int64), "n": 0}
             yield pd.DataFrame(out | dict.fromkeys(PARITY, 0))
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(
@@ -161,7 +162,7 @@ def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tup
         seen = set()
         rarity = lambda words: word_levels[_slots(words)]
         for batch in batches:
-            tokens, keys, sizes, pairs, places = [], [], [], [], []
+            tokens, keys, sizes, pairs, held = [], [], [], [], 0
             for hashes, common in ranked_shingle_sets(batch["text"].tolist(), width, rarity):
                 n, key = len(hashes), set_key(hashes)
                 # a copy in the same task adds nothing; the set key stands for all copies
@@ -177,25 +178,27 @@ def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tup
                             tag = small * 4096 + max(n, m)
                             total = np.add.reduce(mix(np.array(part, np.uint64) + np.uint64(tag)))
                             tokens.append(np.array([total], np.uint64))
-                            keys.append(key), sizes.append(n), pairs.append(small), places.append(0)
+                            keys.append(key), sizes.append(n), pairs.append(small)
+                            held += 1
                 if partner_sizes(n, percent)[-1] > boundary:
                     # passages last, then by how common the words are, then by hash
                     level = levels[_slots(hashes)].astype(np.int64) * 4096 + common
                     first = hashes[np.argsort(level, kind="stable")][: prefix_length(n, percent)]
                     tokens.append(first)
-                    keys.extend([key] * len(first))
-                    sizes.extend([n] * len(first))
-                    pairs.extend([0] * len(first))
-                    places.extend(range(len(first)))
-                if len(keys) > 500_000:
-                    yield frame(tokens, keys, sizes, pairs, places)
-                    tokens, keys, sizes, pairs, places = [], [], [], [], []
+                    keys.append(key), sizes.append(n), pairs.append(0)
+                    held += len(first)
+                if held > FRAME_ROWS:
+                    yield frame(tokens, keys, sizes, pairs)
+                    tokens, keys, sizes, pairs, held = [], [], [], [], 0
             if keys:
-                yield frame(tokens, keys, sizes, pairs, places)
+                yield frame(tokens, keys, sizes, pairs)
 
-    def frame(tokens, keys, sizes, pairs, places):
+    def frame(tokens, keys, sizes, pairs):
+        rows = [len(part) for part in tokens]
+        named = {"key": np.array(keys, np.int64), "n": sizes, "pair": pairs}
+        out = {name: np.repeat(values, rows) for name, values in named.items()}
         token = np.concatenate(tokens).view(np.int64)
-        return pd.DataFrame({"token": token, "key": keys, "n": sizes, "pair": pairs, "pos": places})
+        return pd.DataFrame({"token": token, **out, "pos": np.concatenate([np.arange(k) for k in rows])})
 
     return docs.select(F.col("text").cast("string")).mapInPandas(
         run, "token bigint, key bigint, n int, pair int, pos int"

@@ -21,7 +21,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(size: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < size:
-        size = max(size, CHUNK_BYTES * 2)
+        size = max(size, CHUNK_BYTES + 2)  # a chunk, its last separator and the end
         _powers[:] = [
             np.cumprod(np.array([1] + [b] * (size - 1), dtype=np.uint64), dtype=np.uint64)
             for b in (_BASE, _BASE_INVERSE)
