@@ -236,3 +236,13 @@ def test_modality_files_split_a_hot_month(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(list((tmp_path / "m" / "month=1970-01").glob("*.parquet"))) > 1
     assert spark.read.parquet(str(tmp_path / "m")).count() == 60000
+
+
+def test_heavy_median_of_null_key_outlier_and_zeros(spark):
+    """A NULL key is a group, and neither one huge value nor many equal ones change the median."""
+    rows = [(None, 0.0)] * 60 + [(None, float(i)) for i in range(41)] + [(None, 1e12)]
+    rows += [(1, float(i)) for i in range(80)] + [(1, None)] * 5 + [(2, 3.0), (2, 4.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    expected = {(r["k"], r["v"]) for r in df.groupBy("k").agg(F.median("v").alias("v")).collect()}
+    got = temporal.median_by(df, ["k"], ["v"], heavy_rows=50).collect()
+    assert len(got) == 3 and {(r["k"], r["v"]) for r in got} == expected
