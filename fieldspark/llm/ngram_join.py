@@ -206,9 +206,12 @@ def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tup
 
 
 def _verified(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, repeated: bool
 ) -> DataFrame:
-    """The candidate pairs (a, b) of set keys that link, counted on whole texts."""
+    """The candidate pairs (a, b) of set keys that link, counted on whole texts.
+
+    ``repeated``: some rows share a doc_id.
+    """
     ids = classes.select("key", "doc_id")
     pairs = pairs.join(ids.select(F.col("key").alias("a"), F.col("doc_id").alias("doc_a")), "a")
     pairs = pairs.join(ids.select(F.col("key").alias("b"), F.col("doc_id").alias("doc_b")), "b")
@@ -222,6 +225,9 @@ def _verified(
     hint = wanted.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
     texts = texts.join(F.broadcast(wanted) if hint else wanted, "doc_id", "left_semi")
+    if repeated:
+        # else every copy of a row would meet every copy of the other
+        texts = texts.withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"])
     left = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "doc_a").join(right, "doc_b").select("a", "b", "text_a", "text_b")
@@ -263,6 +269,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PARITY])
     )
     classes = stored(classes, "classes")
+    ids = sets.where("doc_id is not null").groupBy("doc_id").count()
+    repeated = not ids.where("count > 1").isEmpty()
     histogram = {
         r["n"]: r["count"] for r in classes.where(F.col("n") <= MAX_LIGHT).groupBy("n").count().collect()
     }
@@ -298,7 +306,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     for side in "ab":
         stars = stars.join(sketch.toDF(side, f"n_{side}", *[f"{p}_{side}" for p in PARITY]), side)
     stars = stars.where(_may_link(percent)).select("a", "b")
-    links = light.distinct().union(_verified(stars, classes, docs, width, percent))
+    links = light.distinct().union(_verified(stars, classes, docs, width, percent, repeated))
     links = stored(links, "links")
     found = stored(connected_components(links), "components")
 
@@ -329,7 +337,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         .distinct()
         .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
-    more = _verified(rest, classes, docs, width, percent)
+    more = _verified(rest, classes, docs, width, percent, repeated)
     if not more.isEmpty():
         # the components so far stand for their links
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -347,13 +355,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
+    """``docs`` with one row of each component: of the smallest doc_id, the text of smallest hash.
 
-    Where rows share that doc_id, the smallest text is kept. Rows without doc_id are all kept.
+    Groups are made of texts, so a repeated row is a copy, and a doc_id with several texts is in
+    several groups. Rows without doc_id are in the groups of their texts too; as a group cannot be
+    named by one of them, it keeps one of these as well. Texts without words are in no group: their
+    rows stay.
     """
-    found = jaccard_components(docs.select("doc_id", "text"), width, percent)
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(
-        heads.withColumnRenamed("doc_id", "_head"), F.col("doc_id") == F.col("_head"), "left_semi"
+    text, names = F.col("text").cast("string"), docs.columns
+    others = F.to_json(F.struct(*[F.col(c) for c in names if c != "text"]))
+    # equal pairs of hashes are equal rows
+    marked = docs.withColumn("_text", F.xxhash64("doc_id", text)).withColumn("_row", F.xxhash64(others, text))
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    texts = marked.where(worded).select(F.col("_text").alias("doc_id"), "text")
+    found = jaccard_components(texts, width, percent).select("doc_id", "component_id").distinct()
+    rows = marked.where(worded).select("_text", "_row", "doc_id").distinct()
+    rows = rows.join(found.withColumnRenamed("doc_id", "_found"), F.col("_text") == F.col("_found"))
+    best = rows.groupBy("component_id", F.col("doc_id").isNull()).agg(
+        F.min(F.struct("doc_id", "_text", "_row")).alias("best")
     )
-    return named.union(docs.where(F.col("doc_id").isNull()))
+    best = best.select(F.col("best._text").alias("_text"), F.col("best._row").alias("_row"))
+    kept = marked.where(worded).join(best, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"])
+    return kept.select(*names).union(docs.where(~worded))

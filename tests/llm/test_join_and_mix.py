@@ -78,6 +78,27 @@ def test_join_repeated_and_null_ids(spark):
     assert {r["doc_id"] for r in kept.collect()} == {1, 3, None}
 
 
+def test_keep_one_row_of_each_group(spark):
+    text, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, text, {"x": 1})] * 3 + [(1, text, {"x": 2}), (2, text, None), (None, text, None), (None, text, None)]
+    # one id with two texts, of which one belongs to the group of a smaller id
+    rows += [(4, other, None), (5, other, None), (5, "u v w x y z 1 2 3 4", None), (7, None, None), (7, "", None), (8, " ", None)]
+    rows += [(None, "5 6 7 8 9 10 11 12", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string,int>").repartition(5)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(df, 4, 85).collect()]
+    want = [(1, text), (None, text), (4, other), (5, "u v w x y z 1 2 3 4"), (7, None), (7, ""), (8, " ")]
+    want += [(None, "5 6 7 8 9 10 11 12")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_keep_one_with_many_copies_of_each_row(spark):
+    """Near copies that are each repeated: copies must not meet each other by pairs."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k % 5, " ".join([*words[:59], f"v{k % 5}"])) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    assert [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(df, 4, 85).collect()] == [rows[0]]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
