@@ -1,10 +1,13 @@
 """Personal data: fixed patterns as seeds, and contexts bootstrapped from them (Spark only).
 
-Mentions are tokens with a digit or an at sign. A mention that a seed covers is a known instance;
-a lexical pattern is the word before a mention (or the two words) with the mention's shape. Patterns
-and instances form a graph that is scored in turns: a pattern by the mean score of its distinct
-instances, an instance by its best pattern, seeds by one. Patterns that end above the bar name the
-kind of the mentions that no seed covers.
+Mentions are tokens with a digit or an at sign; groups of digits side by side are one mention. A
+mention that a seed covers is a known instance. A lexical pattern is the word before a mention, the
+two words before it or the word after it, whatever the mention looks like; what it looks like is a
+feature of its own, the part of a kind's known instances that share its coarse shape. Patterns and
+instances are scored in turns: a pattern by the mean score of its distinct instances, an instance by
+its best pattern and its shape. Instances above the bar count like seeds in the next turn, so patterns
+without a seed can come in. Patterns that end above the bar name the kind of the mentions that no seed
+covers.
 """
 
 from __future__ import annotations
@@ -23,7 +26,13 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-MENTION = r"(?:(?<![^\x20\x09-\x0D])|\G)[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# A run of groups of digits, or any other token with a digit or an at sign.
+GROUP = r"[0-9][^\x20\x09-\x0D@\p{L}]*+(?![^\x20\x09-\x0D])"
+MENTION = (
+    r"(?:(?<![^\x20\x09-\x0D])|\G)(?:"
+    rf"[^\x20\x09-\x0D0-9@\p{{L}}]*+{GROUP}(?:(?<=[0-9)])\x20++\(?{GROUP})*+"
+    r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
 
 ROUNDS = 3
 MIN_SEEDS = 5
@@ -61,23 +70,35 @@ def seed_spans(text: Column) -> Column:
     )
 
 
+def _shape(value: Column) -> Column:
+    """The coarse shape of a mention; numbers of less than MIN_DIGITS digits are a shape of their own."""
+    return (
+        F.when(F.contains(value, F.lit("@")), "at")
+        .when(value.rlike(r"\p{L}"), "mixed")
+        .when(F.length(_digits(value)) >= MIN_DIGITS, "number")
+        .otherwise("short")
+    )
+
+
 def _mentions(text: Column, seeds: Column) -> Column:
-    """Every mention with its patterns and the kind of the seed that covers it, if any."""
+    """Every mention with its shape, its patterns and the kind of the seed that covers it, if any."""
     word = r"([^\x20\x09-\x0D]+)"
     blank = r"[\x20\x09-\x0D]+"
 
     def describe(m: Column) -> Column:
         one = F.lower(F.regexp_extract(m["before"], word + blank + "$", 1))
         two = F.lower(F.regexp_extract(m["before"], f"({word}{blank}{word}){blank}$", 1))
-        shape = F.regexp_replace(F.regexp_replace(m["value"], "[A-Za-z]+", "a"), "[0-9]+", "9")
+        after = F.lower(F.regexp_extract(m["after"], f"^{blank}{word}", 1))
         cover = F.filter(seeds, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
         return F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
             m["value"].alias("value"),
+            _shape(m["value"]).alias("shape"),
             F.array(
-                F.when(one != "", F.concat(F.lit("1 "), one, F.lit(" "), shape)),
-                F.when(two != "", F.concat(F.lit("2 "), two, F.lit(" "), shape)),
+                F.when(one != "", F.concat(F.lit("1 "), one)),
+                F.when(two != "", F.concat(F.lit("2 "), two)),
+                F.when(after != "", F.concat(F.lit("3 "), after)),
             ).alias("patterns"),
             F.get(F.transform(cover, lambda s: s["kind"]), 0).alias("seed"),
         )
@@ -85,37 +106,50 @@ def _mentions(text: Column, seeds: Column) -> Column:
     return F.transform(matches(text, MENTION, text.rlike("[0-9@]")), describe)
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, score) from ``edges(pattern, instance, seed)``; seed is a kind or null.
+def _reached(places: DataFrame, patterns: DataFrame, fits: DataFrame) -> DataFrame:
+    """``places(pattern, shape)`` under patterns above the bar whose kind their shape fits, with the
+    kind and the score. Kinds made of digits need some digits."""
+    good = patterns.where(F.col("score") >= CONFIDENCE)
+    reached = places.join(good, "pattern").join(F.broadcast(fits), ["shape", "kind"])
+    reached = reached.withColumn("score", F.col("score") * F.col("fit")).where(F.col("score") >= CONFIDENCE)
+    return reached.where((F.col("kind") == "email") | (F.col("shape") != "short"))
+
 
-    Groups are reduced to sums before they meet, so a pattern with any number of instances is one
-    row per task. A pattern's kind is that of most of its seed instances, the first by name on ties.
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, score) and (shape, kind, fit) from ``edges(pattern, instance, shape, seed)``.
+
+    ``seed`` is a kind or null. Groups are reduced to sums before they meet, so a pattern with any
+    number of instances is one row per task. A pattern's kind is that of most of its instances by
+    score, the first by name on ties.
     """
     edges = stored(
-        edges.groupBy("pattern", "instance").agg(F.min("seed").alias("seed")), "pattern-edges"
-    )
-    votes = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n"))
-    kinds = votes.groupBy("pattern").agg(
-        F.sum("n").alias("seeds"), F.min(F.struct(-F.col("n"), F.col("seed"))).alias("best")
+        edges.groupBy("pattern", "instance", "shape").agg(F.min("seed").alias("seed")), "pattern-edges"
     )
-    kinds = kinds.where(F.col("seeds") >= MIN_SEEDS).select(
-        "pattern", F.col("best.seed").alias("kind"), "seeds"
-    )
-    edges = stored(edges.join(kinds, "pattern"), "scored-edges")
-    trust = F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed").isNotNull(), 0.0)
-    current = edges.withColumn("score", F.coalesce(trust, F.lit(0.0)))
-    patterns = None
+    known = edges.where("seed is not null").select("instance", "shape", F.col("seed").alias("kind")).distinct()
+    # at most four shapes and four kinds
+    fits = known.groupBy("shape", "kind").agg(F.count("*").alias("n"))
+    all_of = fits.groupBy("kind").agg(F.sum("n").alias("all"))
+    fits = stored(fits.join(all_of, "kind").select("shape", "kind", (F.col("n") / F.col("all")).alias("fit")), "fits")
+    current = edges.select("pattern", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).alias("score"))
     for turn in range(rounds):
-        patterns = current.groupBy("pattern", "kind").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("score")
+        # one row per pattern and kind; those without a kind count in the mean only
+        sums = current.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("sum"))
+        top = F.struct(-F.col("sum"), F.col("kind"), F.col("n"))
+        patterns = sums.groupBy("pattern").agg(
+            F.sum("n").alias("all"), F.min(F.when(F.col("kind").isNotNull(), top)).alias("top")
+        )
+        patterns = patterns.where(F.col("top.n") >= MIN_SEEDS).select(
+            "pattern", F.col("top.kind").alias("kind"), (-F.col("top.col1") / (F.col("all") + 1)).alias("score")
         )
         if turn < rounds - 1:
-            best = edges.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind")
-            best = best.agg(F.max("score").alias("reached"))
-            current = edges.join(best, ["instance", "kind"], "left").withColumn(
-                "score", F.coalesce(trust, "reached", F.lit(0.0))
+            best = _reached(edges.where("seed is null"), patterns, fits).groupBy("instance")
+            best = best.agg(F.max(F.struct("score", "kind")).alias("best"))
+            current = edges.join(best, "instance", "left").select(
+                "pattern",
+                F.coalesce("seed", "best.kind").alias("kind"),
+                F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("best.score")).alias("score"),
             )
-    return patterns
+    return patterns, fits
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -133,13 +167,11 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     base = stored(base, "mentions")
     each = base.select("text_hash", F.explode("mentions").alias("m")).select("text_hash", "m.*")
     edges = each.select(
-        F.explode("patterns").alias("pattern"), F.xxhash64("value").alias("instance"), "seed"
+        F.explode("patterns").alias("pattern"), F.xxhash64("value").alias("instance"), "shape", "seed"
     ).where("pattern is not null")
-    good = score_patterns(edges, rounds).where(F.col("score") >= CONFIDENCE)
-    unseen = each.where(
-        F.col("seed").isNull() & (F.length(_digits(F.col("value"))) >= MIN_DIGITS)
-    ).withColumn("pattern", F.explode("patterns"))
-    hits = unseen.join(good, "pattern").groupBy("text_hash", "start", "end", "value")
+    patterns, fits = score_patterns(edges, rounds)
+    unseen = each.where(F.col("seed").isNull()).withColumn("pattern", F.explode("patterns"))
+    hits = _reached(unseen, patterns, fits).groupBy("text_hash", "start", "end", "value")
     hits = hits.agg(F.max(F.struct("score", "kind")).alias("best"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("best.kind")).cast("int") - 1
     added = hits.groupBy("text_hash").agg(

@@ -44,6 +44,24 @@ def test_personal_data_discovers_unseen_identifiers(spark):
     assert masked[200]["text"] == "there were 5000 things"
 
 
+def test_personal_data_discovers_other_shapes(spark):
+    rows = [(i, f"please ring hotline +1 (702) 555-{1000 + i} soon") for i in range(160)]
+    rows += [(200 + i, f"please ring hotline 702.555.{2000 + i} soon") for i in range(20)]
+    rows += [(300, "please ring hotline 702 555 8765 soon"), (301, "please ring hotline 12 soon")]
+    rows += [(302, "please ring hotline ab1234 soon")]
+    # known only as the instances of another pattern, which here seed a pattern of their own
+    rows += [(400 + i, f"backup desk 702.555.{2000 + i} now") for i in range(20)]
+    rows += [(500, "backup desk 702.555.9999 now"), (501, "other desks 702.555.9998 then")]
+    rows += [(600 + i, f"account holder x{i}@mail.example.com wrote") for i in range(60)]
+    rows += [(700, "account holder 2019@mail wrote"), (701, "nothing 2019@mail here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {i: [(s["kind"], s["value"]) for s in r["found"]] for i, r in by_id(pii.find_personal_data(docs)).items()}
+    assert got[200] == [("phone", "702.555.2000")] and got[300] == [("phone", "702 555 8765")]
+    assert got[400] == [("phone", "702.555.2000")] and got[500] == [("phone", "702.555.9999")]
+    assert got[700] == [("email", "2019@mail")]
+    assert not any(got[i] for i in (0, 301, 302, 501, 600, 701))
+
+
 def test_mask_keeps_rows_and_columns(spark, edge_dir, edge_docs):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     masked = pii.mask(docs)
