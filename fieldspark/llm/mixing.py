@@ -2,10 +2,12 @@
 
 Targets share the wanted size by weight; a target stops at a multiple of its source's size and the
 rest is shared again. Documents are dealt to shards by a hash, and within a shard and source they
-form a stream in seeded order that is cut into blocks of equal size. In each shard, blocks go to
-the sources by highest quotients votes / (2 * seats + 1); the votes are the targets' parts in the
-shard. A source then takes its quota of blocks: whole passes over its stream and a seeded choice of
-distinct blocks for the rest.
+form a stream in seeded order that is cut into as few blocks of equal size as the block size allows.
+Over the whole table, blocks go to the sources by highest quotients votes / (2 * seats + 1); a
+source's votes are its target in blocks of its own mean size. Its seats are dealt to the shards by
+cumulative rounding in the order of block size, so they miss the target by about a block however many
+shards there are. In a shard a source then takes its quota of blocks: whole passes over its stream and
+a seeded choice of distinct blocks for the rest.
 """
 
 from __future__ import annotations
@@ -88,7 +90,8 @@ def apportion(votes: DataFrame, block: int) -> DataFrame:
 def mix_sources(docs: DataFrame, keep: list[str], seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
     """``keep`` columns of every row with size, source_size, target, taken, and what is taken.
 
-    ``begin``, ``blocks``, ``passes``, ``rest`` and ``shift`` say which words: see ``word_passes``.
+    ``begin``, ``stream``, ``blocks``, ``passes``, ``rest`` and ``shift`` say which words: the document
+    begins at word ``begin`` of the ``stream`` words of its shard and source, which are ``blocks`` blocks.
     A null text has size 0 and gives nothing; a null source is a source of its own, the last. A null
     doc_id is an id; repeated rows are documents of their own. Reruns and other partitionings give
     the same result. An empty table gives an empty result.
@@ -103,31 +106,40 @@ def mix_sources(docs: DataFrame, keep: list[str], seed: int = 7, block: int = BL
     shards = max(1, -(-base.count() // SHARD_DOCUMENTS))
     base = base.withColumn("shard", F.pmod("_h", F.lit(shards)).cast("int"))
     cells = base.groupBy("shard", F.col("_source").alias("source")).agg(F.sum("size").alias("size"))
-    cells = stored(cells, "cells")
-    targets = stored(source_targets(cells.select("source", "size")), "targets")
-    named = targets.select(F.col("source").alias("s"), "source_size", "target")
-    votes = cells.join(broadcast_if_small(named), F.col("source").eqNullSafe(F.col("s"))).select(
-        "shard", "source", "size", "source_size", "target",
-        F.coalesce(F.col("target") * F.col("size") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0)).alias("votes"),
+    cells = stored(cells.withColumn("blocks", F.ceil(F.col("size") / block).cast("bigint")), "cells")
+    targets = source_targets(cells.select("source", "size"))
+    in_all = cells.groupBy(F.col("source").alias("s")).agg(F.sum("blocks").alias("all_blocks"))
+    targets = targets.join(in_all, F.col("source").eqNullSafe(F.col("s")))
+    votes = F.col("target") * F.col("all_blocks") / F.when(F.col("source_size") > 0, F.col("source_size"))
+    targets = stored(targets.withColumn("votes", F.coalesce(votes, F.lit(0.0))), "targets")
+    # seats over the whole table, in blocks: one shard that stands for all
+    seats = apportion(targets.select(F.lit(0).alias("shard"), "source", "votes"), 1)
+    seats = targets.join(seats.select(F.col("source").alias("so"), "seats"), F.col("source").eqNullSafe(F.col("so")))
+    seats = seats.select(
+        F.col("source").alias("s"), "source_size", "target", "all_blocks",
+        F.least(F.col("seats"), MAX_REPEAT * F.col("all_blocks")).alias("seats"),
     )
-    seats = apportion(votes.select("shard", "source", "votes"), block)
-    seats = seats.select(F.col("shard").alias("sh"), F.col("source").alias("so"), "seats")
-    plan = votes.join(seats, (F.col("shard") == F.col("sh")) & F.col("source").eqNullSafe(F.col("so")))
-    blocks = F.ceil(F.col("size") / block).cast("bigint")
-    quota = F.least(F.col("seats"), MAX_REPEAT * blocks)
+    plan = cells.join(broadcast_if_small(stored(seats, "seats")), F.col("source").eqNullSafe(F.col("s")))
+    # cells of nearly equal blocks follow each other, so what rounding moves is made up by the next
+    order = Window.partitionBy("source").orderBy(F.col("size") / F.col("blocks"), "shard")
+    upto = F.sum("blocks").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dealt = lambda n: F.floor(F.col("seats") * (n / F.col("all_blocks")) + 0.5)
+    plan = plan.withColumn("upto", upto)
+    quota = F.coalesce(dealt(F.col("upto")) - dealt(F.col("upto") - F.col("blocks")), F.lit(0))
+    blocks = F.col("blocks")
     plan = plan.select(
         F.col("shard").alias("sh"), F.col("source").alias("so"), "source_size", "target",
-        blocks.alias("blocks"),
+        F.col("size").alias("stream"), "blocks",
         F.when(blocks > 0, F.floor(quota / blocks)).otherwise(0).cast("bigint").alias("passes"),
         F.when(blocks > 0, quota % blocks).otherwise(0).cast("bigint").alias("rest"),
         F.abs(F.xxhash64(F.lit(seed), "shard", "source") % 1_000_003).alias("shift"),
     )
     plan = broadcast_if_small(stored(plan, "quotas"))
-    stream = Window.partitionBy("shard", "_source").orderBy("_h", *[F.col(k) for k in keep])
-    base = base.withColumn("begin", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+    in_stream = Window.partitionBy("shard", "_source").orderBy("_h", *[F.col(k) for k in keep])
+    base = base.withColumn("begin", F.sum("size").over(in_stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     base = base.join(plan, (F.col("shard") == F.col("sh")) & F.col("_source").eqNullSafe(F.col("so")))
-    return base.withColumn("taken", taken_words(block)).select(
-        *keep, "size", "source_size", "target", "taken", "begin", "blocks", "passes", "rest", "shift"
+    return base.withColumn("taken", taken_words()).select(
+        *keep, "size", "source_size", "target", "taken", "begin", "stream", "blocks", "passes", "rest", "shift"
     )
 
 
@@ -137,15 +149,20 @@ def chosen(number: Column) -> Column:
     return ((number * step + F.col("shift")) % F.col("blocks")) < F.col("rest")
 
 
-def document_blocks(block: int) -> Column:
-    """The document's runs of words in chosen blocks: (first word in the document, words)."""
+def document_blocks() -> Column:
+    """The document's runs of words in chosen blocks: (first word in the document, words).
+
+    Block b of a stream holds the words from b * stream / blocks on, rounded down.
+    """
     end = F.col("begin") + F.col("size")
-    numbers = F.sequence(F.floor(F.col("begin") / block), F.floor((end - 1) / block))
+    edge = lambda b: F.call_function("div", b * F.col("stream"), F.col("blocks"))
+    holding = lambda word: F.call_function("div", (word + 1) * F.col("blocks") - 1, F.col("stream"))
+    numbers = F.sequence(holding(F.col("begin")), holding(end - 1))
     runs = F.transform(
         F.filter(numbers, chosen),
         lambda b: F.struct(
-            (F.greatest(F.col("begin"), b * block) - F.col("begin")).alias("first"),
-            (F.least(end, (b + 1) * block) - F.greatest(F.col("begin"), b * block)).alias("words"),
+            (F.greatest(F.col("begin"), edge(b)) - F.col("begin")).alias("first"),
+            (F.least(end, edge(b + 1)) - F.greatest(F.col("begin"), edge(b))).alias("words"),
         ),
     )
     return F.when((F.col("size") > 0) & (F.col("rest") > 0), runs).otherwise(
@@ -153,8 +170,8 @@ def document_blocks(block: int) -> Column:
     )
 
 
-def taken_words(block: int) -> Column:
-    extra = F.aggregate(document_blocks(block), F.lit(0).cast("bigint"), lambda a, r: a + r["words"])
+def taken_words() -> Column:
+    extra = F.aggregate(document_blocks(), F.lit(0).cast("bigint"), lambda a, r: a + r["words"])
     return F.col("passes") * F.col("size") + extra
 
 
@@ -172,7 +189,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7, block: int = BLOCK_WORDS) ->
     cut = F.array_join(
         F.flatten(
             F.transform(
-                document_blocks(block),
+                document_blocks(),
                 lambda r: F.slice(pieces, (r["first"] + 1).cast("int"), r["words"].cast("int")),
             )
         ),

@@ -170,6 +170,25 @@ def test_mix_many_shards(spark, edge_dir, edge_docs, monkeypatch):
     check_mix(rows, edge_docs)
 
 
+def test_mix_rare_sources_reach_their_targets(spark, monkeypatch):
+    """A few words of a source in each of many shards."""
+    monkeypatch.setattr(mixing, "SHARD_DOCUMENTS", 40)
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(200, 400)), "a big one") for i in range(1200)]
+    rows += [(5000 + i, " ".join(["w"] * n), f"b{n}") for n in (10, 40, 70, 130) for i in range(30)]
+    rows += [(9000 + i, " ".join(["w"] * rng.randint(1, 70)), "z not stopped") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix_sources(df, ["doc_id", "source"]).collect()
+    taken, target, size = defaultdict(int), {}, {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]], size[r["source"]] = r["target"], r["source_size"]
+    for n in (10, 40, 70, 130):
+        assert target[f"b{n}"] == 2 * size[f"b{n}"] == taken[f"b{n}"] == 60 * n
+    for s in taken:
+        assert abs(taken[s] - target[s]) <= 2 * mixing.BLOCK_WORDS, (s, taken[s], target[s])
+
+
 def sainte_lague(votes, house):
     seats = dict.fromkeys(votes, 0)
     for _ in range(house):
