@@ -100,6 +100,23 @@ def test_secrets_ownership(spark):
     assert got[12]["n_live"] == 1 and got[13]["n_live"] == 1
 
 
+def test_secrets_of_few_owners_are_live(spark):
+    mirrored, languages, wide = "mk4v9q2x7p8w3z6r5t1y", "7GQ4ZK2MXP5VTR8WLN3C", "Hs8Dk3Lp9Qz2Wx7Vb5Nm1"
+    rows = [(i, f"see {mirrored} here", f"s{i}", "en") for i in range(2)]
+    rows += [(10 + i, f"see {languages} text {i}", "s1", lang) for i, lang in enumerate(("en", "de", "fr", "es"))]
+    rows += [(20 + i, f"see {wide} text {i}", f"s{i}", "en") for i in range(9)]
+    # a document copied to more owners is still one text
+    rows += [(40 + i, "token=abcdefabcdef12", f"s{i}", "en") for i in range(9)]
+    rows += [(100 + i, "nothing thanbleshaningtionnt 12345678901234567890 here", f"s{i}", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    got = by_id(secrets.find_secrets(docs, F.col("source"), F.col("lang")))
+    assert [[s["value"] for s in got[i]["found"]] for i in (0, 1)] == [[mirrored]] * 2
+    assert [[s["value"] for s in got[i]["found"]] for i in range(10, 14)] == [[languages]] * 4
+    assert not any(got[i]["found"] for i in [*range(20, 29), *range(100, 120)])
+    assert all(got[i]["n_example"] == 1 for i in range(20, 29)) and all(got[i]["n_live"] == 1 for i in range(40, 49))
+    assert [secrets.many_owners(n) for n in (0, 6, 20, 1_000_000)] == [3, 4, 6, 21]
+
+
 def test_quality_base(spark, edge_dir, edge_docs):
     got = by_id(queries.QUERIES["op8_quality_rules"](spark, edge_dir))
     assert len(got) == len(edge_docs)
