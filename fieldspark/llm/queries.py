@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, fingerprint, langid, mixing, ngram_join, packing, page_text, pii, quality, repair, secrets
+from . import chat, fingerprint, langid, mixing, ngram_join, packing, page_text, phrases, pii, quality, repair, secrets
 from .storage import read_table
 
 
@@ -89,6 +89,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damage(turns), turns.select("conv_id"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("text", "lang")
+    return phrases.collocations(docs, F.col("lang"))
+
+
 FUNCTIONS = [
     op1_best_fit_packing,
     op2_chat_format,
@@ -101,6 +106,7 @@ FUNCTIONS = [
     op9_page_text,
     op10_secret_scan,
     op12_conversation_repair,
+    op13_phrase_collocations,
 ]
 
 
@@ -133,4 +139,42 @@ ORACLES: dict[str, str] = {
                              + CASE WHEN later IS DISTINCT FROM role THEN 11 ELSE 0 END) AS BIGINT)
                    AS formatted_chars
         FROM o GROUP BY conv_id""",
+    "op13_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+        runs AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM places),
+        totals AS (SELECT lang, count(*) AS n FROM runs GROUP BY lang),
+        ones AS (SELECT lang, x, CAST(count(*) AS HUGEINT) AS f FROM runs GROUP BY ALL),
+        twos AS (SELECT lang, x, y, CAST(count(*) AS HUGEINT) AS f FROM runs WHERE y IS NOT NULL GROUP BY ALL
+                 HAVING count(*) >= 10),
+        threes AS (SELECT lang, x, y, z, CAST(count(*) AS HUGEINT) AS f FROM runs WHERE z IS NOT NULL
+                   GROUP BY ALL HAVING count(*) >= 10),
+        longer AS (SELECT lang, x, y, max(f) AS f FROM (
+                       SELECT lang, x, y, f FROM threes UNION ALL SELECT lang, y, z, f FROM threes)
+                   GROUP BY ALL),
+        cuts AS (
+            SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r
+            FROM twos t JOIN ones p ON t.lang = p.lang AND t.x = p.x JOIN ones q ON t.lang = q.lang AND t.y = q.x
+            LEFT JOIN longer g ON t.lang = g.lang AND t.x = g.x AND t.y = g.y
+            WHERE g.f IS NULL OR 100 * g.f < 50 * t.f
+            UNION ALL
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, p.f, q.f
+            FROM threes t JOIN ones p ON t.lang = p.lang AND t.x = p.x
+            JOIN twos q ON t.lang = q.lang AND t.y = q.x AND t.z = q.y
+            UNION ALL
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, q.f
+            FROM threes t JOIN twos p ON t.lang = p.lang AND t.x = p.x AND t.y = p.y
+            JOIN ones q ON t.lang = q.lang AND t.z = q.x),
+        scored AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM cuts),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+                   FROM weakest)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+               CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
