@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, fingerprint, langid, mixing, ngram_join, packing, page_text, phrases, pii, quality, repair, secrets
+from . import chat, circulant, fingerprint, langid, mixing, ngram_join, packing, page_text, phrases, pii, quality, repair, secrets
 from .storage import read_table
 
 
@@ -84,6 +84,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(docs, F.col("source"), F.col("lang")))
 
 
+def op11_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return circulant.near_duplicates(docs, width=2, percent=80)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair.repair_report(repair.damage(turns), turns.select("conv_id"))
@@ -105,6 +110,7 @@ FUNCTIONS = [
     op8_quality_rules,
     op9_page_text,
     op10_secret_scan,
+    op11_near_duplicates,
     op12_conversation_repair,
     op13_phrase_collocations,
 ]
