@@ -40,7 +40,8 @@ def encoder(json_path: str | None = None, ranks_path: str | None = None):
     """A function from a list of texts to their lists of ids.
 
     The two files hold one vocabulary. The rank form is several times faster on ordinary text; texts
-    with very long unbroken runs are encoded from the JSON form.
+    with very long unbroken runs, and those in which one of the JSON form's added tokens is spelled out (it
+    is one id there), are encoded from the JSON form with its default settings.
     """
     import base64
 
@@ -49,7 +50,7 @@ def encoder(json_path: str | None = None, ranks_path: str | None = None):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
+    added = [token.content for token in exact.get_added_tokens_decoder().values()]
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     fast = tiktoken.Encoding(
@@ -57,7 +58,7 @@ def encoder(json_path: str | None = None, ranks_path: str | None = None):
     )
 
     def encode(text: str) -> list[int]:
-        if LONG_RUN.search(text):
+        if LONG_RUN.search(text) or any(token in text for token in added):
             return exact.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
