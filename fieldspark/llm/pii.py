@@ -82,12 +82,14 @@ def _shape(value: Column) -> Column:
 
 def _mentions(text: Column, seeds: Column) -> Column:
     """Every mention with its shape, its patterns and the kind of the seed that covers it, if any."""
-    word = r"([^\x20\x09-\x0D]+)"
-    blank = r"[\x20\x09-\x0D]+"
+    # from the start of a word only, and never shorter than whole: linear in runs of any length
+    word = r"([^\x20\x09-\x0D]++)"
+    blank = r"[\x20\x09-\x0D]++"
+    start = r"(?<![^\x20\x09-\x0D])"
 
     def describe(m: Column) -> Column:
-        one = F.lower(F.regexp_extract(m["before"], word + blank + "$", 1))
-        two = F.lower(F.regexp_extract(m["before"], f"({word}{blank}{word}){blank}$", 1))
+        one = F.lower(F.regexp_extract(m["before"], f"{start}{word}{blank}$", 1))
+        two = F.lower(F.regexp_extract(m["before"], f"{start}({word}{blank}{word}){blank}$", 1))
         after = F.lower(F.regexp_extract(m["after"], f"^{blank}{word}", 1))
         cover = F.filter(seeds, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
         return F.struct(
