@@ -18,7 +18,9 @@ NAME = re.compile(r"[a-z]+")
 
 # Fixed values of the HTML standard: elements by how they nest and what they hold.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea select title svg math canvas object".split())
+RAW = set("script style noscript template iframe textarea select title".split())
+# These end with the page if nothing ends them before; of the others an unclosed one costs its tag alone.
+TO_THE_END = {"script", "style"}
 BLOCK = set(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol "
@@ -97,7 +99,7 @@ def parse(source: str) -> Page:
                 holder = stack[k]
             pieces.append(text)
 
-    at, raw = 0, ""
+    at, raw, unclosed = 0, "", set()
     for m in TOKEN.finditer(source):
         if m.start() < at:
             continue
@@ -138,8 +140,13 @@ def parse(source: str) -> Page:
             page.add(tag, stack[-1], names)
             raw = tag
             # raw text ends at its own closing tag, whatever it holds
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at) if tag not in unclosed else None
+            if end:
+                at = end.end()
+            elif tag in TO_THE_END:
+                at = len(source)
+            else:
+                unclosed.add(tag)
             raw = ""
         elif tag in BLOCK and tag not in VOID:
             stack.append(page.add(tag, stack[-1], names))

@@ -79,7 +79,6 @@ def test_chat_merges_adjacent_turns(spark):
 
 def check_packing(rows, docs, capacity=2048):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     pieces = defaultdict(list)
     sequences = defaultdict(list)
     for r in rows:
@@ -129,6 +128,13 @@ def test_packing_repeated_and_null_ids(spark):
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
 
 
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
+    docs = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "<|endoftext|>" * 3)], "doc_id bigint, text string")
+    lengths = {r["doc_id"]: r["length"] for r in packing.pack(docs).collect()}
+    assert packing.encoder()("x <|endoftext|> y") == [87, 220, 50256, 331]
+    assert lengths == {1: 5, 2: 4}
+
+
 def test_evolution_beats_best_fit():
     rng = random.Random(4)
     # triplets that fill bins exactly: best fit decreasing is known to miss them
@@ -155,7 +161,6 @@ def test_crossover_keeps_every_document():
 @pytest.mark.parametrize("text", ["x" * 3000, " " * 2500 + "a", "<|endoftext|> é\U0001f600 日本語テキスト", "don't  stop\n\n\t1234 ٣٤ ½"])
 def test_both_forms_of_the_tokenizer_agree(text):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     assert packing.encoder()(text) == exact.encode(text, add_special_tokens=False).ids
 
 
@@ -350,3 +355,17 @@ def test_page_edge_cases(spark):
 @pytest.mark.parametrize("name", ["op1_best_fit_packing", "op2_chat_format", "op6_phrase_fingerprint", "op7_language_id", "op9_page_text"])
 def test_empty_tables(spark, empty_dir, name):
     assert queries.QUERIES[name](spark, empty_dir).count() == (1 if "chat" in name else 0)
+
+
+def blocks(source):
+    page = dom.parse(source)
+    return [t for tag, t in zip(page.tag, page.text) if tag == "#text"]
+
+
+def test_parser_loses_no_text():
+    assert blocks("<p>Energy is <math><mi>E</mi>=mc2</math> as known</p>") == ["Energy is E=mc2 as known"]
+    assert blocks("<p>a</p><object data=x>fallback words</object><p>b</p>") == ["a", "fallback words", "b"]
+    assert blocks("<p>one</p><svg><p>two</p><p>three</p>") == ["one", "two", "three"]
+    assert blocks("<p>one <textarea>two</p><p>three</p>") == ["one two", "three"]
+    assert blocks("<p>one</p><script>var x;</p><p>two</p>") == ["one"]
+    assert blocks("<p>a<script>x</script>b<style>y</style>c</p>") == ["abc"]
