@@ -1,9 +1,10 @@
 """Secrets: fixed patterns plus random-looking tokens, judged by who owns them (Spark only).
 
-Every candidate value is hashed and counted over the whole corpus by distinct owners and distinct
-texts. A value that many owners hold in many texts is a copied example, and so is one that most owners
-hold; one that a single owner holds, in however many places, or that a copied document brought to a few
-more, looks live. How many are many grows with the number of owners. Random-looking tokens outside the
+Every candidate value is hashed and counted over the whole corpus by distinct owners, distinct
+repositories of owners, and distinct texts. A value that many owners hold in many texts is a copied example, so
+is one that most owners hold, and one that two or more owners spread over many repositories in many texts;
+one that a single owner holds, in however many places, or that a copied document brought to a few
+more, looks live. How many are many grows with the number of owners, or of repositories. Random-looking tokens outside the
 fixed patterns are reported when they look live.
 """
 
@@ -75,8 +76,8 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
 
     ``base`` are the fixed-pattern spans, ``found`` the random-looking tokens outside them that look
     live; n_live and n_example count the judged values of both. A null or empty text has none. A null
-    owner counts as one of its own. The repositories of one owner are no more holders than it is, so
-    ``repository`` does not change a verdict. Repeated rows do not change a count of owners or texts;
+    owner counts as one of its own, and so does a null repository of each owner. Repositories count for
+    values of two or more owners only. Repeated rows do not change a count of owners or texts;
     repeated and null ids are rows like any other. Extra columns are not looked at.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -84,6 +85,7 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
         "doc_id",
         F.xxhash64(text).alias("text_hash"),
         F.coalesce(F.xxhash64(owner), F.lit(0)).alias("owner"),
+        F.xxhash64(owner, repository).alias("repository"),
         text.alias("text"),
     )
     base = base.withColumn("base", base_spans(F.col("text")))
@@ -93,19 +95,24 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
 
     value = lambda s: F.when(s["kind"] == "assign", _assigned(s["value"])).otherwise(s["value"])
     judged = base.select(
-        "text_hash", "owner", F.explode(F.concat("base", "more")).alias("s")
+        "text_hash", "owner", "repository", F.explode(F.concat("base", "more")).alias("s")
     )
     judged = judged.select(
-        "text_hash", "owner", "s", F.sha2(value(F.col("s")), 256).alias("secret")
+        "text_hash", "owner", "repository", "s", F.sha2(value(F.col("s")), 256).alias("secret")
     )
     # distinct holders and texts first, so that a value in a third of all rows is one row per task and holder
-    held = judged.groupBy("secret", "owner").count().groupBy("secret").agg(F.count("*").alias("owners"))
+    per_place = judged.groupBy("secret", "owner", "repository").count()
+    per_owner = per_place.groupBy("secret", "owner").agg(F.count("*").alias("n"))
+    held = per_owner.groupBy("secret").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
     texts = judged.groupBy("secret", "text_hash").count().groupBy("secret").agg(F.count("*").alias("texts"))
     owners = held.join(texts, "secret")
-    everyone = base.select("owner").distinct().count()
-    many = many_owners(everyone)
+    per_owner = base.groupBy("owner", "repository").count().groupBy("owner").agg(F.count("*").alias("n"))
+    everyone, anywhere = per_owner.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    many, many_places = many_owners(everyone), many_owners(anywhere)
     # copies of one text stand for one owner, unless most owners hold one
     example = (F.col("owners") >= many) & ((F.col("texts") >= many) | (2 * F.col("owners") > everyone))
+    spread = (F.col("owners") >= 2) & (F.col("repositories") >= many_places) & (F.col("texts") >= many_places)
+    example = example | spread
     verdict = owners.select("secret", (~example).alias("live"))
     places = judged.dropDuplicates(["text_hash", "s"]).join(verdict, "secret")
     per_text = places.groupBy("text_hash").agg(

@@ -1,6 +1,7 @@
 """Personal data, secrets and quality rules against the literal contracts."""
 
 import math
+import time
 
 import brute
 import pytest
@@ -117,6 +118,29 @@ def test_secrets_of_few_owners_are_live(spark):
     assert [secrets.many_owners(n) for n in (0, 6, 20, 1_000_000)] == [3, 4, 6, 21]
 
 
+def test_secrets_spread_over_repositories(spark):
+    """Six repositories of two owners are many places; six of one owner, or six copies of one text, are not."""
+    spread, single, copied = "mk4v9q2x7p8w3z6r5t1y", "7GQ4ZK2MXP5VTR8WLN3C", "Hs8Dk3Lp9Qz2Wx7Vb5Nm1"
+    rows = [(i, f"see {spread} text {i}", f"s{i % 2}", f"r{i}") for i in range(6)]
+    rows += [(10 + i, f"see {single} text {i}", "s0", f"r{i}") for i in range(6)]
+    rows += [(20 + i, f"see {copied} here", f"s{i % 2}", f"r{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string")
+    got = by_id(secrets.find_secrets(docs, F.col("source"), F.col("repo")))
+    assert not any(got[i]["found"] for i in range(6))
+    assert all(got[i]["found"] for i in [*range(10, 16), *range(20, 26)])
+
+
+@pytest.mark.parametrize("letter", ["a", "9", "@", " ", "+"])
+def test_long_runs_are_linear(spark, letter):
+    """Two million characters without a break before a number, twice."""
+    text = f"{letter * 2_000_000} call 5551234567 or 702.555.1000 {letter * 100_000} 1"
+    docs = spark.createDataFrame([(1, text, "s", "en")], "doc_id bigint, text string, source string, lang string")
+    began = time.time()
+    assert len(pii.digest(pii.find_personal_data(docs)).collect()) == 1
+    assert len(secrets.digest(secrets.find_secrets(docs, F.col("source"), F.col("lang"))).collect()) == 1
+    assert time.time() - began < 90
+
+
 def test_quality_base(spark, edge_dir, edge_docs):
     got = by_id(queries.QUERIES["op8_quality_rules"](spark, edge_dir))
     assert len(got) == len(edge_docs)
