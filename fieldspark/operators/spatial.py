@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -61,76 +61,116 @@ def _crosses(x: Column, y: Column, e: Column) -> Column:
     return F.when(spans & (x < at), 1).otherwise(0)
 
 
-def _span(vertices: Column, axis: str) -> tuple[Column, Column]:
-    values = F.transform(vertices, lambda p: p[axis])
-    return F.array_min(values), F.array_max(values)
+def _rings(shapes: DataFrame) -> Column:
+    """All rings of a shape: those of its ``parts``, else its one ``ring``.
 
+    Crossings are counted over all rings together, so holes and further parts need no care.
+    """
+    return F.flatten("parts") if "parts" in shapes.columns else F.array("ring")
 
-def _outline(shapes: DataFrame) -> tuple[Column, Column]:
-    """Edges and vertices of a shape: of all rings of its ``parts``, else of its one ``ring``.
 
-    Crossings are counted over all rings together, so holes and further parts need no care.
+def _reach(e: Column, row: Column, tile: float, height: float) -> tuple[Column, Column]:
+    """First and last tile column that the edge can be in while it is in a row of tiles.
+
+    A little wider than computed, so that rounding of a crossing never leaves the range.
     """
-    if "parts" not in shapes.columns:
-        return _edges(F.col("ring")), F.col("ring")
-    rings = F.flatten("parts")
-    return F.flatten(F.transform(rings, _edges)), F.flatten(rings)
+    ax, ay, bx, by = (e[k] for k in ("ax", "ay", "bx", "by"))
+    left, right = F.least(ax, bx), F.greatest(ax, bx)
+    slack = (F.abs(ax) + F.abs(bx) + 1) * F.lit(1e-9)
+    at = lambda y: (bx - ax) * F.try_divide(y - ay, by - ay) + ax
+    one, two = at(row * F.lit(height)), at((row + 1) * F.lit(height))
+    low = F.greatest(left, F.coalesce(F.least(one, two) - slack, left))
+    high = F.least(right, F.coalesce(F.greatest(one, two) + slack, right))
+    return geo.snap(F.least(low, high), tile), geo.snap(F.greatest(low, high), tile)
+
+
+def _runs(events: DataFrame, line: Sequence[str], at: str) -> DataFrame:
+    """(line, _from, _to): where an odd number of ``events`` lies to the right, per line.
+
+    The scan along a line sees one row per place with an event; only odd runs come out.
+    """
+    counts = events.groupBy(*line, at).agg(F.count(F.lit(1)).alias("_k"))
+    along = Window.partitionBy(*line).orderBy(F.desc(at))
+    runs = counts.withColumn("_right", F.sum("_k").over(along)).withColumn("_next", F.lead(at).over(along))
+    odd = runs.where((F.col("_right") % 2 == 1) & F.col("_next").isNotNull())
+    return odd.select(*line, F.col("_next").alias("_from"), (F.col(at) - 1).alias("_to"))
+
+
+def tile_edge_index(zones: DataFrame, tile: float, height: float) -> DataFrame:
+    """(zone_id, tx, ty, edges, levels, odd): what decides whether a point of a tile is in a zone.
+
+    ``edges`` are those that may lie in the tile. All edges to the right of it are one bit, ``odd``,
+    which says whether their number is odd, and the ``levels`` of the few corners in the tile's row at which
+    the outline comes from or goes to the right: each one above the point turns the bit. Tiles
+    without any of the three are wholly outside and not listed.
+    """
+    rings = zones.select("zone_id", F.explode(_rings(zones)).alias("ring"))
+    row = lambda y: geo.snap(y, height)
+    edges = rings.select("zone_id", F.explode(_edges(F.col("ring"))).alias("e"))
+    e = F.col("e")
+    low, high = row(F.least(e["ay"], e["by"])), row(F.greatest(e["ay"], e["by"]))
+    listed = edges.select("zone_id", "e", F.explode(F.sequence(low, high)).alias("ty"))
+    first, last = _reach(e, F.col("ty"), tile, height)
+    listed = listed.select("zone_id", "e", "ty", first.alias("first"), last.alias("last"))
+    near = listed.select("zone_id", "ty", "e", F.explode(F.sequence("first", "last")).alias("tx"))
+
+    above = (row(e["ay"]) > F.col("ty")) != (row(e["by"]) > F.col("ty"))
+    runs = _runs(listed.where(above).select("zone_id", "ty", "first"), ["zone_id", "ty"], "first")
+    inside = runs.select("zone_id", "ty", F.explode(F.sequence("_from", "_to")).alias("tx"))
+
+    # a corner concerns the tiles for which one of its two edges is to the right and the other is not
+    n = F.size("ring")
+    corner = F.transform(
+        F.col("ring"),
+        lambda p, i: F.struct(
+            F.get(F.col("ring"), (i + n - 1) % n).alias("a"), p.alias("p"), F.get(F.col("ring"), (i + 1) % n).alias("b")
+        ),
+    )
+    corners = rings.select("zone_id", F.explode(corner).alias("c")).withColumn("ty", row(F.col("c.p.y")))
+
+    def edge(a: str, b: str) -> Column:
+        c = F.col("c")
+        return F.struct(c[a]["x"].alias("ax"), c[a]["y"].alias("ay"), c[b]["x"].alias("bx"), c[b]["y"].alias("by"))
+
+    corners = corners.select("zone_id", "ty", F.col("c.p.y").alias("y"), edge("a", "p").alias("in"), edge("p", "b").alias("out"))
+    one, two = (_reach(F.col(c), F.col("ty"), tile, height)[0] for c in ("in", "out"))
+    corners = corners.withColumns({"one": one, "two": two}).where("one <> two")
+    tiles = F.sequence(F.least("one", "two"), F.greatest("one", "two") - 1)
+    levels = corners.select("zone_id", "ty", "y", F.explode(tiles).alias("tx"))
+
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    kind = near.schema["e"].dataType
+    key = ["zone_id", "tx", "ty"]
+    entries = (
+        near.select(*key, "e", none("y", "double"), none("one", "int"))
+        .union(levels.select(*key, none("e", kind), "y", none("one", "int")))
+        .union(inside.select(*key, none("e", kind), none("y", "double"), F.lit(1)))
+    )
+    return entries.groupBy(*key).agg(
+        F.collect_list("e").alias("edges"), F.collect_list("y").alias("levels"), F.coalesce(F.max("one"), F.lit(0)).alias("odd")
+    )
 
 
 def zone_of_point(
-    points: DataFrame, zones: DataFrame, key: str, tile: float = 5.0, missing: int = -1
+    points: DataFrame, zones: DataFrame, key: str, tile: float = 5.0, missing: int = -1, rows: int = 16
 ) -> DataFrame:
     """Lowest ``zone_id`` whose polygon holds the point, ``missing`` where there is none.
 
-    Zones ``(zone_id, ring)`` or ``(zone_id, parts)``, with holes and several parts, are listed
-    under every tile of their bounding box and meet the points in an equi join on the tile; ray
-    casting decides. Crowded tiles are split by AQE. Points need a unique key.
+    Zones ``(zone_id, ring)`` or ``(zone_id, parts)``, with holes and several parts, become a
+    ``tile_edge_index`` of tiles a ``rows``-th as high as they are wide. A point meets the entries of its tile
+    in an equi join and casts its ray over their few edges; one exchange by point follows. Outlines
+    of any length are cut up, and crowded tiles are split by AQE. Points need a unique key.
     """
-    edges, vertices = _outline(zones)
-    x0, x1 = _span(vertices, "x")
-    y0, y1 = _span(vertices, "y")
-    listed = (
-        zones.select(
-            "zone_id",
-            edges.alias("edges"),
-            x0.alias("x0"),
-            x1.alias("x1"),
-            y0.alias("y0"),
-            y1.alias("y1"),
-        )
-        .withColumn(
-            "tx", F.explode(F.sequence(geo.snap(F.col("x0"), tile), geo.snap(F.col("x1"), tile)))
-        )
-        .withColumn(
-            "ty", F.explode(F.sequence(geo.snap(F.col("y0"), tile), geo.snap(F.col("y1"), tile)))
-        )
-    )
+    height = tile / rows
+    index = tile_edge_index(zones, tile, height)
     placed = points.select(
-        key,
-        "lon",
-        "lat",
-        geo.snap(F.col("lon"), tile).alias("px"),
-        geo.snap(F.col("lat"), tile).alias("py"),
-    )
-    # same tile, then inside the bounding box; both run before any ray is cast
-    near = (
-        (F.col("px") == F.col("tx"))
-        & (F.col("py") == F.col("ty"))
-        & F.col("lon").between(F.col("x0"), F.col("x1"))
-        & F.col("lat").between(F.col("y0"), F.col("y1"))
-    )
-    candidates = placed.join(listed, near, "left")
-    # one row per edge keeps the test in generated code; the sums combine before the exchange
-    crossings = F.sum(_crosses(F.col("lon"), F.col("lat"), F.col("e"))).alias("_n")
-    per_zone = (
-        candidates.select(key, "lon", "lat", "zone_id", F.explode_outer("edges").alias("e"))
-        .groupBy(key, "zone_id")
-        .agg(crossings)
-    )
-    found = F.min(F.when(F.col("_n") % 2 == 1, F.col("zone_id")))
-    return per_zone.groupBy(key).agg(
-        F.coalesce(found, F.lit(missing).cast("bigint")).alias("zone_id")
+        key, "lon", "lat", geo.snap(F.col("lon"), tile).alias("tx"), geo.snap(F.col("lat"), height).alias("ty")
     )
+    x, y = F.col("lon"), F.col("lat")
+    crossed = F.size(F.filter("edges", lambda e: _crosses(x, y, e) == 1)) + F.size(F.filter("levels", lambda v: v > y))
+    inside = (crossed + F.col("odd")) % 2 == 1
+    met = placed.join(index, ["tx", "ty"], "left").select(key, F.when(inside, F.col("zone_id")).alias("zone_id"))
+    return met.groupBy(key).agg(F.coalesce(F.min("zone_id"), F.lit(missing)).cast("bigint").alias("zone_id"))
 
 
 def _edge_meets_box(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -154,34 +194,53 @@ def cover_grid(regions: DataFrame, size: float = 5000.0) -> DataFrame:
     """All cells that share a point with a region, with the region's attributes.
 
     ``ring`` or ``parts`` is in Web-Mercator metres; the other columns have to tell regions apart.
-    Columns of cells are spread over the cluster before the cells of a column are listed, so one
-    vast region is not one task.
+    A scan-line fill: every edge gives the cells that it touches, and on the lower side of each row of cells
+    the places where it crosses; the cells between an odd and an even crossing are inside. Work grows
+    with the cells along the outline plus the cells found, and every line is a group of its own.
     """
     rest = [c for c in regions.columns if c not in ("ring", "parts")]
-    edges, vertices = _outline(regions)
-    x0, x1 = _span(vertices, "x")
-    y0, y1 = _span(vertices, "y")
-    columns = regions.select(
-        *rest,
-        edges.alias("edges"),
-        geo.snap(y0, size).alias("_y0"),
-        geo.snap(y1, size).alias("_y1"),
-        F.explode(F.sequence(geo.snap(x0, size), geo.snap(x1, size))).alias("cell_x"),
-    )
-    cells = columns.repartition(*rest, "cell_x").withColumn(
-        "cell_y", F.explode(F.sequence("_y0", "_y1"))
-    )
-    left, bottom = F.col("cell_x") * F.lit(size), F.col("cell_y") * F.lit(size)
-    right, top = left + F.lit(size), bottom + F.lit(size)
+    rings = regions.select(*rest, F.explode(_rings(regions)).alias("ring"))
+    edges = rings.select(*rest, F.explode(_edges(F.col("ring"))).alias("e"))
     e = F.col("e")
-    tested = cells.withColumn("e", F.explode("edges")).groupBy(*rest, "cell_x", "cell_y").agg(
-        F.bool_or(_edge_meets_box(e, left, bottom, right, top)).alias("_touched"),
-        F.sum(_crosses(left, bottom, e)).alias("_n"),
-    )
-    # without an edge in it, a cell is wholly inside or wholly outside
-    return tested.where(F.col("_touched") | (F.col("_n") % 2 == 1)).select(
-        *rest, "cell_x", "cell_y"
+    snap = lambda v: geo.snap(v, size)
+    extent = regions.select(*rest, F.flatten(_rings(regions)).alias("_v"))
+    lowest = lambda axis: snap(F.array_min(F.transform("_v", lambda p: p[axis])))
+    extent = extent.select(*rest, lowest("x").alias("_x0"), lowest("y").alias("_y0"))
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in rest]
+    named = extent.withColumnsRenamed({c: f"_r_{c}" for c in rest})
+    edges = edges.join(named, same).drop(*[f"_r_{c}" for c in rest]) if rest else edges.crossJoin(named.limit(1))
+
+    # Touched cells: by columns, then the rows that the edge reaches there. A cell has its sides, so one
+    # that only ends at an edge counts; none is left of or below all the region's corners.
+    wide = edges.withColumn(
+        "cell_x",
+        F.explode(
+            F.sequence(
+                F.greatest(snap(F.least(e["ax"], e["bx"])) - 1, F.col("_x0")), snap(F.greatest(e["ax"], e["bx"]))
+            )
+        ),
     )
+    at = lambda x: (e["by"] - e["ay"]) * F.try_divide(x - e["ax"], e["bx"] - e["ax"]) + e["ay"]
+    low, high = F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])
+    left = F.col("cell_x") * F.lit(size)
+    one, two = at(left), at(left + F.lit(size))
+    lower = snap(F.greatest(low, F.least(high, F.coalesce(F.least(one, two), low)))) - 1
+    upper = F.least(snap(high), snap(F.greatest(low, F.least(high, F.coalesce(F.greatest(one, two), high)))) + 1)
+    touched = wide.withColumn("cell_y", F.explode(F.sequence(F.greatest(lower, F.col("_y0")), F.greatest(upper, F.col("_y0")))))
+    bottom = F.col("cell_y") * F.lit(size)
+    touched = touched.where(_edge_meets_box(e, left, bottom, left + F.lit(size), bottom + F.lit(size)))
+
+    # Inside: the last cell whose lower left corner has the crossing to its right, one more to be exclusive
+    lines = edges.withColumn("cell_y", F.explode(F.sequence(F.greatest(snap(low), F.col("_y0")), snap(high) + 1)))
+    spans = (e["ay"] > bottom) != (e["by"] > bottom)
+    x = (e["bx"] - e["ax"]) * (bottom - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+    lines = lines.where(spans).withColumn("_at", x)
+    m = snap(F.col("_at"))
+    last = F.when((m + 1) * F.lit(size) < F.col("_at"), m + 1).when(m * F.lit(size) < F.col("_at"), m).otherwise(m - 1)
+    events = lines.select(*rest, "cell_y", (last + 1).alias("_end"))
+    runs = _runs(events, [*rest, "cell_y"], "_end")
+    inside = runs.select(*rest, F.explode(F.sequence("_from", "_to")).alias("cell_x"), "cell_y")
+    return touched.select(*rest, "cell_x", "cell_y").union(inside).distinct()
 
 
 def cell_crop_area(
