@@ -12,13 +12,13 @@ from .registry import query
 
 @query(
     "r01_stream_ingest",
-    "sample_idx:i modality:s variable:s value:f event_id:i",
-    """SELECT user_id AS sample_idx, 'events' AS modality, event_type AS variable, value, event_id
-       FROM events WHERE event_type <> 'error'""",
+    "sample_idx:i modality:s variable:s value:f event_id:i error:s",
+    """SELECT user_id AS sample_idx, 'events' AS modality, event_type AS variable, value, event_id,
+              CASE WHEN event_type = 'error' THEN 'sensor error' END AS error FROM events""",
 )
 def stream_ingest(spark, d):
     """Events delivered twice, a group of users with all their time at a time, in several
-    micro-batches; duplicates vanish and errors become dead letters."""
+    micro-batches: clean rows and dead letters, each once."""
     base = scratch_dir(spark, "ingest")
     raw = B.events(spark, d).select(
         "sample_idx",
@@ -36,7 +36,8 @@ def stream_ingest(spark, d):
     ingest.stream_ingest(
         spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema, files_per_batch=2
     ).awaitTermination()
-    return ingest.read_ingested(spark, f"{base}/out")
+    clean = ingest.read_ingested(spark, f"{base}/out").withColumn("error", F.lit(None).cast("string"))
+    return clean.unionByName(ingest.read_dead_letters(spark, f"{base}/out"))
 
 
 @query(
@@ -48,17 +49,20 @@ def stream_ingest(spark, d):
     B.EVENTS,
 )
 def stream_weekly(spark, d):
-    """The weekly means of the event stream in complete mode; the last table is the result."""
+    """The weekly means of events delivered in two runs of several micro-batches, in no order of time:
+    every week is met again after it was stored, and after it was compacted."""
     base = scratch_dir(spark, "weekly")
-    schema = B.table(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    rows = source.select(
+    rows = B.table(spark, d, "events").select(
         F.col("user_id").alias("sample_idx"), "ts", F.col("event_type").alias("variable"), "value"
     )
-    weeks = weekly.stream_weekly(rows, ["sample_idx", "variable"], "ts", ["value"])
-    weeks.writeStream.outputMode("complete").foreachBatch(
-        lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out")
-    ).option("checkpointLocation", f"{base}/checkpoint").trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    keys, schema = ["sample_idx", "variable"], rows.schema
+    delivery = F.pmod(F.xxhash64("sample_idx", "ts"), F.lit(4))
+    for run in (1, 0):
+        part = rows.withColumn("delivery", delivery).where(F.col("delivery") % 2 == run)
+        part.repartition("delivery").write.partitionBy("delivery").mode("append").parquet(f"{base}/in/run={run}")
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+        stream = source.parquet(f"{base}/in")
+        weekly.merge_weekly(stream, f"{base}/out", f"{base}/checkpoint", keys, "ts", ["value"]).awaitTermination()
+        if run:
+            weekly.compact_weeks(spark, f"{base}/out", keys, ["value"])
+    return weekly.read_weeks(spark, f"{base}/out", keys, ["value"])

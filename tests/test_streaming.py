@@ -125,3 +125,64 @@ def test_late_rows_are_dropped(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     january = [r["v"] for r in got if r["week_end"] == dt.date(2021, 1, 10)]
     assert january == [2.0]
+
+
+def placed(spark, rows):
+    return ingest._placed(spark.createDataFrame(rows, SCHEMA).drop("error"), 99)
+
+
+def test_micro_batch_reads_only_what_it_touches(spark, tmp_path):
+    """The stored scan is filtered by partition, and reads no file of another month."""
+    at = lambda m: dt.datetime(2021, m, 3)
+    rows = [(i, "m", at(m), "v", 1.0, None) for m in range(1, 13) for i in range(40)]
+    ingest.write_micro_batch(spark.createDataFrame(rows, SCHEMA), 0, str(tmp_path))
+    new = placed(spark, [(5, "m", at(4), "v", 2.0, None), (6, "m", at(5), "v", 2.0, None)])
+    near = ingest.stored_near(new, f"{tmp_path}/clean", 99)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("PushedFilters")[0]
+    assert "month" in filters and "bucket" in filters and "batch_id" in filters
+    files = {r["f"] for r in near.selectExpr("input_file_name() as f").distinct().collect()}
+    assert files and all("month=202104" in f or "month=202105" in f for f in files)
+    assert len(files) == 2
+    ingest.write_micro_batch(spark.createDataFrame(rows[:3] + [(99, "m", at(1), "v", 9.0, None)], SCHEMA), 1, str(tmp_path))
+    assert ingest.read_ingested(spark, str(tmp_path)).count() == 12 * 40 + 1
+
+
+def test_store_without_rows_can_be_read(spark, tmp_path):
+    ingest.write_micro_batch(spark.createDataFrame([], SCHEMA), 0, str(tmp_path))
+    assert ingest.read_ingested(spark, str(tmp_path)).columns == ["sample_idx", "modality", "ts", "variable", "value"]
+    assert ingest.read_dead_letters(spark, str(tmp_path)).count() == 0
+
+
+def test_weeks_merge_in_any_order(spark, small_dir, tmp_path):
+    events = B.table(spark, small_dir, "events").withColumnRenamed("value", "v")
+    keys = ["user_id", "event_type"]
+    out = str(tmp_path)
+    parts = [events.where(f"pmod(hash(ts, user_id), 3) = {i}") for i in range(3)]
+    for batch, part in enumerate(parts[:2]):
+        weekly.write_week_parts(part, batch, out, keys, "ts", ["v"])
+    weekly.compact_weeks(spark, out, keys, ["v"])
+    weekly.compact_weeks(spark, out, keys, ["v"])
+    for _ in range(2):  # a repeated micro-batch counts once
+        weekly.write_week_parts(parts[2], 2, out, keys, "ts", ["v"])
+    for agg in ("mean", "max"):
+        rows = lambda df: {(r["user_id"], r["event_type"], r["week_end"]): round(r["v"], 9) for r in df.collect()}
+        expected = rows(temporal.weekly_resample(events, keys, "ts", ["v"], agg))
+        assert rows(weekly.read_weeks(spark, out, keys, ["v"], agg)) == expected
+    weekly.compact_weeks(spark, out, keys, ["v"])
+    assert rows(weekly.read_weeks(spark, out, keys, ["v"], "max")) == expected
+    try:
+        weekly.read_weeks(spark, out, keys, ["v"], "median")
+    except ValueError as error:
+        assert "batch" in str(error)
+    else:
+        raise AssertionError("a median of stored weeks was accepted")
+
+
+def test_stored_weeks_without_values(spark, tmp_path):
+    """A week of missing readings only is a week with a null, as in the batch job."""
+    rows = [(1, dt.datetime(2021, 1, 5), None), (1, dt.datetime(2021, 1, 6), float("nan")), (2, dt.datetime(2021, 1, 5), 3.0)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, v double")
+    weekly.write_week_parts(df, 0, str(tmp_path), ["k"], "ts", ["v"])
+    got = {r["k"]: r["v"] for r in weekly.read_weeks(spark, str(tmp_path), ["k"], ["v"]).collect()}
+    assert got == {1: None, 2: 3.0}
