@@ -147,47 +147,70 @@ def interpolate_nodata(
     ).drop(*[f"_raw_{v}" for v in variables])
 
 
-def _not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline through (x, y) whose third derivative has no jump at the second and the
-    last but one point, evaluated at ``at`` with extrapolation."""
-    n = len(x)
-    h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    system = np.zeros((n, n))
-    inner = np.arange(1, n - 1)
-    system[inner, inner - 1], system[inner, inner + 1] = h[:-1], h[1:]
-    system[inner, inner] = 2 * (h[:-1] + h[1:])
-    system[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    system[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    right = np.zeros(n)
-    right[1:-1] = 6 * np.diff(slope)
-    curve = np.linalg.solve(system, right)
-    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-    left, rest = at - x[i], x[i + 1] - at
-    return (
-        curve[i] * rest**3 / (6 * h[i])
-        + curve[i + 1] * left**3 / (6 * h[i])
-        + (y[i] / h[i] - curve[i] * h[i] / 6) * rest
-        + (y[i + 1] / h[i] - curve[i + 1] * h[i] / 6) * left
-    )
-
+def _bends(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of many splines at once, a row each with its first ``n`` knots.
 
-def _fill_one(at: np.ndarray, y: np.ndarray) -> np.ndarray:
-    known = ~np.isnan(y)
-    n = int(known.sum())
-    if n >= 4:
-        guess = _not_a_knot(at[known], y[known], at)
-    elif n >= 2:
-        x, v = at[known], y[known]
-        i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-        guess = v[i] + (at - x[i]) * (v[i + 1] - v[i]) / (x[i + 1] - x[i])
-    else:
-        guess = np.full(len(at), y[known][0] if n else np.nan)
-    return np.where(known, y, guess)
+    The third derivative has no jump at the second and the last but one knot. With that the first and the
+    last unknown drop out, and a banded elimination runs over the knots, for all rows together.
+    """
+    m, width = x.shape
+    inner = np.arange(width)[None, :]
+    h = np.where(inner[:, :-1] < n[:, None] - 1, np.diff(x), 1.0)
+    slope = np.diff(y) / h
+    first, last, rows = 1, n - 2, np.arange(m)
+    upper, share = np.zeros((m, width)), np.zeros((m, width))
+    for k in range(first, width - 1):
+        before, after = h[:, k - 1], h[:, k]
+        a, b, c = before.copy(), 2 * (before + after), after.copy()
+        if k == first:
+            b += before * (before + after) / after
+            c -= before**2 / after
+            a[:] = 0
+        end = k == last
+        b = np.where(end, b + after * (before + after) / before, b)
+        a = np.where(end, a - after**2 / before, a)
+        pivot = b - a * upper[:, k - 1]
+        upper[:, k] = np.where(end, 0.0, c / pivot)
+        share[:, k] = (6 * (slope[:, k] - slope[:, k - 1]) - a * share[:, k - 1]) / pivot
+    bend = np.zeros((m, width))
+    for k in range(width - 2, 0, -1):
+        bend[:, k] = np.where(k <= last, share[:, k] - upper[:, k] * bend[:, k + 1] * (k < last), 0.0)
+    outer = lambda one, two, near, far: ((near + far) * bend[rows, one] - near * bend[rows, two]) / far
+    bend[:, 0] = outer(np.ones(m, int), np.full(m, 2), h[:, 0], h[:, 1])
+    bend[rows, n - 1] = outer(n - 2, n - 3, h[rows, n - 2], h[rows, n - 3])
+    return bend
 
 
 def _cubic_fill(positions: pd.Series, values: pd.Series) -> pd.Series:
-    rows = zip(positions, values)
-    return pd.Series([_fill_one(np.asarray(p, float), np.asarray(v, float)) for p, v in rows])
+    """Every series of a batch filled at once; series are rows, padded to the longest."""
+    lengths = np.array([len(p) for p in positions], dtype=int)
+    width = max(int(lengths.max(initial=0)), 4)
+    at, y = np.full((len(lengths), width), np.inf), np.full((len(lengths), width), np.nan)
+    place = np.arange(width)[None, :] < lengths[:, None]
+    if place.any():
+        at[place] = np.concatenate([np.asarray(p, float) for p in positions])
+        y[place] = np.concatenate([np.asarray(v, float) for v in values])
+    known = ~np.isnan(y)
+    n = known.sum(axis=1)
+    # knots to the left of each row, in their order; behind them one after the other
+    order = np.argsort(~known, axis=1, kind="stable")
+    behind = np.arange(width)[None, :] >= n[:, None]
+    knots = np.where(behind, 0.0, np.take_along_axis(at, order, axis=1))
+    knots = np.where(behind, knots.max(axis=1, initial=0)[:, None] + 1 + np.arange(width), knots)
+    heights = np.where(behind, 0.0, np.take_along_axis(y, order, axis=1))
+    i = np.clip((known.cumsum(axis=1)) - 1, 0, np.maximum(n - 2, 0)[:, None])
+    take = lambda table, k: np.take_along_axis(table, k, axis=1)
+    x0, x1, y0, y1 = take(knots, i), take(knots, i + 1), take(heights, i), take(heights, i + 1)
+    guess = np.where((n >= 2)[:, None], y0 + (at - x0) * (y1 - y0) / (x1 - x0), take(heights, np.zeros_like(i)))
+    curved = n >= 4
+    if curved.any():
+        bend = np.zeros_like(heights)
+        bend[curved] = _bends(knots[curved], heights[curved], n[curved])
+        h, left, rest, c0, c1 = x1 - x0, at - x0, x1 - at, take(bend, i), take(bend, i + 1)
+        curve = (c0 * rest**3 + c1 * left**3) / (6 * h) + (y0 / h - c0 * h / 6) * rest + (y1 / h - c1 * h / 6) * left
+        guess = np.where(curved[:, None], curve, guess)
+    guess = np.where(known, y, np.where((n > 0)[:, None], guess, np.nan))
+    return pd.Series([row[:k] for row, k in zip(guess, lengths)])
 
 
 def interpolate_cubic(

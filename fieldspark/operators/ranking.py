@@ -177,6 +177,19 @@ def bounded_lists(
     return packed.select(*keys, checked.alias(name))
 
 
+def split_long(
+    df: DataFrame, keys: Sequence[str], max_rows: int, error: str = "error"
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of groups with at most ``max_rows`` rows, (keys, error) of the others).
+
+    For operators that refuse longer groups: one over-long group becomes a failure, and the rest goes
+    on. Sizes come from a count that combines before its exchange, and no group is ever put together.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    reason = F.concat(F.col("_n").cast("string"), F.lit(f" rows, at most {max_rows} fit"))
+    return join_groups(df, sizes.drop("_n"), keys, "left_anti"), sizes.select(*keys, reason.alias(error))
+
+
 def position_in_group(
     df: DataFrame, keys: Sequence[str], position: str, span: int = 65_536, heavy_rows: int | None = HEAVY_ROWS
 ) -> DataFrame:

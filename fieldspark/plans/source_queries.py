@@ -6,6 +6,7 @@ import warnings
 
 from pyspark.sql import functions as F
 
+from ..operators import ranking
 from ..session import scratch_dir
 from ..sources import dataset, embeddings, extract, failures, features, observations, stats_json
 from . import bindings as B
@@ -212,17 +213,21 @@ def results(spark, d):
 @query(
     "s10_split_failures",
     "point:i kind:s reason:s",
-    """SELECT point, CASE WHEN bool_or(ok) THEN 'partial' ELSE 'full' END AS kind,
-              CASE WHEN bool_or(ok) THEN 'Partial failure: ' ELSE 'All modalities failed: ' END ||
+    """SELECT per.point, CASE WHEN max(n) > 16 THEN 'save' WHEN bool_or(ok) THEN 'partial' ELSE 'full' END AS kind,
+              CASE WHEN max(n) > 16 THEN 'Record not stored: ' || max(n) || ' rows, at most 16 fit'
+              ELSE CASE WHEN bool_or(ok) THEN 'Some modalities missing: ' ELSE 'No modality delivered: ' END ||
               string_agg(modality || ': ' || error, '; ' ORDER BY modality || ': ' || error)
-                FILTER (WHERE NOT ok) AS reason
-       FROM per GROUP BY 1 HAVING count(*) FILTER (WHERE NOT ok) > 0""",
+                FILTER (WHERE NOT ok) END AS reason
+       FROM per JOIN (SELECT point, count(*) AS n FROM res GROUP BY 1) s ON per.point = s.point
+       GROUP BY 1 HAVING max(n) > 16 OR count(*) FILTER (WHERE NOT ok) > 0""",
     _RESULTS,
 )
 def split_failures(spark, d):
-    """Dead letters written per kind and read back."""
+    """Dead letters written per kind and read back; a record holds 16 rows, longer ones cannot be stored."""
     path = scratch_dir(spark, "failures")
-    split = failures.split_failures(results(spark, d), "point", "modality", "error")
+    rows = results(spark, d)
+    saves = ranking.split_long(rows, ["point"], 16)[1]
+    split = failures.split_failures(rows, "point", "modality", "error", saves)
     failures.write_failures(split, path)
     return spark.read.schema("point bigint, reason string, kind string").json(path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, interpolate, temporal, tokens
+from ..operators import filters, interpolate, ranking, temporal, tokens
 from . import bindings as B
 from .registry import query
 
@@ -173,10 +173,78 @@ def interpolate_nodata(spark, d):
     )
 
 
-@query("w07_interpolate_cubic", "sample_idx:i pos:i valid:b price:f")
+# The banded elimination of a spline, one knot after the other: down, then up again.
+_SPLINE = """
+knot AS (
+  SELECT sample_idx, pos::DOUBLE AS x, price AS y, row_number() OVER s - 1 AS k,
+         count(*) OVER (PARTITION BY sample_idx) AS n
+  FROM clean WHERE price IS NOT NULL WINDOW s AS (PARTITION BY sample_idx ORDER BY pos)
+),
+step AS (
+  SELECT *, lead(x) OVER s - x AS h, x - lag(x) OVER s AS g, lead(x) OVER s AS x1, lead(y) OVER s AS y1,
+         (lead(y) OVER s - y) / (lead(x) OVER s - x) - (y - lag(y) OVER s) / (x - lag(x) OVER s) AS turn
+  FROM knot WINDOW s AS (PARTITION BY sample_idx ORDER BY k)
+),
+band AS (
+  SELECT sample_idx, k, n, g, h, 6 * turn AS r,
+         CASE WHEN k = 1 THEN 0 ELSE g END - CASE WHEN k = n - 2 THEN h * h / g ELSE 0 END AS a,
+         2 * (g + h) + CASE WHEN k = 1 THEN g * (g + h) / h ELSE 0 END
+                     + CASE WHEN k = n - 2 THEN h * (g + h) / g ELSE 0 END AS b,
+         CASE WHEN k = n - 2 THEN 0 ELSE h - CASE WHEN k = 1 THEN g * g / h ELSE 0 END END AS c
+  FROM step WHERE n >= 4 AND k BETWEEN 1 AND n - 2
+),
+down AS (
+  SELECT sample_idx, k, n, c / b AS u, r / b AS s FROM band WHERE k = 1
+  UNION ALL
+  SELECT t.sample_idx, t.k, t.n, t.c / (t.b - t.a * d.u), (t.r - t.a * d.s) / (t.b - t.a * d.u)
+  FROM down d JOIN band t ON t.sample_idx = d.sample_idx AND t.k = d.k + 1
+),
+up AS (
+  SELECT sample_idx, k, s AS bend FROM down WHERE k = n - 2
+  UNION ALL
+  SELECT d.sample_idx, d.k, d.s - d.u * p.bend
+  FROM up p JOIN down d ON d.sample_idx = p.sample_idx AND d.k = p.k - 1
+),
+bends AS (
+  SELECT sample_idx, k, bend FROM up
+  UNION ALL
+  SELECT t.sample_idx, 0, ((g + h) * p.bend - g * q.bend) / h
+  FROM band t JOIN up p ON p.sample_idx = t.sample_idx AND p.k = 1
+  JOIN up q ON q.sample_idx = t.sample_idx AND q.k = 2 WHERE t.k = 1
+  UNION ALL
+  SELECT t.sample_idx, n - 1, ((g + h) * p.bend - h * q.bend) / g
+  FROM band t JOIN up p ON p.sample_idx = t.sample_idx AND p.k = n - 2
+  JOIN up q ON q.sample_idx = t.sample_idx AND q.k = n - 3 WHERE t.k = n - 2
+),
+placed AS (
+  SELECT c.*, least(greatest(count(price) OVER s - 1, 0), greatest(count(price) OVER w - 2, 0)) AS k
+  FROM clean c WINDOW s AS (PARTITION BY sample_idx ORDER BY pos), w AS (PARTITION BY sample_idx)
+),
+curved AS (
+  SELECT p.sample_idx, p.pos, p.valid,
+         CASE WHEN p.price IS NOT NULL THEN p.price
+              WHEN t.n = 1 THEN t.y
+              WHEN t.n < 4 THEN t.y + (p.pos - t.x) * (t.y1 - t.y) / t.h
+              ELSE (a.bend * (t.x1 - p.pos) ** 3 + b.bend * (p.pos - t.x) ** 3) / (6 * t.h)
+                   + (t.y / t.h - a.bend * t.h / 6) * (t.x1 - p.pos)
+                   + (t.y1 / t.h - b.bend * t.h / 6) * (p.pos - t.x) END AS price
+  FROM placed p LEFT JOIN step t ON t.sample_idx = p.sample_idx AND t.k = p.k
+  LEFT JOIN bends a ON a.sample_idx = p.sample_idx AND a.k = p.k
+  LEFT JOIN bends b ON b.sample_idx = p.sample_idx AND b.k = p.k + 1
+),"""
+
+
+@query(
+    "w07_interpolate_cubic",
+    "sample_idx:i pos:i valid:b log_price:f",
+    "SELECT sample_idx, pos, valid, sign(price) * ln(1 + abs(price)) AS log_price FROM curved",
+    "RECURSIVE " + (B.CLEAN_SPARSE + _SPLINE).strip(),
+)
 def interpolate_cubic(spark, d):
-    """Spline fill of sparse series; a banded solve per series has no SQL form."""
-    return interpolate.interpolate_cubic(B.clean_sparse(spark, d), KEY, "pos", ["price"])
+    """Spline fill of sparse series. Extrapolated values span many magnitudes, so their logarithms, with the
+    sign, are compared: to six digits, as far as two ways of elimination can agree."""
+    filled = interpolate.interpolate_cubic(B.clean_sparse(spark, d), KEY, "pos", ["price"])
+    return filled.withColumn("log_price", F.signum("price") * F.log1p(F.abs("price")))
 
 
 @query(
@@ -261,18 +329,22 @@ def trim_valid(spark, d):
 
 @query(
     "p08_pack_unpack",
-    "sample_idx:i pos:i timestamp:s valid:b price:f",
+    "sample_idx:i pos:i timestamp:s valid:b price:f error:s",
     """SELECT s.sample_idx, s.pos, coalesce(strftime(o.ts, '%Y-%m-%d'), 'NA') AS timestamp,
-              o.ts IS NOT NULL AS valid, o.price
-       FROM (SELECT DISTINCT sample_idx, unnest(range(64)) AS pos FROM ser) s
+              o.ts IS NOT NULL AS valid, o.price, NULL AS error
+       FROM (SELECT sample_idx, unnest(range(16)) AS pos FROM ser GROUP BY 1 HAVING count(*) <= 16) s
        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY sample_idx ORDER BY ts, o_orderkey) - 1
-                         AS pos FROM ser) o ON s.sample_idx = o.sample_idx AND s.pos = o.pos""",
+                         AS pos FROM ser) o ON s.sample_idx = o.sample_idx AND s.pos = o.pos
+       UNION ALL
+       SELECT sample_idx, NULL, NULL, NULL, NULL, count(*) || ' rows, at most 16 fit'
+       FROM ser GROUP BY 1 HAVING count(*) > 16""",
     B.SPARSE,
 )
 def pack_unpack(spark, d):
-    """Series packed to arrays of 64 steps and listed again, padding included."""
-    packed = filters.pack(B.sparse(spark, d), KEY, "ts", ["o_orderkey"], ["price"], 64)
-    return filters.unpack(packed, KEY, ["price"])
+    """Series packed to arrays of 16 steps and listed again, padding included; longer ones as failures."""
+    fits, failed = ranking.split_long(B.sparse(spark, d), KEY, 16)
+    packed = filters.pack(fits, KEY, "ts", ["o_orderkey"], ["price"], 16)
+    return filters.unpack(packed, KEY, ["price"]).unionByName(failed, allowMissingColumns=True)
 
 
 @query(

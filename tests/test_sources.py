@@ -165,10 +165,18 @@ def test_failures(spark):
     )
     got = {r["p"]: (r["kind"], r["reason"]) for r in failures.split_failures(df, "p", "m", "e").collect()}
     assert got == {
-        1: ("partial", "Partial failure: b: e1"),
-        2: ("full", "All modalities failed: a: x; b: y"),
+        1: ("partial", "Some modalities missing: b: e1"),
+        2: ("full", "No modality delivered: a: x; b: y"),
     }
     assert tuple(failures.failure_summary(df, "p", "m", "e").first()) == (3, 1, 1)
+    saves = spark.createDataFrame([(1, "too long"), (1, "disk"), (3, None)], "p int, e string")
+    got = {r["p"]: (r["kind"], r["reason"]) for r in failures.split_failures(df, "p", "m", "e", saves).collect()}
+    assert got == {
+        1: ("save", "Record not stored: disk"),
+        2: ("full", "No modality delivered: a: x; b: y"),
+        3: ("save", "Record not stored: unknown"),
+    }
+    assert tuple(failures.failure_summary(df, "p", "m", "e", saves).first()) == (3, 3, 0)
 
 
 def test_stats_json(spark, tmp_path):
