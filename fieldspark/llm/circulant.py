@@ -4,10 +4,11 @@ A first permutation scatters the shingles over a ring of 2^32 places; the second
 more step for every coordinate, gives all coordinates: the smallest place that the set takes under it.
 Two sets agree in a coordinate with the probability of their Jaccard similarity.
 
-Documents of equal sets are one class. Classes that share a band are candidates. Each is compared first with
-the best of its buckets' hubs (one set per bucket, picked by hash, so that many buckets pick the same), and then
-only sets of one bucket that are still in different components, so that a group of copies is never
-expanded into its pairs. Every link is confirmed on the full sets of whole texts.
+Documents of equal sets are one class. Classes that share a band are candidates. In a few rounds each is compared
+with the best of its buckets' hubs (one set per bucket, picked by another hash each round, so that many buckets
+pick the same), and then only sets of one bucket that are still in different components, so that a group of
+copies is never expanded into its pairs. Before a pair is made, parities of the sets bound their difference
+exactly and bits of the signatures estimate it. Every link is confirmed on the full sets of whole texts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .ngram_join import BROADCAST_IDS, PARITY, parity_sketch
 from .shingles import mix, set_key, shingle_sets
 from .storage import stored
 
@@ -30,8 +32,11 @@ TURN = 0x9E3779B1
 # One bit of each of the first coordinates, in 64-bit words: two sets agree in (1 + similarity) / 2 of them.
 SKETCH_WORDS = 4
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+SKETCHES = [*SKETCH, *PARITY]
 # Standard deviations below the expected agreement at the threshold that a pair may fall: 1 in 10^9 falls deeper.
 DEVIATIONS = 6
+# Rounds in which sets are compared with hubs.
+HUB_ROUNDS = 3
 # Shingles whose coordinates are made at a time, and members of a bucket that a part of it holds.
 AT_A_TIME = 1 << 17
 BUCKET_PART = 1000
@@ -97,8 +102,13 @@ def least_agreement(percent: int) -> int:
 
 
 def _may_link(percent: int) -> Column:
+    """True for every pair that links, but for the share of DEVIATIONS: close sizes, parities that differ in no more
+    places than linked sets can, and enough bits that agree."""
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return close & (_agreement("a", "b") >= least_agreement(percent))
+    odd = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in PARITY)
+    # the symmetric difference is at most (100 - percent) per cent of the union
+    few = F.expr(f"({odd}) * {100 + percent} <= {100 - percent} * (n_a + n_b)")
+    return close & few & (_agreement("a", "b") >= least_agreement(percent))
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
@@ -117,19 +127,20 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                 if named and len(sets[i]) and key not in seen:
                     seen.add(key)
                     new.append(i)
-            tokens, sketch = [None] * len(sets), np.zeros((len(sets), SKETCH_WORDS), dtype=np.int64)
+            tokens, sketch = [None] * len(sets), np.zeros((len(sets), len(SKETCHES)), dtype=np.int64)
             if new:
                 signature = signatures([sets[i] for i in new])
                 for i, row in zip(new, band_tokens(signature)):
                     tokens[i] = row
-                sketch[new] = sketches(signature)
+                sketch[new, :SKETCH_WORDS] = sketches(signature)
+                sketch[new, SKETCH_WORDS:] = [parity_sketch(sets[i]) for i in new]
             out = {"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "key": keys}
             out |= {"n": [len(s) for s in sets], "tokens": tokens}
-            yield pd.DataFrame(out | {s: sketch[:, i] for i, s in enumerate(SKETCH)})
+            yield pd.DataFrame(out | {s: sketch[:, i] for i, s in enumerate(SKETCHES)})
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    names = "".join(f", {s} bigint" for s in SKETCH)
+    names = "".join(f", {s} bigint" for s in SKETCHES)
     return rows.mapInPandas(run, f"doc_id bigint, hash bigint, key bigint, n int, tokens array<bigint>{names}")
 
 
@@ -141,12 +152,16 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
         )
         pairs = pairs.join(named, side)
     pairs = stored(pairs, "candidates")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     wanted = pairs.select(F.col("doc_a").alias("doc_id"), F.col("hash_a").alias("hash")).union(
         pairs.select("doc_b", "hash_b")
     )
+    wanted = stored(wanted.distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
     texts = texts.withColumn("hash", F.xxhash64("text"))
-    texts = texts.join(wanted.distinct(), ["doc_id", "hash"], "left_semi")
+    texts = texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "hash"], "left_semi")
     one = texts.groupBy("doc_id", "hash").count().where("count > 1")
     if not one.isEmpty():
         # else every copy of a row would meet every copy of the other
@@ -172,6 +187,15 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     return stored(joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a bigint, b bigint"), "links")
 
 
+def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components ``found`` so far, which stand for their links, joined by new links."""
+    if found is not None:
+        if links.isEmpty():
+            return found
+        links = links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return stored(connected_components(links), "components")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``.
 
@@ -187,22 +211,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = named.groupBy("key").agg(F.min(F.struct("doc_id", "hash")).alias("row"), F.max("n").alias("n"))
     classes = stored(classes.select("key", "n", "row.doc_id", "row.hash"), "classes")
     signed = stored(
-        described.where("tokens is not null").dropDuplicates(["key"]).select("key", "n", "tokens", *SKETCH), "signatures"
+        described.where("tokens is not null").dropDuplicates(["key"]).select("key", "n", "tokens", *SKETCHES), "signatures"
     )
     postings = signed.select("key", F.explode("tokens").alias("token"))
-    buckets = postings.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64("key").alias("hash"), "key")).alias("hub"), F.count("*").alias("members")
-    )
-    buckets = buckets.where("members > 1").select("token", F.col("hub.key").alias("hub"), "members")
+    picked = lambda t: F.min(F.struct(F.xxhash64("key", F.lit(t)).alias("hash"), "key")).alias(f"hub{t}")
+    buckets = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    # most buckets have one member: only the others are looked at again
     met = stored(postings.join(buckets, "token"), "buckets")
-
-    sketch = signed.select("key", "n", *SKETCH)
-    for_side = lambda side: sketch.toDF(side, *[f"{c}_{side}" for c in ("n", *SKETCH)])
-    stars = met.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = stars.join(for_side("a"), "a").join(for_side("b"), "b").where(_may_link(percent))
-    best = stars.groupBy("a").agg(F.max(F.struct(_agreement("a", "b").alias("bits"), "b")).alias("hub"))
-    links = _confirmed(best.select("a", F.col("hub.b").alias("b")), classes, docs, width, percent)
-    found = stored(connected_components(links), "components")
+    hubs = met.groupBy("token").agg(*[picked(t) for t in range(HUB_ROUNDS)])
+    hubs = hubs.select("token", *[F.col(f"hub{t}.key").alias(f"hub{t}") for t in range(HUB_ROUNDS)])
+    stars = met.join(hubs, "token").select("key", F.posexplode(F.array(*[f"hub{t}" for t in range(HUB_ROUNDS)])).alias("turn", "hub"))
+    stars = stars.where("key <> hub").distinct()
+    sketch = signed.select("key", "n", *SKETCHES)
+    for_side = lambda side: sketch.toDF(side, *[f"{c}_{side}" for c in ("n", *SKETCHES)])
+    stars = stars.toDF("a", "turn", "b").join(for_side("a"), "a").join(for_side("b"), "b").where(_may_link(percent))
+    stars = stored(stars.select("a", "b", "turn", _agreement("a", "b").alias("bits")), "stars")
+    found = None
+    for turn in range(HUB_ROUNDS):
+        open_stars = stars.where(F.col("turn") == turn)
+        if found is not None:
+            for side in "ab":
+                own = found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+                open_stars = open_stars.join(own, side, "left")
+            open_stars = open_stars.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        best = open_stars.groupBy("a").agg(F.max(F.struct("bits", "b")).alias("hub"))
+        links = _confirmed(best.select("a", F.col("hub.b").alias("b")), classes, docs, width, percent)
+        found = _merged(found, links)
 
     # what is still open: members of one bucket in different components
     label = found.select(F.col("node").alias("key"), "component")
@@ -211,16 +245,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = placed.join(mixed.where("low <> high").select("token"), "token").join(sketch, "key")
     placed = stored(placed.withColumn("parts", F.ceil(F.col("members") / BUCKET_PART).cast("int")), "open")
-    names = ["key", "n", "component", *SKETCH]
+    names = ["key", "n", "component", *SKETCHES]
     one = placed.select("token", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_a") for c in names])
     two = placed.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in names])
     rest = one.join(two, ["token", "part"]).where(F.col("component_a") < F.col("component_b")).where(_may_link(percent))
     rest = rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
     more = _confirmed(rest, classes, docs, width, percent)
-    if not more.isEmpty():
-        # the components so far stand for their links
-        so_far = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = stored(connected_components(so_far.union(more)), "components")
+    found = _merged(found, more)
 
     label = found.select(F.col("node").alias("key"), "component")
     whole = classes.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
