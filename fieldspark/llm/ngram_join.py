@@ -16,15 +16,19 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .phrases import FILTER_BITS, frequent_filter
 from .shingles import mix, ranked_shingle_sets, set_key, shingle_sets
 from .storage import stored
 
 # Slots of the tables that say which shingles and words are frequent: as many bytes whatever the input.
 SLOT_BITS = 22
+# Slots whose levels one task puts together.
+LEVEL_BLOCK = 1 << 15
 # Bits of a set's parity sketch, in 64-bit words. Sets of a symmetric difference d differ in at most d bits.
 PARITY_WORDS = 16
 PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
@@ -38,6 +42,8 @@ POSTING_COST = 4.0
 FRAME_ROWS = 100_000
 # A set's lists just before a list that go with it there, to tell whether two sets have met before.
 EARLIER = 16
+# Members of an open list that a part of it holds.
+LIST_PART = 1000
 # Ids up to this many are broadcast (8 bytes each) to pick texts; beyond, a shuffle join does it.
 BROADCAST_IDS = 1_000_000
 
@@ -135,30 +141,38 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _frequency_levels(described: DataFrame, kind: int) -> np.ndarray:
+def _frequency_levels(described: DataFrame, kind: int) -> bytes:
     """One byte per slot: the logarithm of how often it was counted, 0 for the rare.
 
-    At most one row per slot reaches the driver. The levels only choose the order of shingles; any
-    order gives the same links.
+    Tasks put the bytes of a block of slots together, so the driver handles a few byte strings of a fixed
+    total. The levels only choose the order of shingles; any order gives the same links.
     """
-    rows = (
-        described.where(F.col("kind") == kind)
-        .groupBy(F.col("doc_id").alias("slot"))
-        .agg((4 * F.log2(F.sum("key").cast("double"))).cast("int").alias("level"))
-        .toPandas()
-    )
-    levels = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
-    levels[rows["slot"].to_numpy(dtype=np.int64)] = rows["level"].to_numpy(dtype=np.uint8)
-    return levels
+    counts = described.where(F.col("kind") == kind).groupBy(F.col("doc_id").alias("slot"))
+    levels = counts.agg((4 * F.log2(F.sum("key").cast("double"))).cast("int").alias("level"))
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        slots = rows["slot"].to_numpy(dtype=np.int64)
+        held = np.zeros(LEVEL_BLOCK, dtype=np.uint8)
+        held[slots % LEVEL_BLOCK] = rows["level"].to_numpy(dtype=np.uint8)
+        return pd.DataFrame({"at": [slots[0] // LEVEL_BLOCK], "levels": [held.tobytes()]})
+
+    blocks = levels.groupBy(F.floor(F.col("slot") / LEVEL_BLOCK)).applyInPandas(block, "at bigint, levels binary")
+    whole = bytearray(1 << SLOT_BITS)
+    for row in blocks.collect():
+        whole[row["at"] * LEVEL_BLOCK : (row["at"] + 1) * LEVEL_BLOCK] = row["levels"]
+    return bytes(whole)
 
 
-def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tuple) -> DataFrame:
+def _lists(
+    docs: DataFrame, width: int, percent: int, boundary: int, shared: Broadcast, repeated: Broadcast | None = None
+) -> DataFrame:
     """(token, key, n, pair, pos): a set under its prefix shingles (pair 0) with their places in its
-    order, or under its subsets (pair > 0)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    order, or under its subsets (pair > 0). ``shared`` has the levels of shingles and of words; with
+    ``repeated``, lists whose slot tells that they have one member are left out."""
 
     def run(batches):
-        levels, word_levels = shared.value
+        bits = np.frombuffer(repeated.value, dtype=np.uint8) if repeated else None
+        levels, word_levels = [np.frombuffer(part, dtype=np.uint8) for part in shared.value]
         seen = set()
         rarity = lambda words: word_levels[_slots(words)]
         for batch in batches:
@@ -188,17 +202,21 @@ def _lists(docs: DataFrame, width: int, percent: int, boundary: int, levels: tup
                     keys.append(key), sizes.append(n), pairs.append(0)
                     held += len(first)
                 if held > FRAME_ROWS:
-                    yield frame(tokens, keys, sizes, pairs)
+                    yield frame(bits, tokens, keys, sizes, pairs)
                     tokens, keys, sizes, pairs, held = [], [], [], [], 0
             if keys:
-                yield frame(tokens, keys, sizes, pairs)
+                yield frame(bits, tokens, keys, sizes, pairs)
 
-    def frame(tokens, keys, sizes, pairs):
+    def frame(bits, tokens, keys, sizes, pairs):
         rows = [len(part) for part in tokens]
         named = {"key": np.array(keys, np.int64), "n": sizes, "pair": pairs}
         out = {name: np.repeat(values, rows) for name, values in named.items()}
-        token = np.concatenate(tokens).view(np.int64)
-        return pd.DataFrame({"token": token, **out, "pos": np.concatenate([np.arange(k) for k in rows])})
+        token = np.concatenate(tokens)
+        out = pd.DataFrame({"token": token.view(np.int64), **out, "pos": np.concatenate([np.arange(k) for k in rows])})
+        if bits is None:
+            return out
+        slots = (token >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return out[(bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1]
 
     return docs.select(F.col("text").cast("string")).mapInPandas(
         run, "token bigint, key bigint, n int, pair int, pos int"
@@ -277,21 +295,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     boundary = choose_boundary(histogram, percent)
     named = docs.where(F.col("doc_id").isNotNull())
     levels = (_frequency_levels(described, 1), _frequency_levels(described, 2))
-    lists = _lists(named, width, percent, boundary, levels)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    # Most lists have one member. They are found by counting tokens alone, and a filter of a fixed size keeps
+    # them from travelling as postings; a full filter would only let more of them pass.
+    tokens = _lists(named, width, percent, boundary, shared).groupBy(F.col("token").alias("id")).count()
+    repeated_lists = docs.sparkSession.sparkContext.broadcast(frequent_filter(tokens, 2))
+    lists = stored(_lists(named, width, percent, boundary, shared, repeated_lists), "postings")
+    shared.destroy()
+    repeated_lists.destroy()
 
     # Every member of a list against one set of it: the smallest is enough for subsets. For prefixes it
     # is the one of least hash, as a set of usual size links with more of its near copies than the
-    # smallest does, and many lists agree on it.
-    by_size = Window.partitionBy("token", "pair").orderBy("n", "key")
-    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hub = F.min(F.struct(F.xxhash64("key").alias("hash"), "key", "n")).over(whole)
-    met = (
-        lists.withColumn("first", F.first(F.struct("key", "n")).over(by_size))
-        .withColumn("last_key", F.last("key").over(whole))
-        .withColumn("hub", hub)
-        .where("first.key <> last_key")
+    # smallest does, and many lists agree on it. Both are aggregates, combined before they travel, and
+    # the lists that meet them again are a join, which is split where a list is long.
+    member = F.struct("n", "key")
+    ends = lists.groupBy("token", "pair").agg(
+        F.min(member).alias("first"),
+        F.max(member).alias("last"),
+        F.min(F.struct(F.xxhash64("key").alias("hash"), "key", "n")).alias("hub"),
+        F.count("*").alias("members"),
     )
-    met = stored(met.select("token", "pair", "key", "n", "pos", "first", "hub"), "lists")
+    met = lists.join(ends.where("first.key <> last.key").drop("last"), ["token", "pair"])
+    met = stored(met.select("token", "pair", "key", "n", "pos", "first", "hub", "members"), "lists")
     light = met.where("pair > 0 and first.n = pair and key <> first.key").select(
         F.col("key").alias("a"), F.col("first.key").alias("b")
     )
@@ -311,7 +336,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     found = stored(connected_components(links), "components")
 
     # What the stars left open: members of one list that are still in different components.
-    posted = met.where("pair = 0").select("token", "key", "n", "pos").distinct()
+    posted = met.where("pair = 0").select("token", "key", "n", "pos", "members").distinct()
     label = found.select(F.col("node").alias("key"), "component")
     posted = posted.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = posted.groupBy("token").agg(
@@ -320,12 +345,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     posted = posted.join(mixed.where("low <> high").select("token"), "token")
     before = Window.partitionBy("key").orderBy("pos").rowsBetween(-EARLIER, -1)
     posted = posted.withColumn("earlier", F.collect_list("token").over(before))
-    open_lists = stored(posted.join(sketch.drop("n"), "key"), "open")
+    parts = F.ceil(F.col("members") / LIST_PART).cast("int")
+    open_lists = stored(posted.join(sketch.drop("n"), "key").withColumn("parts", parts), "open")
     names = ["key", "n", "pos", "component", "earlier", *PARITY]
-    one = open_lists.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
-    two = open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    one = open_lists.select("token", part.alias("part"), *[F.col(c).alias(f"{c}_a") for c in names])
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    two = open_lists.select("token", each.alias("part"), *[F.col(c).alias(f"{c}_b") for c in names])
     rest = (
-        one.join(two, "token")
+        one.join(two, ["token", "part"])
         .where("component_a <> component_b")
         .where(f"(n_a < n_b or (n_a = n_b and key_a < key_b)) and n_b * {percent} <= n_a * 100")
         # before the first shingle that linked sets share, each holds only shingles it does not share
@@ -358,9 +386,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: of the smallest doc_id, the text of smallest hash.
 
     Groups are made of texts, so a repeated row is a copy, and a doc_id with several texts is in
-    several groups. Rows without doc_id are in the groups of their texts too; as a group cannot be
-    named by one of them, it keeps one of these as well. Texts without words are in no group: their
-    rows stay.
+    several groups. Rows without doc_id are in the groups of their texts too and come last there: one
+    stays only where no row of the group has an id. Texts without words are in no group: their rows stay.
     """
     text, names = F.col("text").cast("string"), docs.columns
     others = F.to_json(F.struct(*[F.col(c) for c in names if c != "text"]))
@@ -371,8 +398,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     found = jaccard_components(texts, width, percent).select("doc_id", "component_id").distinct()
     rows = marked.where(worded).select("_text", "_row", "doc_id").distinct()
     rows = rows.join(found.withColumnRenamed("doc_id", "_found"), F.col("_text") == F.col("_found"))
-    best = rows.groupBy("component_id", F.col("doc_id").isNull()).agg(
-        F.min(F.struct("doc_id", "_text", "_row")).alias("best")
+    best = rows.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")).alias("best")
     )
     best = best.select(F.col("best._text").alias("_text"), F.col("best._row").alias("_row"))
     kept = marked.where(worded).join(best, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"])

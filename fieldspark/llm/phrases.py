@@ -115,7 +115,7 @@ def _vocabulary(docs: DataFrame, seed: int) -> DataFrame:
     return rows.groupBy("id", "lang", "word").agg(F.sum("count").alias("count"))
 
 
-def _frequent_filter(vocabulary: DataFrame, least: int) -> bytes:
+def frequent_filter(vocabulary: DataFrame, least: int) -> bytes:
     """One bit per slot of ids: whether a word that counts at least ``least`` falls on it. A fixed size."""
     # Spark's bitmaps count from 1, in buckets from 1 up
     slot = F.shiftrightunsigned("id", 64 - FILTER_BITS) + 1
@@ -286,7 +286,7 @@ def collocations(docs: DataFrame, lang: Column, least: int = 10, inside: int = 5
             break
     else:
         raise ValueError(f"two words share an id under each of {SEEDS} seeds")
-    graph = stored(_graph(_edges(table, _frequent_filter(vocabulary, least), seed), least), "graph")
+    graph = stored(_graph(_edges(table, frequent_filter(vocabulary, least), seed), least), "graph")
     paths = compact_paths(graph)
     nodes = graph.where("kind = 2").select("w1", "w2", "weight")
     words = graph.where("kind = 1").select("w1", "weight")

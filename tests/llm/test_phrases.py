@@ -95,7 +95,7 @@ def graph_of(spark, docs, least):
     df = spark.createDataFrame(docs, "text string, lang string")
     vocabulary = phrases._vocabulary(df, 0)
     names = {r["id"]: r["word"] for r in vocabulary.collect()}
-    edges = phrases._edges(df, phrases._frequent_filter(vocabulary, least), 0)
+    edges = phrases._edges(df, phrases.frequent_filter(vocabulary, least), 0)
     return phrases._graph(edges, least), names
 
 
