@@ -104,7 +104,8 @@ def _aligned(codes: DataFrame) -> DataFrame:
             )
 
     parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = codes.distinct().repartition(parts, "codes")
+    # by a hash of its own: dealt by the codes themselves, few bytes would become one task again
+    spread = codes.distinct().repartition(parts, F.xxhash64("codes"))
     return spread.mapInPandas(run, "codes string, cost bigint, audit string, edits array<string>")
 
 
