@@ -74,6 +74,19 @@ def test_chat_merges_adjacent_turns(spark):
     assert [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss"]] == ["c"]
 
 
+def test_chat_merges_across_chunks(spark):
+    """Runs of one role that end before, at and behind the chunks in which turns are merged."""
+    n = 3 * chat.CHUNK + 5
+    runs = {1: 1, 2: chat.CHUNK - 1, 3: chat.CHUNK, 4: chat.CHUNK + 1, 5: n}
+    rows = [(c, t, ["user", "assistant"][t // run % 2], TRICKY[t % 9]) for c, run in runs.items() for t in range(n)]
+    formatted = chat.format_conversations(chat_rows(spark, rows))
+    check_chat(chat.digest(formatted).collect(), rows)
+    for r in formatted.collect():
+        assert r["formatted"].count(chat.START) == -(-n // runs[r["conv_id"]])
+        ends = [s["start"] + s["length"] for s in r["loss"]]
+        assert all(r["formatted"][e:].startswith((chat.SEPARATOR, chat.END)) for e in ends)
+
+
 # packing
 
 
