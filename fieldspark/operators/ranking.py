@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # A group above this size is ranked in pieces.
 HEAVY_ROWS = 1_000_000
+# Up to this many rows per group, Spark's group limit keeps the first rows before the exchange.
+GROUP_LIMIT = 16_384
 
 
 def small_table(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -152,6 +154,31 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n)
 
 
+def first_by_digest(
+    df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[str], n: int, digits: int = 3
+) -> DataFrame:
+    """`first_rows` in digest order for any ``n``, however many rows a group has.
+
+    Counts per digest prefix, combined before their exchange, tell in which prefix a group's row
+    ``n`` lies. Rows of earlier prefixes are taken where they are; only that one prefix is ranked.
+    """
+    keys = list(keys)
+    cut = df.withColumn("_p", F.substring(F.col(digest), 1, digits))
+    order = Window.partitionBy(*keys).orderBy("_p")
+    counts = cut.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    running = counts.withColumn("_until", F.sum("_c").over(order))
+    # the first prefix that reaches n; a group that never does is taken whole
+    reached = running.where(F.col("_until") >= n).groupBy(*keys).agg(
+        F.min_by(F.struct(F.col("_p").alias("at"), (F.col("_until") - F.col("_c")).alias("before")), "_p").alias("_cut")
+    )
+    marked = join_groups(cut, reached, keys, "left")
+    whole = marked.where(F.col("_cut").isNull() | (F.col("_p") < F.col("_cut")["at"]))
+    edge = marked.where(F.col("_p") == F.col("_cut")["at"])
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest, *ties))
+    edge = edge.withColumn("_rank", rank).where(F.col("_rank") <= n - F.col("_cut")["before"]).drop("_rank")
+    return whole.unionByName(edge).drop("_p", "_cut")
+
+
 def bounded_lists(
     df: DataFrame,
     keys: Sequence[str],

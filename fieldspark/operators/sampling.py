@@ -16,12 +16,22 @@ CHUNK = 128
 
 
 def stratified_sample(
-    df: DataFrame, stratum: str, ids: Sequence[str], n: int, seed: int = 42
+    df: DataFrame,
+    stratum: str,
+    ids: Sequence[str],
+    n: int,
+    seed: int = 42,
+    group_limit: int = ranking.GROUP_LIMIT,
 ) -> DataFrame:
-    """Up to ``n`` rows per stratum, chosen by the md5 order of seed and id."""
-    digest = V.seeded_hash(seed, *[F.col(i) for i in ids])
+    """Up to ``n`` rows per stratum, chosen by the md5 order of seed and id.
+
+    Above ``group_limit`` rows a stratum is no longer ranked in one task; the rows are the same.
+    """
+    hashed = df.withColumn("_h", V.seeded_hash(seed, *[F.col(i) for i in ids]))
+    if n > group_limit:
+        return ranking.first_by_digest(hashed, [stratum], "_h", ids, n).drop("_h")
     order = [F.col("_h"), *[F.col(i) for i in ids]]
-    return ranking.first_rows(df.withColumn("_h", digest), [stratum], order, n).drop("_h", "_rank")
+    return ranking.first_rows(hashed, [stratum], order, n).drop("_h", "_rank")
 
 
 def slice_batches(df: DataFrame, n: int, index: str = "sample_idx") -> DataFrame:

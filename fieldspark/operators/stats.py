@@ -127,6 +127,51 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     )
 
 
+def histograms(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
+    """`histogram` of many columns at once: (variable, bin, bin_start, n, total, mean).
+
+    One pass finds the bounds of all columns, a second one counts all their bins. A column without
+    values has empty bins and no bounds.
+    """
+    names = list(columns)
+    values = df.select(*[V.nan_to_null(F.col(c)).cast("double").alias(c) for c in names])
+    bounds = [
+        F.struct(
+            F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n"), F.avg(c).alias("mean")
+        )
+        for c in names
+    ]
+    b = values.agg(F.array(*bounds).alias("b")).scalar()
+
+    def slot(i: int) -> Column:
+        lo, hi = b[i]["lo"], b[i]["hi"]
+        share = F.coalesce(F.try_divide(F.col(names[i]) - lo, hi - lo), F.lit(0.0))
+        place = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+        return F.when(F.col(names[i]).isNotNull(), place).alias(names[i])
+
+    slots = values.select(*[slot(i) for i in range(len(names))]).unpivot([], names, "variable", "bin")
+    counts = slots.where(F.col("bin").isNotNull()).groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("n"))
+    place = F.floor(F.col("id") / F.lit(bins)).cast("int")
+    every = df.sparkSession.range(bins * len(names)).select(
+        place.alias("_i"),
+        F.get(F.array(*[F.lit(c) for c in names]), place).alias("variable"),
+        (F.col("id") % bins).cast("int").alias("bin"),
+    )
+    own = F.get(F.col("_b"), F.col("_i"))
+    return (
+        every.join(counts, ["variable", "bin"], "left")
+        .withColumn("_b", b)
+        .select(
+            "variable",
+            "bin",
+            (own["lo"] + F.col("bin") * ((own["hi"] - own["lo"]) / bins)).alias("bin_start"),
+            F.coalesce("n", F.lit(0)).alias("n"),
+            own["n"].alias("total"),
+            own["mean"].alias("mean"),
+        )
+    )
+
+
 def zero_stats(df: DataFrame, bands: Sequence[str], small: float = 10.0) -> DataFrame:
     """Zero and very small values per band, with a warning flag above one percent zeros."""
     rows = df.select(*[V.nan_to_null(F.col(b)).alias(b) for b in bands]).unpivot(

@@ -41,6 +41,21 @@ def stratified_orders(spark, d):
     )
 
 
+@query(
+    "w01_stratified_lines",
+    "o_orderkey:i l_linenumber:i l_returnflag:s",
+    f"""SELECT l_orderkey AS o_orderkey, l_linenumber, l_returnflag FROM lineitem QUALIFY row_number() OVER (
+          PARTITION BY l_returnflag ORDER BY {B.digest(7, "l_orderkey", "l_linenumber")}, l_orderkey, l_linenumber)
+          <= 20000""",
+)
+def stratified_lines(spark, d):
+    """Up to 20 000 lines per return flag, more than one task ranks."""
+    lines = B.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag"
+    )
+    return sampling.stratified_sample(lines, "l_returnflag", ["o_orderkey", "l_linenumber"], 20_000, seed=7)
+
+
 @query(
     "w02_slice_batches",
     "sample_idx:i batch_id:i",

@@ -153,6 +153,17 @@ def histogram_calendar(spark, d):
     return stats.histogram(days, "doy", 30)
 
 
+@query(
+    "a07_histograms",
+    "variable:s bin:i bin_start:f n:i total:i mean:g",
+    " UNION ALL ".join(f"SELECT '{v}' AS variable, * FROM ({_histogram_sql('ser', v, 40)})" for v in B.VARS),
+    B.SERIES,
+)
+def histograms(spark, d):
+    """All variables of the series in one query."""
+    return stats.histograms(B.series(spark, d), B.VARS, 40)
+
+
 _DIM = """
 dim AS (
   SELECT n_name AS country, coalesce(r_name, 'Unknown') AS continent, n_nationkey

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,13 +20,14 @@ def read_embeddings(spark: SparkSession, path: str, index: str = "sample_idx") -
     """CSV files with a header to (index, embedding ARRAY<FLOAT>).
 
     Without an index column, row ``i`` of the files in name order belongs to sample ``i``. The
-    schema comes from the header; nothing is inferred from the data.
+    schema comes from one file's header; nothing is inferred from the data, and a file whose header
+    has other names or another order is an error.
     """
     header = spark.read.csv(path, header=True).columns
     vector = embedding_columns(header)
     kinds = {c: "float" for c in vector} | {index: "bigint"}
     schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header)
-    rows = spark.read.schema(schema).csv(path, header=True)
+    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
     if index not in header:
         rows = _with_row_number(rows, index)
     return rows.select(index, F.array(*vector).alias("embedding"))
@@ -36,7 +37,8 @@ def _with_row_number(rows: DataFrame, index: str) -> DataFrame:
     """Number the rows of a file scan in file order.
 
     Rows keep their order inside a file split, so a row's number is its place in the split plus
-    the rows of earlier splits. The driver, which plans the splits, reads one count per split.
+    the rows of earlier splits: those of the same file and those of earlier files. Counts stay
+    tables, with a row per split and a row per file.
     """
     split = ["_path", "_start"]
     placed = rows.select(
@@ -46,13 +48,14 @@ def _with_row_number(rows: DataFrame, index: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_order"),
     )
     counts = placed.groupBy(*split).agg(F.min("_order").alias("first"), F.count(F.lit(1)).alias("n"))
-    shifts, running = [], 0
-    for row in sorted(counts.collect(), key=lambda r: (r["_path"], r["_start"])):
-        shifts.append((row["_path"], row["_start"], running - row["first"]))
-        running += row["n"]
-    table = rows.sparkSession.createDataFrame(shifts, "_path string, _start bigint, _shift bigint")
+    files = counts.groupBy("_path").agg(F.sum("n").alias("_rows"))
+    before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_path", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_files_before"))
+    inside = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.col("_files_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) - F.col("first")
+    table = counts.join(files, "_path").select(*split, shift.alias("_shift"))
     return (
-        placed.join(F.broadcast(table), split)
+        placed.join(table, split)
         .withColumn(index, F.col("_order") + F.col("_shift"))
         .drop("_order", "_shift", *split)
     )

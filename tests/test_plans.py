@@ -69,3 +69,20 @@ def test_one_sort_serves_all_interpolation_windows(spark, small_dir):
     text = plan(spark, small_dir, "w05_interpolate_linear")
     after = text[: text.index("Generate explode")]
     assert after.count("Sort [") == 1
+
+
+def test_histograms_read_the_table_twice(spark, small_dir):
+    """Once for the bounds of all variables, once for their bins."""
+    df = QUERIES["a07_histograms"](spark, small_dir)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("== Initial Plan ==")]
+    bodies = {m for m in re.findall(r"FileScan parquet \[[^\]]*\]", final)}
+    assert bodies and "ReusedSubquery" in final
+    assert final.count("FileScan") - final.count("ReusedSubquery") <= 2
+
+
+def test_large_strata_rank_only_the_boundary(spark, small_dir):
+    text = plan(spark, small_dir, "w01_stratified_lines")
+    assert "partial_count" in text
+    assert "row_number" in text and "_cut" in text

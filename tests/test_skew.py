@@ -246,3 +246,21 @@ def test_heavy_median_of_null_key_outlier_and_zeros(spark):
     expected = {(r["k"], r["v"]) for r in df.groupBy("k").agg(F.median("v").alias("v")).collect()}
     got = temporal.median_by(df, ["k"], ["v"], heavy_rows=50).collect()
     assert len(got) == 3 and {(r["k"], r["v"]) for r in got} == expected
+
+
+@pytest.mark.parametrize("n", [1, 7, 30, 31, 500, 1000, 5000])
+def test_strata_above_the_group_limit(spark, skewed, n):
+    df = skewed.withColumn("k", F.when(F.col("k") != 5, F.col("k"))).withColumn("_rank", F.lit(1))
+    same(
+        sampling.stratified_sample(df.drop("_rank"), "k", ["token_pos"], n),
+        sampling.stratified_sample(df.drop("_rank"), "k", ["token_pos"], n, group_limit=0),
+    )
+
+
+def test_strata_keep_repeated_rows_and_few_prefixes(spark, skewed):
+    df = skewed.select("k", (F.col("token_pos") % 5).alias("token_pos"))
+    same(
+        sampling.stratified_sample(df, "k", ["token_pos"], 400),
+        sampling.stratified_sample(df, "k", ["token_pos"], 400, group_limit=0),
+    )
+    assert sampling.stratified_sample(df.limit(0), "k", ["token_pos"], 400, group_limit=0).isEmpty()

@@ -102,6 +102,13 @@ def test_embeddings_without_index_follow_the_file_order(spark, tmp_path):
     assert all(r["embedding"] == [float(r["sample_idx"]), r["sample_idx"] + 0.5] for r in got)
 
 
+def test_embeddings_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "part-a.csv").write_text("emb_0,emb_1\n1,2\n")
+    (tmp_path / "part-b.csv").write_text("emb_1,emb_0\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        embeddings.read_embeddings(spark, str(tmp_path)).collect()
+
+
 def test_merge_without_any_batch(spark, tmp_path):
     with pytest.warns(UserWarning), pytest.raises(FileNotFoundError):
         dataset.read_batches(spark, [str(tmp_path / "none")])
