@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, values as V
@@ -72,8 +72,13 @@ def depth_stats(df: DataFrame, variables: Sequence[str], labels: Sequence[str])
     return masked_stats(named, "value", ["variable"])
 
 
-def encoding_sections(points: DataFrame, series: DataFrame, modality: str) -> list[DataFrame]:
-    """Encoded coordinates of all points and week codes of the valid steps, in long form."""
+def encoding_sections(
+    points: DataFrame, series: DataFrame, modality: str, variables: Sequence[str] = ()
+) -> list[DataFrame]:
+    """Encoded coordinates of all points and week codes of the valid steps, in long form.
+
+    ``variables`` of the series join its week codes, so that the series is read once.
+    """
     coords = points.select(
         *[c.alias(n) for n, c in geo.cyclic_coords(F.col("lon"), F.col("lat")).items()]
     )
@@ -85,7 +90,7 @@ def encoding_sections(points: DataFrame, series: DataFrame, modality: str) -> li
             temporal.with_week_encoding(series),
             "temporal_modalities",
             modality,
-            ["week_sin", "week_cos"],
+            ["week_sin", "week_cos", *variables],
             F.col("valid"),
         ),
     ]
@@ -241,39 +246,54 @@ def null_audit(
     missing value raises.
     """
     names = list(variables)
-    nulls = [F.when(F.col(v).isNull(), 1).otherwise(0).alias(v) for v in names]
-    cells = series.where(F.col("valid")).select(sample, "pos", *nulls)
-    sums = [F.sum(v).alias(v) for v in names]
-    every = F.sum(sum((F.col(v) for v in names[1:]), F.col(names[0]))).alias("n")
-    size = (F.count(F.lit(1)) * len(names)).alias("c")
-
-    def line(scope: str, key: Column, n: Column, c: Column) -> list[Column]:
-        return [
-            F.lit(scope).alias("scope"),
-            key.cast("string").alias("key"),
-            F.coalesce(n, F.lit(0)).cast("bigint").alias("nulls"),
-            c.cast("bigint").alias("cells"),
-        ]
-
-    whole = cells.agg(*sums, every, size)
+    nulls = [F.when(F.col(v).isNull(), 1).otherwise(0).alias(f"_n{i}") for i, v in enumerate(names)]
+    cells = series.where(F.col("valid")).select(F.col(sample).alias("_s"), F.col("pos").alias("_p"), *nulls)
+    every = F.sum(sum((F.col(f"_n{i}") for i in range(1, len(names))), F.col("_n0")))
+    # the whole, the weeks and the samples leave one expanded pass over the series
+    sets = cells.groupingSets([[], [F.col("_p")], [F.col("_s")]], "_s", "_p").agg(
+        F.grouping_id().alias("_set"),
+        *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(names))],
+        every.alias("_n"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    whole, weeks, samples = (F.col("_set") == k for k in (3, 2, 1))
+    total = F.col("_n")
     if fail:
-        message = F.concat(F.col("n").cast("string"), F.lit(" missing values in valid steps"))
-        guard = F.when(F.col("n") > 0, F.raise_error(message)).otherwise(F.col("n"))
-        whole = whole.withColumn("n", guard.cast("bigint"))
-    overall = [F.struct(*line("total", F.lit("all"), F.col("n"), F.col("c")))] + [
-        F.struct(*line("variable", F.lit(v), F.col(v), F.col("c") / len(names))) for v in names
+        message = F.concat(F.col("_n").cast("string"), F.lit(" missing values in valid steps"))
+        total = F.when(F.col("_n") > 0, F.raise_error(message)).otherwise(F.col("_n"))
+
+    def line(when: Column, scope: str, key: Column, n: Column, c: Column) -> Column:
+        first = F.when(F.lit(scope == "sample"), F.col("_s"))
+        values = [F.lit(scope), key.cast("string"), n.cast("bigint"), c.cast("bigint"), first]
+        fields = ("scope", "key", "nulls", "cells", "_s")
+        return F.when(when, F.struct(*[v.alias(f) for v, f in zip(values, fields)]))
+
+    size, some = F.col("_rows") * len(names), F.col("_n") > 0
+    lines = [
+        line(whole, "total", F.lit("all"), total, size),
+        *[line(whole, "variable", F.lit(v), F.col(f"_n{i}"), F.col("_rows")) for i, v in enumerate(names)],
+        line(weeks & some, "week", F.col("_p"), F.col("_n"), size),
+        line(samples, "samples", F.lit("with_nulls"), some.cast("int"), F.lit(1)),
+        line(samples & some, "sample", F.col("_s"), F.col("_n"), size),
     ]
-    by_week = cells.groupBy("pos").agg(every, size).where("n > 0")
-    by_sample = cells.groupBy(sample).agg(every, size)
-    counted = by_sample.agg(F.count_if(F.col("n") > 0).alias("n"), F.count(F.lit(1)).alias("c"))
-    firsts = by_sample.where("n > 0").orderBy(sample).limit(first_samples)
-    return (
-        whole.select(F.explode(F.array(*overall)).alias("l"))
-        .select("l.*")
-        .unionByName(by_week.select(*line("week", F.col("pos"), F.col("n"), F.col("c"))))
-        .unionByName(counted.select(*line("samples", F.lit("with_nulls"), F.col("n"), F.col("c"))))
-        .unionByName(firsts.select(*line("sample", F.col(sample), F.col("n"), F.col("c"))))
+    found = sets.select(F.explode(F.array(*lines)).alias("l")).where(F.col("l").isNotNull()).select("l.*")
+    # a series without valid steps still has the lines of the whole
+    zeros = [("total", "all"), *[("variable", v) for v in names], ("samples", "with_nulls")]
+    none = [F.struct(F.lit(a).alias("scope"), F.lit(k).alias("key")) for a, k in zeros]
+    empty = series.sparkSession.range(1).select(F.explode(F.array(*none)).alias("l")).select(
+        "l.*", F.lit(0).cast("bigint").alias("nulls"), F.lit(0).cast("bigint").alias("cells"),
+        F.lit(None).cast(series.schema[sample].dataType).alias("_s"),
+    )
+    summed = found.unionByName(empty).groupBy("scope", "key").agg(
+        F.sum("nulls").alias("nulls"), F.sum("cells").alias("cells"), F.min("_s").alias("_s")
     )
+    # all samples share one group of the ranking, which keeps the first ones; other lines are alone in theirs
+    one = [F.col("scope"), F.when(F.col("scope") != "sample", F.coalesce("key", F.lit("")))]
+    rank = F.row_number().over(Window.partitionBy(*one).orderBy("_s"))
+    first = summed.withColumn("_rank", rank).where(F.col("_rank") <= max(first_samples, 1))
+    if first_samples < 1:
+        first = first.where(F.col("scope") != "sample")
+    return first.select("scope", "key", "nulls", "cells")
 
 
 def members_by(df: DataFrame, group: str, member: str) -> DataFrame:

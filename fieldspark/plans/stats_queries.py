@@ -116,8 +116,7 @@ def all_stats(spark, d):
     static = B.table(spark, d, "customer").select(F.col("c_acctbal").alias("elevation"))
     return stats.dataset_stats(
         [
-            *stats.encoding_sections(B.points(spark, d), clean, "ser"),
-            stats.long_form(clean, "temporal_modalities", "ser", B.VARS, F.col("valid")),
+            *stats.encoding_sections(B.points(spark, d), clean, "ser", B.VARS),
             stats.long_form(static, "static_modalities", "elevation", ["elevation"]),
         ]
     )

@@ -412,6 +412,41 @@ def test_null_audit_can_fail(spark):
         stats.null_audit(df, "s", ["a", "b"], fail=True).collect()
 
 
+def test_null_audit_of_hard_series(spark):
+    rows = [(i if i else None, i % 3, True, None, 1.0) for i in range(13)] + [(99, None, True, 1.0, 1.0), (98, 0, False, None, None)]
+    df = spark.createDataFrame(rows, "s int, pos int, valid boolean, a double, b double")
+    got = {(r["scope"], r["key"]): (r["nulls"], r["cells"]) for r in stats.null_audit(df, "s", ["a", "b"], 3).collect()}
+    assert got == {
+        ("total", "all"): (13, 28),
+        ("variable", "a"): (13, 14),
+        ("variable", "b"): (0, 14),
+        ("week", "0"): (5, 10),
+        ("week", "1"): (4, 8),
+        ("week", "2"): (4, 8),
+        ("samples", "with_nulls"): (13, 14),
+        ("sample", None): (1, 2),
+        ("sample", "1"): (1, 2),
+        ("sample", "2"): (1, 2),
+    }
+    scopes = stats.null_audit(df, "s", ["a", "b"], 0).where("scope = 'sample'")
+    assert scopes.isEmpty()
+    nothing = stats.null_audit(df.limit(0), "s", ["a", "b"]).collect()
+    assert sorted((r["scope"], r["nulls"], r["cells"]) for r in nothing) == [
+        ("samples", 0, 0), ("total", 0, 0), ("variable", 0, 0), ("variable", 0, 0)
+    ]
+
+
+def test_histograms_of_hard_columns(spark):
+    rows = [(1.0, None, 5.0), (float("nan"), None, 5.0), (3.0, None, None), (2.0, None, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["variable"], r["bin"]): (r["n"], r["total"], r["bin_start"]) for r in stats.histograms(df, ["a", "b", "c"], 2).collect()}
+    assert got == {
+        ("a", 0): (1, 3, 1.0), ("a", 1): (2, 3, 2.0), ("b", 0): (0, 0, None), ("b", 1): (0, 0, None),
+        ("c", 0): (3, 3, 5.0), ("c", 1): (0, 3, 5.0),
+    }
+    assert {r["n"] for r in stats.histograms(df.limit(0), ["a", "b"], 2).collect()} == {0}
+
+
 def test_pack_rejects_long_series(spark):
     df = spark.createDataFrame(
         [(1, dt.datetime(2021, 1, 1 + i), i, 1.0) for i in range(4)], "k int, ts timestamp_ntz, t int, v double"

@@ -86,3 +86,8 @@ def test_large_strata_rank_only_the_boundary(spark, small_dir):
     text = plan(spark, small_dir, "w01_stratified_lines")
     assert "partial_count" in text
     assert "row_number" in text and "_cut" in text
+
+
+@pytest.mark.parametrize("name", ["a06_dataset_stats", "a11_null_audit"])
+def test_reports_read_the_series_once(spark, small_dir, name):
+    assert len(re.findall(r"FileScan parquet [^\n]*l_suppkey", plan(spark, small_dir, name))) == 1
