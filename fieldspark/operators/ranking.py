@@ -160,7 +160,8 @@ def first_by_digest(
     """`first_rows` in digest order for any ``n``, however many rows a group has.
 
     Counts per digest prefix, combined before their exchange, tell in which prefix a group's row
-    ``n`` lies. Rows of earlier prefixes are taken where they are; only that one prefix is ranked.
+    ``n`` lies. Rows of earlier prefixes are taken where they are; only that one prefix is exchanged
+    and ranked. One job finds the prefixes, a row per group, which are broadcast if they are few.
     """
     keys = list(keys)
     cut = df.withColumn("_p", F.substring(F.col(digest), 1, digits))
@@ -171,7 +172,7 @@ def first_by_digest(
     reached = running.where(F.col("_until") >= n).groupBy(*keys).agg(
         F.min_by(F.struct(F.col("_p").alias("at"), (F.col("_until") - F.col("_c")).alias("before")), "_p").alias("_cut")
     )
-    marked = join_groups(cut, reached, keys, "left")
+    marked = join_groups(cut, small_table(reached), keys, "left")
     whole = marked.where(F.col("_cut").isNull() | (F.col("_p") < F.col("_cut")["at"]))
     edge = marked.where(F.col("_p") == F.col("_cut")["at"])
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest, *ties))

@@ -82,10 +82,11 @@ def test_histograms_read_the_table_twice(spark, small_dir):
     assert final.count("FileScan") - final.count("ReusedSubquery") <= 2
 
 
-def test_large_strata_rank_only_the_boundary(spark, small_dir):
-    text = plan(spark, small_dir, "w01_stratified_lines")
-    assert "partial_count" in text
-    assert "row_number" in text and "_cut" in text
+def test_large_strata_exchange_only_the_boundary(spark):
+    text = plan(spark, "/root/testdata/sf0.01", "w01_stratified_lines")
+    assert "Union" in text and "SortMergeJoin" not in text
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert len(exchanges) == 1
 
 
 @pytest.mark.parametrize("name", ["a06_dataset_stats", "a11_null_audit"])
