@@ -253,36 +253,99 @@ def test_language_query(spark, edge_dir, edge_docs):
     assert np.mean(right) >= 0.97
 
 
-def test_code_lengths_are_exact(spark):
-    texts = [("x", "abracadabra"), ("x", "abrasax"), ("y", "zzyzx")]
-    data = [t.encode() for lang, t in texts if lang == "x"]
-    keys, starts, lengths = langid._packed(data)
-    real = np.concatenate([keys[s : s + n] for s, n in zip(starts, lengths)])
-    found, counts = np.unique(real, return_counts=True)
-    model = langid.Model(found, counts)
-    tables = [defaultdict(lambda: defaultdict(int)) for _ in range(3)]
-    for t in data:
-        t = b"\n\n" + t
-        for i in range(2, len(t)):
-            for order in range(3):
-                tables[order][t[i - order : i]][t[i]] += 1
-
-    def cost(context, byte):
-        for order in (2, 1, 0):
-            seen = tables[order].get(context[2 - order :])
-            if seen:
-                total = sum(seen.values()) + len(seen)
-                if byte in seen:
-                    yield -np.log2(seen[byte] / total)
-                    return
-                yield -np.log2(len(seen) / total)
-        yield 8.0
-
-    for probe in (b"abra", b"zebra", b"\xff!", b"dab"):
-        keys, starts, lengths = langid._packed([probe])
-        padded = b"\n\n" + probe
-        want = sum(sum(cost(padded[i - 2 : i], padded[i])) for i in range(2, len(padded)))
-        assert model.code_lengths(keys[: len(probe)]).sum() == pytest.approx(want)
+def literal_trees(texts, order, min_seen, max_contexts):
+    """Counts of bytes after every context, pruned like the contract says, in plain dictionaries."""
+    tables = defaultdict(lambda: defaultdict(int))
+    for t in texts:
+        t = b"\n" * order + t
+        for i in range(order, len(t)):
+            for length in range(order + 1):
+                tables[t[i - length : i]][t[i]] += 1
+    ranked = sorted(tables, key=lambda c: (-sum(tables[c].values()), len(c), c))
+    kept = [c for c in ranked if not c or sum(tables[c].values()) >= min_seen][:max_contexts]
+    return {c: dict(tables[c]) for c in kept}
+
+
+def literal_bits(tables, context, byte):
+    refused, bits = set(), 0.0
+    for length in range(len(context), -1, -1):
+        seen = tables.get(context[len(context) - length :])
+        if seen is None:
+            continue
+        offered = {b: n for b, n in seen.items() if b not in refused}
+        if not offered:
+            continue
+        room = sum(offered.values()) + len(offered)
+        if byte in offered:
+            return bits - np.log2(offered[byte] / room)
+        bits -= np.log2(len(offered) / room)
+        refused |= offered.keys()
+    return bits + np.log2(256 - len(refused))
+
+
+def model_of(tables):
+    rows = [(len(c), int.from_bytes(c + bytes([b])), n) for c, seen in tables.items() for b, n in seen.items()]
+    return langid.Model(*np.array(rows, dtype=np.int64).T)
+
+
+TRAINING = [b"abracadabra abracadabra", b"abrasax", "d\u00e9j\u00e0 vu, d\u00e9j\u00e0 lu".encode(), b"aaaaaaaa", b"a"]
+
+
+@pytest.mark.parametrize("min_seen, max_contexts", [(1, 10_000), (2, 10_000), (4, 10_000), (1, 20), (1, 1)])
+def test_code_lengths_are_exact(min_seen, max_contexts):
+    order = langid.MAX_ORDER
+    tables = literal_trees(TRAINING, order, min_seen, max_contexts)
+    model = model_of(tables)
+    for probe in (b"abracadabra", b"zebra", b"\xff!", b"dab", "d\u00e9j\u00e0".encode(), b"aaaaaaaaaaaab", b"\n\na"):
+        padded = b"\n" * order + probe
+        wanted, parents, where = langid.distinct_keys(langid._keys([padded]))
+        want = [literal_bits(tables, padded[i - order : i], padded[i]) for i in range(order, len(padded))]
+        assert model.code_lengths(wanted, parents)[where] == pytest.approx(np.array(want))
+
+
+def test_escapes_waste_no_code():
+    """The probabilities of all bytes at one place sum to 1, whatever the context."""
+    model = model_of(literal_trees(TRAINING, langid.MAX_ORDER, 2, 10_000))
+    for context in (b"\n\n\n\n", b"abra", b"zabr", b"\xff\xfe\xfd\xfc", b"aaaa", "d\u00e9j".encode()):
+        wanted, parents, where = langid.distinct_keys(langid._keys([context + bytes([b]) for b in range(256)]))
+        assert np.exp2(-model.code_lengths(wanted, parents)[where]).sum() == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("min_seen, max_contexts", [(1, 10_000), (3, 10_000), (2, 25)])
+def test_trees_hold_the_pruned_counts(spark, min_seen, max_contexts):
+    texts = {"x": ["abracadabra", "abrasax", "", "a\nb"], "y": ["zzyzx zzyzx", "\u4f60\u597d\u4f60\u597d"], "z": [""]}
+    rows = [(7 * i + 1, t, lang) for lang, held in texts.items() for i, t in enumerate(held)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    df = spark.createDataFrame(rows + [(1, None, "x"), (None, "out", "x")], "doc_id bigint, text string, lang string")
+    got = defaultdict(dict)
+    for r in langid.context_trees(df, 400, min_seen, max_contexts).collect():
+        whole = r["key"].to_bytes(r["level"] + 1)
+        got[r["lang"]].setdefault(whole[:-1], {})[whole[-1]] = r["n"]
+    for lang in texts:
+        learned = [t.encode() for _, t, name in rows if name == lang]
+        assert got.get(lang, {}) == literal_trees(learned, langid.MAX_ORDER, min_seen, max_contexts)
+
+
+def test_pieces_of_a_long_text_cover_it():
+    text, order = "na\u00efve \u4f60\u597d " * 9, langid.MAX_ORDER
+    whole = langid._keys([p for _, p in langid._pieces([(0, text)])])
+    assert len(whole) == len(text.encode())
+    for size in (1, 2, 7, len(text.encode())):
+        pieces = [p for _, p in langid._pieces([(0, text), (1, "x")], size)]
+        assert (langid._keys(pieces)[:-1] == whole).all()
+    assert list(langid._pieces([(3, "")])) == []
+
+
+def test_score_is_per_byte(spark):
+    rows = [(i, "the cat sat on the mat " * 3, "en") for i in range(40)]
+    rows += [(i + 100, "le chat est sur le tapis " * 3, "fr") for i in range(40)]
+    probes = [(1000 + i, t, None) for i, t in enumerate(["the mat", "le tapis " * 50_000, "q", "the chat", "\u4f60"])]
+    df = spark.createDataFrame(rows + probes, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    assert [got[1000 + i]["lang_pred"] for i in range(2)] == ["en", "fr"]
+    assert all(0.5 <= got[1000 + i]["score"] < 1 for i in range(5))
+    # a word of both is less certain than a sentence of one
+    assert got[1003]["score"] < got[1000]["score"]
 
 
 def test_language_without_training_rows(spark):
