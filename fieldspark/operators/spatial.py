@@ -104,9 +104,11 @@ def tile_edge_index(zones: DataFrame, tile: float, height: float) -> DataFrame:
     the outline comes from or goes to the right: each one above the point turns the bit. Tiles
     without any of the three are wholly outside and not listed.
     """
+    # edges and corners of a small file or a long outline fill many tiles, so they are dealt to all tasks
+    tasks = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rings = zones.select("zone_id", F.explode(_rings(zones)).alias("ring"))
     row = lambda y: geo.snap(y, height)
-    edges = rings.select("zone_id", F.explode(_edges(F.col("ring"))).alias("e"))
+    edges = rings.select("zone_id", F.explode(_edges(F.col("ring"))).alias("e")).repartition(tasks)
     e = F.col("e")
     low, high = row(F.least(e["ay"], e["by"])), row(F.greatest(e["ay"], e["by"]))
     listed = edges.select("zone_id", "e", F.explode(F.sequence(low, high)).alias("ty"))
@@ -126,7 +128,7 @@ def tile_edge_index(zones: DataFrame, tile: float, height: float) -> DataFrame:
             F.get(F.col("ring"), (i + n - 1) % n).alias("a"), p.alias("p"), F.get(F.col("ring"), (i + 1) % n).alias("b")
         ),
     )
-    corners = rings.select("zone_id", F.explode(corner).alias("c")).withColumn("ty", row(F.col("c.p.y")))
+    corners = rings.select("zone_id", F.explode(corner).alias("c")).repartition(tasks).withColumn("ty", row(F.col("c.p.y")))
 
     def edge(a: str, b: str) -> Column:
         c = F.col("c")
@@ -151,6 +153,17 @@ def tile_edge_index(zones: DataFrame, tile: float, height: float) -> DataFrame:
     )
 
 
+def _up_to_whole(index: DataFrame) -> DataFrame:
+    """The entries of a ``tile_edge_index`` that can hold the lowest zone of a point.
+
+    A zone with an odd bit and nothing else holds its whole tile, so no higher zone matters there.
+    """
+    whole = (F.size("edges") == 0) & (F.size("levels") == 0) & (F.col("odd") == 1)
+    lowest = index.where(whole).groupBy("tx", "ty").agg(F.min("zone_id").alias("_whole"))
+    kept = index.join(lowest.hint("merge"), ["tx", "ty"], "left")
+    return kept.where(F.col("_whole").isNull() | (F.col("zone_id") <= F.col("_whole"))).drop("_whole")
+
+
 def zone_of_point(
     points: DataFrame, zones: DataFrame, key: str, tile: float = 5.0, missing: int = -1, rows: int = 16
 ) -> DataFrame:
@@ -160,16 +173,20 @@ def zone_of_point(
     ``tile_edge_index`` of tiles a ``rows``-th as high as they are wide. A point meets the entries of its tile
     in an equi join and casts its ray over their few edges; one exchange by point follows. Outlines
     of any length are cut up, and crowded tiles are split by AQE. Points need a unique key.
+
+    Zones may overlap as they like: a tile keeps only the entries up to the lowest zone that holds all of it.
+    Both joins are sort-merge joins, since the size of the index cannot be told from that of the zones, and a
+    broadcast would take it through the driver.
     """
     height = tile / rows
-    index = tile_edge_index(zones, tile, height)
+    index = _up_to_whole(tile_edge_index(zones, tile, height))
     placed = points.select(
         key, "lon", "lat", geo.snap(F.col("lon"), tile).alias("tx"), geo.snap(F.col("lat"), height).alias("ty")
     )
     x, y = F.col("lon"), F.col("lat")
     crossed = F.size(F.filter("edges", lambda e: _crosses(x, y, e) == 1)) + F.size(F.filter("levels", lambda v: v > y))
     inside = (crossed + F.col("odd")) % 2 == 1
-    met = placed.join(index, ["tx", "ty"], "left").select(key, F.when(inside, F.col("zone_id")).alias("zone_id"))
+    met = placed.join(index.hint("merge"), ["tx", "ty"], "left").select(key, F.when(inside, F.col("zone_id")).alias("zone_id"))
     return met.groupBy(key).agg(F.coalesce(F.min("zone_id"), F.lit(missing)).cast("bigint").alias("zone_id"))
 
 

@@ -125,3 +125,21 @@ def test_zone_plan(spark):
     plan = spatial.zone_of_point(points, zones, "id")._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("Join")]
     assert above.count("Exchange") == 1 and "Generate" not in above
+
+
+def test_overlapping_zones_stay_off_the_driver(spark):
+    """A tile lists no zone above the lowest that holds all of it, and the index is never broadcast."""
+    squares = [(z, [[[(-h, -h), (h, -h), (h, h), (-h, h)]]]) for z in range(120) for h in (20.0 + z % 7,)]
+    zones = frame(spark, squares)
+    index = spatial.tile_edge_index(zones, 5.0, 5.0)
+    listed = lambda df, tx: df.where(f"tx = {tx} and ty = 0").count()
+    assert [listed(index, 0), listed(index, 4)] == [120, 120]
+    assert [listed(spatial._up_to_whole(index), tx) for tx in (0, 4)] == [1, 6]
+    rng = random.Random(5)
+    places = [(rng.uniform(-30, 30), rng.uniform(-30, 30)) for _ in range(500)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)], "id int, lon double, lat double")
+    found = spatial.zone_of_point(points, zones, "id")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["zone_id"] for r in found.collect()}
+    for i, (x, y) in enumerate(places):
+        assert got[i] == next((z for z in range(7) if max(abs(x), abs(y)) < 20 + z), -1)
