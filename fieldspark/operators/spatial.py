@@ -286,7 +286,8 @@ def slope(dem: DataFrame, cell_m: float, x: str = "gx", y: str = "gy", z: str =
     """Slope in degrees from the four neighbours; cells at a border or gap get NULL.
 
     Every cell sends its value to its neighbours and one aggregation collects them: rows and
-    columns of any length, with or without gaps, never form a single group.
+    columns of any length, with or without gaps, never form a single group. What is sent is exchanged as it
+    is: hardly two values for a cell come from one task, so combining them earlier only fills its memory.
     """
     sends = F.array(
         *[
@@ -305,7 +306,7 @@ def slope(dem: DataFrame, cell_m: float, x: str = "gx", y: str = "gy", z: str =
         (F.col(y) + F.col("s.dy")).alias(y),
         F.col("s.role").alias("role"),
         z,
-    )
+    ).repartition(x, y)
     value = lambda role: F.max(F.when(F.col("role") == role, F.col(z)))
     joined = sent.groupBy(x, y).agg(
         value("own").alias(z),

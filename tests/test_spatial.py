@@ -143,3 +143,14 @@ def test_overlapping_zones_stay_off_the_driver(spark):
     got = {r["id"]: r["zone_id"] for r in found.collect()}
     for i, (x, y) in enumerate(places):
         assert got[i] == next((z for z in range(7) if max(abs(x), abs(y)) < 20 + z), -1)
+
+
+def test_slope_exchanges_values_uncombined(spark):
+    """No aggregation fills a task's memory between a cell and the exchange to its neighbours."""
+    dem = spark.createDataFrame([(x, y, float(x * y)) for x in range(4) for y in range(4)], "gx int, gy int, z double")
+    got = spatial.slope(dem, 1.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "Aggregate" not in plan[plan.index("Exchange") : plan.index("Generate")]
+    inner = {(r["gx"], r["gy"]): r["slope"] for r in got.collect() if r["slope"] is not None}
+    assert inner == {(x, y): pytest.approx(math.degrees(math.atan(math.hypot(x, y)))) for x in (1, 2) for y in (1, 2)}
