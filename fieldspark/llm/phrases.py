@@ -176,15 +176,17 @@ def _edges(docs: DataFrame, frequent: bytes, seed: int) -> DataFrame:
     return docs.mapInPandas(run, "w1 bigint, w2 bigint, w3 bigint, weight bigint")
 
 
-def _graph(edges: DataFrame, least: int) -> DataFrame:
+def _graph(edges: DataFrame, least: int, words: DataFrame | None = None) -> DataFrame:
     """(kind, w1, w2, w3, weight): edges (3), nodes (2) and words (1) that count at least ``least``.
 
     All come from one exchange by node: an edge's weights are summed there, a node's count is what
-    leaves it, and a word's count what leaves the nodes it begins.
+    leaves it, and a word's count what leaves the nodes it begins. ``words(w1, weight)`` are those counts
+    where they are known, so that the edges need not be summed for them once more.
     """
     whole = edges.repartition("w1", "w2").groupBy("w1", "w2", "w3").agg(F.sum("weight").alias("weight"))
     nodes = whole.groupBy("w1", "w2").agg(F.sum("weight").alias("weight"))
-    words = nodes.groupBy("w1").agg(F.sum("weight").alias("weight"))
+    if words is None:
+        words = nodes.groupBy("w1").agg(F.sum("weight").alias("weight"))
     none = F.lit(None).cast("bigint")
 
     def heavy(*ahead):
@@ -286,7 +288,9 @@ def collocations(docs: DataFrame, lang: Column, least: int = 10, inside: int = 5
             break
     else:
         raise ValueError(f"two words share an id under each of {SEEDS} seeds")
-    graph = stored(_graph(_edges(table, frequent_filter(vocabulary, least), seed), least), "graph")
+    # every occurrence of a word starts one edge
+    counted = vocabulary.select(F.col("id").alias("w1"), F.col("count").alias("weight"))
+    graph = stored(_graph(_edges(table, frequent_filter(vocabulary, least), seed), least, counted), "graph")
     paths = compact_paths(graph)
     nodes = graph.where("kind = 2").select("w1", "w2", "weight")
     words = graph.where("kind = 1").select("w1", "weight")

@@ -129,3 +129,15 @@ def test_rings_are_cut_once(spark):
     assert len(rows) == len(ranks) == 3 + 3 + 2 + 9
     assert ranks[10] == (12, 2) and ranks[12] == (12, 0) and ranks[20] == (21, 1)
     assert ranks[1] == (3, 2) and ranks[3] == (3, 0) and ranks[100] == (108, 8)
+
+
+def test_word_counts_need_no_pass_over_the_edges(spark):
+    docs = [(t, "xx") for t, _ in made_texts(8)]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    vocabulary = phrases._vocabulary(df, 0)
+    edges = phrases._edges(df, phrases.frequent_filter(vocabulary, 2), 0)
+    counted = vocabulary.select(F.col("id").alias("w1"), F.col("count").alias("weight"))
+    one, two = phrases._graph(edges, 2), phrases._graph(edges, 2, counted)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    passes = lambda df: df._jdf.queryExecution().executedPlan().toString().count("[w1#")
+    assert passes(two) < passes(one)
