@@ -6,6 +6,8 @@ that meet under a subset are linked. Large ("heavy") sets are matched by inverte
 holds a set under the rarest shingles that it cannot lose and still link; shingles of common words and
 of passages that many documents hold come last, and so have short lists. Two sets are compared if they
 meet early enough in both orders and their parity sketches differ in no more bits than linked sets can.
+What travels by lists is narrow: members of short lists meet by key and place alone, and only the few pairs
+that are left are given their sketches.
 The boundary between the two is the size at which the counted cost is least.
 """
 
@@ -32,6 +34,9 @@ LEVEL_BLOCK = 1 << 15
 # Bits of a set's parity sketch, in 64-bit words. Sets of a symmetric difference d differ in at most d bits.
 PARITY_WORDS = 16
 PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
+# The same for sets of more shingles than WIDE_FROM, whose differences would fill the small one: 1 KB a set.
+WIDE_WORDS = 128
+WIDE_FROM = 2000
 # A word is counted where it makes up at least this part of a task's words.
 WORD_PART = 1 << 18
 # No boundary above this size is tried, so the size histogram read by the driver is bounded.
@@ -42,9 +47,13 @@ POSTING_COST = 4.0
 FRAME_ROWS = 100_000
 # A set's lists just before a list that go with it there, to tell whether two sets have met before.
 EARLIER = 16
+# Lists of up to this many members are paired whole: at most half as many pairs for each posting. Longer ones
+# carry sketches, so that the join itself drops pairs that cannot link.
+SHORT_LIST = 32
 # Members of an open list that a part of it holds.
 LIST_PART = 1000
-# Ids up to this many are broadcast (8 bytes each) to pick texts; beyond, a shuffle join does it.
+# Ids (8 bytes each) or candidate pairs (32 bytes) up to this many are broadcast to pick texts; beyond, a shuffle
+# join does it.
 BROADCAST_IDS = 1_000_000
 
 
@@ -89,9 +98,9 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+def parity_sketch(hashes: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     """For every bit, whether an odd number of the set's hashes fall on it."""
-    bits = 64 * PARITY_WORDS
+    bits = 64 * words
     places = (hashes & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(places, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
@@ -103,8 +112,42 @@ def _may_link(percent: int) -> str:
     return f"({differing}) <= n_a + n_b - 2 * {_needed_sql(percent)}"
 
 
-def _needed_sql(percent: int) -> str:
-    return f"cast(ceil({percent} * (n_a + n_b) / {100 + percent}D) as int)"
+def _not_too_wide(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """``pairs(a, b)`` without those of large sets whose wide sketches tell that they do not link."""
+    for side in "ab":
+        pairs = pairs.join(wide.toDF(side, f"n_{side}", f"wide_{side}"), side, "left")
+    differing = "aggregate(zip_with(wide_a, wide_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    may_link = f"{differing} <= n_a + n_b - 2 * {_needed_sql(percent)}"
+    return pairs.where(f"coalesce({may_link}, true)").select("a", "b")
+
+
+def _needed_sql(percent: int, sizes: str = "n_a + n_b") -> str:
+    return f"cast(ceil({percent} * ({sizes}) / {100 + percent}D) as int)"
+
+
+def _near(percent: int) -> str:
+    """Whether a member can be the smaller set of a pair that first meets in this list.
+
+    Before the first shingle that linked sets share, each holds only shingles it does not share; the smaller
+    one shares at least as many as with a set of its own size. A list needs one such member.
+    """
+    return f"pair > 0 or pos <= n - {_needed_sql(percent, 'n + n')}"
+
+
+def _may_meet(percent: int) -> str:
+    """What two members a, b of a list pass if they first meet there; b is the larger set."""
+    return (
+        f"component_a <> component_b and (n_a < n_b or (n_a = n_b and key_a < key_b)) and n_b * {percent} <= n_a * 100 "
+        f"and pos_a <= n_a - {_needed_sql(percent)} and pos_b <= n_b - {_needed_sql(percent)}"
+    )
+
+
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` of set keys with the sizes and sketches of both."""
+    for side in "ab":
+        sketch = classes.select("key", "n", *PARITY).toDF(side, f"n_{side}", *[f"{p}_{side}" for p in PARITY])
+        pairs = pairs.join(sketch, side)
+    return pairs
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
@@ -120,24 +163,25 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
             return np.zeros(len(hashes), dtype=np.int8)
 
         for batch in batches:
-            keys, sizes, sketches = [], [], []
+            keys, sizes, sketches, wide = [], [], [], []
             for hashes, _ in ranked_shingle_sets(batch["text"].tolist(), width, count_words):
                 np.add.at(counts, _slots(hashes), 1)
                 keys.append(set_key(hashes))
                 sizes.append(len(hashes))
                 sketches.append(parity_sketch(hashes))
-            out = {"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "key": keys, "n": sizes}
+                wide.append(parity_sketch(hashes, WIDE_WORDS) if len(hashes) > WIDE_FROM else None)
+            out = {"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "key": keys, "n": sizes, "wide": pd.Series(wide, dtype=object)}
             sketch = np.array(sketches, dtype=np.int64).reshape(len(keys), PARITY_WORDS)
             yield pd.DataFrame(out | {p: sketch[:, i] for i, p in enumerate(PARITY)})
         mean = counts.mean()
         floors = (max(2, int(mean + 3 * math.sqrt(mean))), max(2, int(words.sum()) // WORD_PART))
         for kind, table, floor in zip((1, 2), (counts, words), floors):
             hot = np.flatnonzero(table > floor)
-            out = {"kind": kind, "doc_id": pd.Series(hot, dtype="Int64"), "key": table[hot].astype(np.int64), "n": 0}
+            out = {"kind": kind, "doc_id": pd.Series(hot, dtype="Int64"), "key": table[hot].astype(np.int64), "n": 0, "wide": None}
             yield pd.DataFrame(out | dict.fromkeys(PARITY, 0))
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(
-        run, "kind int, doc_id bigint, key bigint, n int, " + ", ".join(f"{p} bigint" for p in PARITY)
+        run, "kind int, doc_id bigint, key bigint, n int, wide array<bigint>, " + ", ".join(f"{p} bigint" for p in PARITY)
     )
 
 
@@ -234,21 +278,20 @@ def _verified(
     pairs = pairs.join(ids.select(F.col("key").alias("a"), F.col("doc_id").alias("doc_a")), "a")
     pairs = pairs.join(ids.select(F.col("key").alias("b"), F.col("doc_id").alias("doc_b")), "b")
     pairs = stored(pairs, "candidates")
-    wanted = stored(
-        pairs.select(F.col("doc_a").alias("doc_id"))
-        .union(pairs.select(F.col("doc_b").alias("doc_id")))
-        .distinct(),
-        "wanted",
-    )
-    hint = wanted.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
-    texts = texts.join(F.broadcast(wanted) if hint else wanted, "doc_id", "left_semi")
-    if repeated:
-        # else every copy of a row would meet every copy of the other
-        texts = texts.withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"])
-    left = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "doc_a").join(right, "doc_b").select("a", "b", "text_a", "text_b")
+    # Few pairs are sent to the texts, so that a text travels once for each pair and once to meet them.
+    sent = F.broadcast if pairs.count() <= BROADCAST_IDS else lambda table: table
+    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
+
+    def texts(side: str) -> DataFrame:
+        wanted = pairs.select(F.col(f"doc_{side}").alias("doc_id")).distinct()
+        found = whole.join(sent(wanted), "doc_id", "left_semi")
+        if repeated:
+            # else every copy of a row would meet every copy of the other
+            found = found.withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"])
+        return found.select(F.col("doc_id").alias(f"doc_{side}"), F.col("text").alias(f"text_{side}"))
+
+    left = texts("a").join(sent(pairs), "doc_a")
+    joined = left.join(texts("b"), "doc_b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         last = (None, None, None)
@@ -270,6 +313,33 @@ def _verified(
     return stored(joined.mapInPandas(run, "a bigint, b bigint").distinct(), "links")
 
 
+def _long_list_pairs(posted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of long lists that may link and are in different components."""
+    mixed = posted.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    posted = posted.join(mixed.where("low <> high").select("token"), "token")
+    before = Window.partitionBy("key").orderBy("pos").rowsBetween(-EARLIER, -1)
+    posted = posted.withColumn("earlier", F.collect_list("token").over(before))
+    parts = F.ceil(F.col("members") / LIST_PART).cast("int")
+    open_lists = stored(posted.join(classes.select("key", *PARITY), "key").withColumn("parts", parts), "open")
+    names = ["key", "n", "pos", "component", "earlier", *PARITY]
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    one = open_lists.select("token", part.alias("part"), *[F.col(c).alias(f"{c}_a") for c in names])
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    two = open_lists.select("token", each.alias("part"), *[F.col(c).alias(f"{c}_b") for c in names])
+    return (
+        one.join(two, ["token", "part"])
+        .where(_may_meet(percent))
+        .where(_may_link(percent))
+        # two sets always pass in the first long list they share, or met in a short one; a later one need
+        # not make them again
+        .where("not arrays_overlap(earlier_a, earlier_b)")
+        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        .distinct()
+    )
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
@@ -287,6 +357,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PARITY])
     )
     classes = stored(classes, "classes")
+    wide = described.where("wide is not null and doc_id is not null").select("key", "n", "wide")
+    wide = stored(wide.dropDuplicates(["key"]), "wide")
     ids = sets.where("doc_id is not null").groupBy("doc_id").count()
     repeated = not ids.where("count > 1").isEmpty()
     histogram = {
@@ -296,75 +368,60 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     named = docs.where(F.col("doc_id").isNotNull())
     levels = (_frequency_levels(described, 1), _frequency_levels(described, 2))
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    # Most lists have one member. They are found by counting tokens alone, and a filter of a fixed size keeps
-    # them from travelling as postings; a full filter would only let more of them pass.
-    tokens = _lists(named, width, percent, boundary, shared).groupBy(F.col("token").alias("id")).count()
+    # Most lists have one member, or none that can be the smaller of a pair. They are found by counting tokens
+    # alone, and a filter of a fixed size keeps them from travelling as postings; a full filter would only let
+    # more of them pass.
+    member = F.when(F.expr(_near(percent)), (1 << 32) + 1).otherwise(1)
+    tokens = _lists(named, width, percent, boundary, shared).groupBy(F.col("token").alias("id")).agg(F.sum(member).alias("count"))
+    # the members in the low half, of which near ones in the high half
+    tokens = tokens.where(F.col("count") >= 1 << 32).withColumn("count", F.col("count").bitwiseAND((1 << 32) - 1))
     repeated_lists = docs.sparkSession.sparkContext.broadcast(frequent_filter(tokens, 2))
     lists = stored(_lists(named, width, percent, boundary, shared, repeated_lists), "postings")
     shared.destroy()
     repeated_lists.destroy()
 
     # Every member of a list against one set of it: the smallest is enough for subsets. For prefixes it
-    # is the one of least hash, as a set of usual size links with more of its near copies than the
-    # smallest does, and many lists agree on it. Both are aggregates, combined before they travel, and
-    # the lists that meet them again are a join, which is split where a list is long.
-    member = F.struct("n", "key")
+    # is the one of least key, which is a hash, as a set of usual size links with more of its near copies
+    # than the smallest does, and many lists agree on it. Both are aggregates of plain numbers, combined
+    # before they travel, and the lists that meet them again are a join, which is split where a list is long.
     ends = lists.groupBy("token", "pair").agg(
-        F.min(member).alias("first"),
-        F.max(member).alias("last"),
-        F.min(F.struct(F.xxhash64("key").alias("hash"), "key", "n")).alias("hub"),
+        F.min("key").alias("low"),
+        F.max("key").alias("high"),
+        F.min_by("n", "key").alias("n_low"),
+        F.min(F.when(F.col("n") == F.col("pair"), F.col("key"))).alias("first"),
         F.count("*").alias("members"),
+        F.max(F.expr(_near(percent))).alias("near"),
     )
-    met = lists.join(ends.where("first.key <> last.key").drop("last"), ["token", "pair"])
-    met = stored(met.select("token", "pair", "key", "n", "pos", "first", "hub", "members"), "lists")
-    light = met.where("pair > 0 and first.n = pair and key <> first.key").select(
-        F.col("key").alias("a"), F.col("first.key").alias("b")
-    )
+    met = lists.join(ends.where("low <> high and near").drop("high", "near"), ["token", "pair"])
+    met = stored(met, "lists")
+    light = met.where("pair > 0 and key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     # the larger set is a, the smaller b
-    heavy = met.where("pair = 0 and key <> hub.key").select(
-        F.greatest(F.struct("n", "key"), F.struct("hub.n", "hub.key")).alias("a"),
-        F.least(F.struct("n", "key"), F.struct("hub.n", "hub.key")).alias("b"),
-    )
+    own, hub = F.struct("n", "key"), F.struct(F.col("n_low").alias("n"), F.col("low").alias("key"))
+    heavy = met.where("pair = 0 and key <> low").select(F.greatest(own, hub).alias("a"), F.least(own, hub).alias("b"))
     close = F.col("a.n") * percent <= F.col("b.n") * 100
     stars = heavy.where(close).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    sketch = classes.select("key", "n", *PARITY)
-    for side in "ab":
-        stars = stars.join(sketch.toDF(side, f"n_{side}", *[f"{p}_{side}" for p in PARITY]), side)
-    stars = stars.where(_may_link(percent)).select("a", "b")
+    stars = _sketched(stars, classes).where(_may_link(percent)).select("a", "b")
+    stars = stored(_not_too_wide(stars, wide, percent), "stars")
     links = light.distinct().union(_verified(stars, classes, docs, width, percent, repeated))
     links = stored(links, "links")
     found = stored(connected_components(links), "components")
 
     # What the stars left open: members of one list that are still in different components.
-    posted = met.where("pair = 0").select("token", "key", "n", "pos", "members").distinct()
     label = found.select(F.col("node").alias("key"), "component")
-    posted = posted.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = posted.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    posted = posted.join(mixed.where("low <> high").select("token"), "token")
-    before = Window.partitionBy("key").orderBy("pos").rowsBetween(-EARLIER, -1)
-    posted = posted.withColumn("earlier", F.collect_list("token").over(before))
-    parts = F.ceil(F.col("members") / LIST_PART).cast("int")
-    open_lists = stored(posted.join(sketch.drop("n"), "key").withColumn("parts", parts), "open")
-    names = ["key", "n", "pos", "component", "earlier", *PARITY]
-    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    one = open_lists.select("token", part.alias("part"), *[F.col(c).alias(f"{c}_a") for c in names])
-    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    two = open_lists.select("token", each.alias("part"), *[F.col(c).alias(f"{c}_b") for c in names])
-    rest = (
-        one.join(two, ["token", "part"])
-        .where("component_a <> component_b")
-        .where(f"(n_a < n_b or (n_a = n_b and key_a < key_b)) and n_b * {percent} <= n_a * 100")
-        # before the first shingle that linked sets share, each holds only shingles it does not share
-        .where(f"pos_a <= n_a - {_needed_sql(percent)} and pos_b <= n_b - {_needed_sql(percent)}")
-        .where(_may_link(percent))
-        # two sets always pass in the first list they share; a later one need not make them again
-        .where("not arrays_overlap(earlier_a, earlier_b)")
-        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-        .distinct()
-        .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    )
+    posted = met.where("pair = 0").select("token", "key", "n", "pos", "members")
+    # copies in several tasks have left the same postings; a set's are few enough to be dealt by its key
+    posted = posted.repartition("key").distinct().join(label, "key", "left")
+    posted = stored(posted.withColumn("component", F.coalesce("component", "key")), "posted")
+    names = ["key", "n", "pos", "component"]
+    short = posted.where(F.col("members") <= SHORT_LIST)
+    one, two = (short.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
+    rest = one.join(two, "token").where(_may_meet(percent)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    rest = _sketched(rest.distinct(), classes).where(_may_link(percent)).select("a", "b")
+    long = posted.where(F.col("members") > SHORT_LIST)
+    if not long.isEmpty():
+        rest = rest.union(_long_list_pairs(long, classes, percent))
+    rest = _not_too_wide(rest.distinct(), wide, percent)
+    rest = rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = _verified(rest, classes, docs, width, percent, repeated)
     if not more.isEmpty():
         # the components so far stand for their links

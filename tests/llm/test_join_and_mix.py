@@ -58,6 +58,58 @@ def test_join_is_the_same_for_every_boundary(spark, monkeypatch, limit):
     assert got == brute.components(docs, 4, 85)
 
 
+@pytest.mark.parametrize("short", [0, 2, 8])
+def test_join_is_the_same_for_short_and_long_lists(spark, monkeypatch, short):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", short, raising=False)
+    monkeypatch.setattr(ngram_join, "choose_boundary", lambda sizes, percent: 5)
+    docs = chained_texts(21)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = got_components(ngram_join.jaccard_components(df, 4, 85))
+    assert got == brute.components(docs, 4, 85)
+
+
+def written(monkeypatch):
+    """Label, columns and rows of every table that the join writes from here on."""
+    tables, stored = [], ngram_join.stored
+
+    def noted(df, label):
+        found = stored(df, label)
+        tables.append((label, set(found.columns), found.count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    return tables
+
+
+def test_members_of_short_lists_travel_without_sketches(spark, monkeypatch):
+    tables = written(monkeypatch)
+    rng = random.Random(4)
+    docs = []
+    for i in range(0, 60, 2):
+        passage = [f"p{i}-{k}" for k in range(40)]
+        docs += [(i + j, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(60)])) for j in (0, 1)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = got_components(ngram_join.jaccard_components(df, 4, 85))
+    assert got == brute.components(docs, 4, 85)
+    lists = [(columns, n) for _, columns, n in tables if "token" in columns]
+    assert any(n for _, n in lists)
+    assert not any(n and columns & set(ngram_join.PARITY) for columns, n in lists)
+
+
+def test_texts_of_large_sets_travel_only_if_they_may_link(spark, monkeypatch):
+    """Sets so large that the differences of unlike ones fill the small sketch; one pair links."""
+    tables = written(monkeypatch)
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(200)]
+    texts = [passage + [f"w{rng.randrange(10**7)}" for _ in range(3800 + 20 * i)] for i in range(4)]
+    texts.append([f"x{k}" if k % 200 == 0 else w for k, w in enumerate(texts[0])])
+    docs = [(i, " ".join(text)) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = got_components(ngram_join.jaccard_components(df, 4, 85))
+    assert got == brute.components(docs, 4, 85) and got[4][1] == 0
+    assert sum(n for label, _, n in tables if label == "candidates") == 1
+
+
 def test_boundary_follows_cost():
     assert ngram_join.choose_boundary({}, 85) == 0
     few = ngram_join.choose_boundary({n: 10 for n in range(1, 33)}, 85)
