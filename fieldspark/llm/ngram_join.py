@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .phrases import FILTER_BITS, frequent_filter
 from .shingles import mix, ranked_shingle_sets, set_key, shingle_sets
-from .storage import stored
+from .storage import in_small_batches, stored
 
 # Slots of the tables that say which shingles and words are frequent: as many bytes whatever the input.
 SLOT_BITS = 22
@@ -44,7 +44,7 @@ MAX_LIGHT = 32
 # What a posting costs (shuffle, sort, candidate check) next to a subset, which needs no check.
 POSTING_COST = 4.0
 # Postings a task gathers before it hands them on.
-FRAME_ROWS = 100_000
+FRAME_ROWS = 1 << 15
 # A set's lists just before a list that go with it there, to tell whether two sets have met before.
 EARLIER = 16
 # Lists of up to this many members are paired whole: at most half as many pairs for each posting. Longer ones
@@ -340,6 +340,7 @@ def _long_list_pairs(posted: DataFrame, classes: DataFrame, percent: int) -> Dat
     )
 
 
+@in_small_batches
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
@@ -403,8 +404,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     stars = _sketched(stars, classes).where(_may_link(percent)).select("a", "b")
     stars = stored(_not_too_wide(stars, wide, percent), "stars")
     links = light.distinct().union(_verified(stars, classes, docs, width, percent, repeated))
-    links = stored(links, "links")
-    found = stored(connected_components(links), "components")
+    # stars over stored edges: read again, not written again
+    found = connected_components(links)
 
     # What the stars left open: members of one list that are still in different components.
     label = found.select(F.col("node").alias("key"), "component")
@@ -426,7 +427,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     if not more.isEmpty():
         # the components so far stand for their links
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = stored(connected_components(links.union(more.select("a", "b"))), "components")
+        found = connected_components(links.union(more.select("a", "b")))
 
     label = found.select(F.col("node").alias("key"), "component")
     classes = classes.join(label, "key", "left").withColumn(

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 SEPARATORS = b" \t\n\x0b\x0c\r"
-CHUNK_BYTES = 1 << 20
+# A chunk takes some 50 bytes of memory for each of its own.
+CHUNK_BYTES = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32

@@ -4,10 +4,11 @@ import random
 from collections import defaultdict
 
 import brute
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.llm import components, mixing, ngram_join, queries
+from fieldspark.llm import components, mixing, ngram_join, queries, storage
 
 
 def got_components(df):
@@ -110,6 +111,38 @@ def test_texts_of_large_sets_travel_only_if_they_may_link(spark, monkeypatch):
     assert sum(n for label, _, n in tables if label == "candidates") == 1
 
 
+def test_join_sends_texts_to_python_in_small_batches(spark, monkeypatch):
+    """What a task holds at a time does not grow with the length of the texts."""
+    conf, name, limits = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, stored = conf.get(name), ngram_join.stored
+
+    def noted(df, label):
+        limits.append(conf.get(name))
+        return stored(df, label)
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    docs = [(i, f"{i % 2} " * 10) for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert got_components(ngram_join.jaccard_components(df, 4, 85)) == brute.components(docs, 4, 85)
+    assert set(limits) == {str(storage.BATCH_BYTES)} and conf.get(name) == before
+
+    def sizes(texts):
+        def run(batches):
+            for batch in batches:
+                yield pd.DataFrame({"size": [int(batch["text"].str.len().sum())]})
+
+        return [r["size"] for r in texts.mapInPandas(run, "size bigint").collect()]
+
+    texts = spark.range(0, 1000, 1, 1).select(F.expr("repeat('some words ', 1000)").alias("text"))
+    got = storage.in_small_batches(sizes)(texts)
+    # a batch ends with the row that reaches the limit
+    assert sum(got) == 11_000_000 and max(got) <= storage.BATCH_BYTES + 11_000
+
+    with pytest.raises(ZeroDivisionError):
+        storage.in_small_batches(lambda df: 1 // 0)(texts)
+    assert conf.get(name) == before
+
+
 def test_boundary_follows_cost():
     assert ngram_join.choose_boundary({}, 85) == 0
     few = ngram_join.choose_boundary({n: 10 for n in range(1, 33)}, 85)
